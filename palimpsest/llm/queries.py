@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import exact_dedup
+from pyspark.sql import functions as F
+
+from palimpsest.llm import exact_dedup, language, pii
 from palimpsest.llm.common import table
 
+#: A deployment passes its own key; this one makes the registered query repeatable.
+KEY = b"palimpsest: registered query"
+
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op2_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+
+
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs))
+    return found.select("doc_id", "hd_lang", F.round("hd_cosine", 4).alias("hd_cosine"), "hd_accepted")
+
+
+QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_pii": op2_pii, "op3_language": op3_language}
 ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL}
