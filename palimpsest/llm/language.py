@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS = 1024
 #: Labelled documents of each language that train its prototype, chosen by hash of the id.
@@ -120,5 +121,5 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], min_cosine: flo
             yield pa.record_batch([*b.columns, *extra], [*kept, "hd_lang", "hd_cosine", "hd_accepted"])
 
     base = docs.select(*kept)
-    schema = base.schema.add("hd_lang", "string").add("hd_cosine", "double").add("hd_accepted", "boolean")
+    schema = T.StructType(list(base.schema.fields)).add("hd_lang", "string").add("hd_cosine", "double").add("hd_accepted", "boolean")
     return base.mapInArrow(apply, schema)
