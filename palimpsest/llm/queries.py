@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, language, pii
+from palimpsest.llm import decontaminate, exact_dedup, language, pii, setjoin
 from palimpsest.llm.common import table
 
 #: A deployment passes its own key; this one makes the registered query repeatable.
@@ -25,5 +25,19 @@ def op3_language(spark, sf_dir):
     return found.select("doc_id", "hd_lang", F.round("hd_cosine", 4).alias("hd_cosine"), "hd_accepted")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op2_pii": op2_pii, "op3_language": op3_language}
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL}
+def op9_jaccard_join(spark, sf_dir):
+    return setjoin.jaccard_join(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def op10_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_pii": op2_pii,
+    "op3_language": op3_language,
+    "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontaminate": op10_decontaminate,
+}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op9_jaccard_join": setjoin.SQL}
