@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from palimpsest.llm import decontaminate, exact_dedup, language, pii, setjoin
+from palimpsest.llm import decontaminate, exact_dedup, language, linedup, mixing, pii, setjoin
 from palimpsest.llm.common import table
 
 #: A deployment passes its own key; this one makes the registered query repeatable.
@@ -25,6 +25,14 @@ def op3_language(spark, sf_dir):
     return found.select("doc_id", "hd_lang", F.round("hd_cosine", 4).alias("hd_cosine"), "hd_accepted")
 
 
+def op4_line_dedup(spark, sf_dir):
+    return linedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.quality_weights(table(spark, sf_dir, "labels")))
+
+
 def op9_jaccard_join(spark, sf_dir):
     return setjoin.jaccard_join(table(spark, sf_dir, "documents")).withColumn("jaccard", F.round("jaccard", 6))
 
@@ -37,7 +45,9 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_pii": op2_pii,
     "op3_language": op3_language,
+    "op4_line_dedup": op4_line_dedup,
+    "op6_mixing": op6_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op9_jaccard_join": setjoin.SQL}
+ORACLE_SQL = {"op1_exact_dedup": exact_dedup.SQL, "op6_mixing": mixing.sql(), "op9_jaccard_join": setjoin.SQL}
