@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Registered queries; importing this package registers them."""
+
+from palimpsest.plans import aggregates, graphs, lifecycles, scans, searches, text  # noqa: F401
