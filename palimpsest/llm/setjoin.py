@@ -2,13 +2,15 @@
 
 A document is the set of hashes of its word n-grams.  Two sets with Jaccard similarity of
 at least t differ in at most (1 - t) / (1 + t) * (|r| + |s|) tokens.  The universe of token
-hashes is cut into segments, their number fixed by the size band of the smaller set.  If
-a probe allows its segments one difference less in sum than the sets may have, at least
-one segment is within its allowance.  A probe gives every segment one of three
+hashes is cut into segments, their number fixed by the size band of the smaller set.  If the
+segments' allowances, each counted with one more, exceed that number, at least one segment
+differs by no more than its allowance.  A probe gives every segment one of three
 allowances: none (skipped), 0 (the segment's subset is equal) or 1 (equal up to a
 one-deletion neighbourhood).  Costs from corpus-wide token counts choose them: segments
 whose subset is empty or common are skipped, and rare ones pay for them.  Candidates are
-verified exactly on their token sets.  Nothing is capped.
+verified exactly on their token sets.  Nothing is capped.  The allowances sum to HITS more
+than one less than that, so that a pair must hit as many times (an equal subset under
+allowance 1 counts twice), which rids the candidates of single coincidences.
 
 Sets are named by a 64-bit hash of their tokens, so any number of documents with equal
 sets costs as much as one.  Signatures travel as packed 32-bit arrays, not as rows.
@@ -16,6 +18,8 @@ sets costs as much as one.  Signatures travel as packed 32-bit arrays, not as ro
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +35,13 @@ N = 1
 THRESHOLD = 0.8
 #: Hashed cells of the corpus-wide token counts.
 CELLS = 1 << 14
-#: Segments beyond the pigeonhole's need, and segments indexed with one-deletion neighbourhoods.
-SPARE, DELETIONS = 0.06, 0.02
+#: Shares of segments beyond the pigeonhole's need, and indexed with one-deletion neighbourhoods.
+SPARE, DELETIONS = 0.06, 0.12
+#: Hits that a pair must have: allowances that sum to HITS more than the differences grant as many.
+HITS = 3
 _EPS = 1e-9
 _U32, _U64 = np.uint32, np.uint64
+_ZERO = np.zeros(1, _U64)
 
 
 def token_set(words: np.ndarray, n: int) -> np.ndarray:
@@ -55,11 +62,12 @@ class Bands:
     def __init__(self, threshold: float):
         self.t, self.c = threshold, (1 - threshold) / (1 + threshold)
         self.edges = [1]
+        self.shapes: dict[int, tuple[int, int]] = {}
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] / threshold + _EPS)))
 
     def of(self, size: int) -> int:
-        return int(np.searchsorted(self.edges, size, "right")) - 1
+        return bisect_right(self.edges, size) - 1
 
     def differences(self, r: int, s: int) -> int:
         """Most tokens in which sets of these sizes may differ."""
@@ -67,14 +75,15 @@ class Bands:
 
     def shape(self, band: int) -> tuple[int, int]:
         """(segments, of which with deletion neighbourhoods): enough for the largest probe of the band."""
-        most = self.edges[band + 1] - 1
-        need = self.differences(int(most / self.t + _EPS), most) + 1
-        spare = int(SPARE * need) + (need > 3)
-        return need + spare, 1 + int(DELETIONS * need)
+        if band not in self.shapes:
+            most = self.edges[band + 1] - 1
+            need = self.differences(int(most / self.t + _EPS), most) + HITS
+            self.shapes[band] = need + int(SPARE * need) + (need > 3), 1 + int(DELETIONS * need)
+        return self.shapes[band]
 
     def probed(self, size: int) -> list[tuple[int, int]]:
         """(band, most differences) for every band that may hold a partner no larger than ``size``."""
-        out, least = [], max(1, int(np.ceil(self.t * size - _EPS)))
+        out, least = [], max(1, math.ceil(self.t * size - _EPS))
         for band in range(self.of(least), self.of(size) + 1):
             out.append((band, self.differences(size, min(size, self.edges[band + 1] - 1))))
         return out
@@ -85,68 +94,71 @@ def _segments(tokens: np.ndarray, m: int) -> np.ndarray:
     return ((tokens >> _U64(32)) * _U64(m) >> _U64(32)).astype(np.int64)
 
 
-def _signature(band: int, segment: np.ndarray, subset: np.ndarray, deletion: bool) -> np.ndarray:
-    salt = (segment.astype(_U64) << _U64(20)) | _U64(band << 1 | deletion)
-    return mix64(subset ^ mix64(salt + _U64(0x5851F42D4C957F2D)))
+_salts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
+def _salt(band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a band's m segments: 0..m, and the salts of equal subsets and of deletions."""
+    if (band, m) not in _salts:
+        at = np.arange(m + 1)
+        salt = (at[:m].astype(_U64) << _U64(20)) | _U64(band << 1)
+        _salts[band, m] = at, mix64(salt + _U64(0x5851F42D4C957F2D)), mix64((salt | _U64(1)) + _U64(0x5851F42D4C957F2D))
+    return _salts[band, m]
 
 
 def index_signatures(tokens: np.ndarray, hashed: np.ndarray, bands: Bands) -> np.ndarray:
     """What a set leaves in the index: all segments, and deletions of the first few."""
     band = bands.of(len(tokens))
     m, d = bands.shape(band)
+    at, equal, deletion = _salt(band, m)
     segment = _segments(tokens, m)
-    edge = np.searchsorted(segment, np.arange(m + 1))
-    total = np.concatenate(([_U64(0)], np.cumsum(hashed, dtype=_U64)))
+    edge = np.searchsorted(segment, at)
+    total = np.concatenate((_ZERO, np.cumsum(hashed, dtype=_U64)))
     subset = total[edge[1:]] - total[edge[:-1]]
-    out = [_signature(band, np.arange(m), subset, False)]
-    few = edge[d]
-    if few:
-        out.append(_signature(band, segment[:few], subset[segment[:few]] - hashed[:few], True))
-    return np.concatenate(out)
+    few = segment[: edge[d]]
+    return mix64(np.concatenate((subset ^ equal, (subset[few] - hashed[: edge[d]]) ^ deletion[few])))
 
 
-def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray, bands: Bands) -> list[np.ndarray]:
-    """Signatures that meet every partner no larger than the set.
+def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray, bands: Bands) -> np.ndarray:
+    """Signatures that meet every partner no larger than the set, at least HITS times.
 
     ``rarity`` is the log of each token's document frequency as a share of all sets: the
     expected share of sets with an equal segment is the exponential of its sum.
     """
     out = []
-    sums = np.concatenate(([_U64(0)], np.cumsum(hashed, dtype=_U64)))
+    total = np.concatenate((_ZERO, np.cumsum(hashed, dtype=_U64)))
     rare = np.concatenate(([0.0], np.cumsum(rarity)))
     for band, most in bands.probed(len(tokens)):
         m, d = bands.shape(band)
+        at, equal, deletion = _salt(band, m)
         segment = _segments(tokens, m)
-        edge = np.searchsorted(segment, np.arange(m + 1))
-        subset, cost = sums[edge[1:]] - sums[edge[:-1]], np.exp(rare[edge[1:]] - rare[edge[:-1]])
-        # allowance 0 everywhere grants m; drop the dearest segments down to most + 1
-        order = np.argsort(-cost, kind="stable")
-        spare = max(0, m - (most + 1))
+        edge = np.searchsorted(segment, at)
+        subset, cost = total[edge[1:]] - total[edge[:-1]], np.exp(rare[edge[1:]] - rare[edge[:-1]])
+        # allowance 0 everywhere grants m hits; drop the dearest segments down to most + HITS
+        dear = np.argsort(-cost, kind="stable")
+        spare = max(0, m - (most + HITS))
         chosen = np.ones(m, bool)
-        chosen[order[:spare]] = False
-        # allowance 1 on a cheap segment pays for skipping one more dear segment
-        wide = np.zeros(d, bool)
-        deletion_cost = np.full(d, np.inf)
-        for i in range(d):
-            a, b = edge[i], edge[i + 1]
-            if chosen[i]:
-                deletion_cost[i] = 2 * cost[i] + np.exp(rare[b] - rare[a] - rarity[a:b]).sum() + (b == a)
-        rest = list(order[spare:])
-        for i in np.argsort(deletion_cost, kind="stable"):
-            while rest and (not chosen[rest[0]] or (rest[0] < d and wide[rest[0]])):
-                rest.pop(0)
-            if not rest or rest[0] == i or not np.isfinite(deletion_cost[i]) or not chosen[i] or deletion_cost[i] >= cost[rest[0]]:
-                continue
-            wide[i] = True
-            chosen[rest.pop(0)] = False
-        own = np.flatnonzero(chosen)
-        out.append(_signature(band, own, subset[own], False))
-        for i in np.flatnonzero(wide):
-            a, b = edge[i], edge[i + 1]
-            seg = np.full(b - a + 1, i)
-            out.append(_signature(band, seg[:1], subset[i : i + 1], True))
-            out.append(_signature(band, seg[1:], subset[i] - hashed[a:b], False))
-    return out
+        chosen[dear[:spare]] = False
+        dear = dear[spare:]
+        # allowance 1 on a cheap segment pays for skipping one more dear segment; as it costs at
+        # least twice what allowance 0 does, no segment is on both sides of such a trade
+        few = segment[: edge[d]]
+        widened = 2 * cost[:d] + np.bincount(few, cost[few] * np.exp(-rarity[: edge[d]]), d) + (edge[1 : d + 1] == edge[:d])
+        cheap = np.argsort(np.where(chosen[:d], widened, np.inf), kind="stable")
+        n = min(len(cheap), len(dear))
+        trade = np.flatnonzero(~(np.where(chosen[:d], widened, np.inf)[cheap[:n]] < cost[dear[:n]]))
+        n = int(trade[0]) if len(trade) else n
+        chosen[dear[:n]] = False
+        out.append(subset[chosen] ^ equal[chosen])
+        if n:
+            wide = np.zeros(d, bool)
+            wide[cheap[:n]] = True
+            own = np.flatnonzero(wide)
+            use = wide[few]
+            seg = few[use]
+            # an equal subset counts twice: it leaves two of the allowed differences unused
+            out += [subset[own] ^ equal[own], subset[own] ^ deletion[own], (subset[seg] - hashed[: edge[d]][use]) ^ equal[seg]]
+    return mix64(np.concatenate(out))
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[object, np.ndarray]]:
@@ -239,7 +251,7 @@ def _emit(n: int, threshold: float, buckets: int, cells: np.ndarray, rows: int):
             held[0].append(name)
             held[1].append(len(tokens))
             held[2].append(index_signatures(tokens, hashed, bands))
-            held[3].append(np.concatenate(probe_signatures(tokens, hashed, share[(tokens & _U64(CELLS - 1)).astype(np.int64)], bands)))
+            held[3].append(probe_signatures(tokens, hashed, share[(tokens & _U64(CELLS - 1)).astype(np.int64)], bands))
             size += len(held[2][-1]) + len(held[3][-1])
             if size > FLUSH:
                 yield from flush()
@@ -269,7 +281,7 @@ def _unpack(blobs: list[tuple]) -> tuple[np.ndarray, ...]:
 def _probe(threshold: float):
     bands = Bands(threshold)
 
-    def pairs_of(index: list[tuple], probe: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(index: list[tuple], probe: list[tuple]) -> Iterator[tuple[np.ndarray, ...]]:
         if not index or not probe:
             return
         sn, ss, signature, owner = _unpack(index)
@@ -278,19 +290,16 @@ def _probe(threshold: float):
         rn, rs, wanted, asker = _unpack(probe)
         lo, hi = np.searchsorted(signature, wanted, "left"), np.searchsorted(signature, wanted, "right")
         ahead = np.cumsum(hi - lo)
-        begin, found = 0, []
+        begin = 0
         while begin < len(wanted):  # a slice of probes at a time bounds memory
             end = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + 2_000_000, "right")))
             n = (hi - lo)[begin:end]
             r = np.repeat(asker[begin:end], n)
             s = owner[np.repeat(lo[begin:end] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
             ok = (sn[s] != rn[r]) & ((ss[s] < rs[r]) | (ss[s] == rs[r]) & (sn[s] < rn[r])) & (ss[s] >= bands.t * rs[r] - _EPS)
-            found.append(np.unique(s[ok].astype(np.int64) * len(rn) + r[ok]))
-            if sum(map(len, found)) > 4_000_000:
-                found = [np.unique(np.concatenate(found))]
+            code, hits = np.unique(s[ok].astype(np.int64) * len(rn) + r[ok], return_counts=True)
+            yield sn[code // len(rn)], rn[code % len(rn)], hits
             begin = end
-        code = np.unique(np.concatenate(found))
-        yield sn[code // len(rn)], rn[code % len(rn)]
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, tuple[list, list]] = {}
@@ -299,8 +308,8 @@ def _probe(threshold: float):
             for k in range(b.num_rows):
                 blobs.setdefault(rows["bucket"][k], ([], []))[rows["kind"][k]].append((rows["names"][k], rows["sizes"][k], rows["counts"][k], rows["signatures"][k]))
         for index, probes in blobs.values():
-            for s, r in pairs_of(index, probes):
-                yield pa.record_batch([pa.array(s), pa.array(r)], ["a", "b"])
+            for s, r, hits in pairs_of(index, probes):
+                yield pa.record_batch([pa.array(s), pa.array(r), pa.array(hits.astype(np.int32))], ["a", "b", "hits"])
 
     return probe
 
@@ -402,7 +411,8 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     buckets = max(8, parts(spark))
     emitted = written(texts.mapInArrow(_emit(n, threshold, buckets, cells, rows), _SCHEMA), "signatures")
     blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(buckets, "bucket")
-    candidates = written(blobs.mapInArrow(_probe(threshold), "a long, b long").distinct(), "candidates")
+    hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    candidates = written(hits.where(F.col("hits") >= HITS).select("a", "b"), "candidates")
     members = emitted.where("set_name is not null").groupBy("set_name").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
     groups = written(components(candidates), "components")
     of = groups.withColumnRenamed("member", "set_name")
