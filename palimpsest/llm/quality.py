@@ -40,7 +40,7 @@ class Network:
         return cls(np.zeros((257, EMBED), np.float32), np.zeros((WIDTH * EMBED, FILTERS), np.float32), zero, zero, float(np.log(p / (1 - p))))
 
     def pooled(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, FILTERS) maxima over the rows' chunks, and the first byte of each maximum's chunk in padded()."""
+        """(rows, FILTERS) maxima over the rows' chunks, and all chunks of padded()."""
         data, begin = padded(raw, offsets)
         windows = (len(data) - WIDTH) // STRIDE + 1
         pieces = self.embed[data].reshape(-1, STRIDE * EMBED)
@@ -48,9 +48,9 @@ class Network:
         h = pieces[:windows] @ parts[0]
         for k in range(1, WIDTH // STRIDE):
             h += pieces[k : k + windows] @ parts[k]
-        first = begin[:-1] // STRIDE
-        # chunks that reach into the next row's bytes see this row's own padding only
-        top = np.maximum.reduceat(h, first, axis=0)
+        # a row's last chunk is the one of padding alone; those that would reach the next row's bytes don't count
+        spans = np.stack((begin[:-1] // STRIDE, (begin[1:] - WIDTH) // STRIDE + 1), 1).ravel()
+        top = np.maximum.reduceat(h, spans, axis=0)[::2]
         return top, h
 
     def probability(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -147,11 +147,11 @@ def fit(texts: list[str], good: list[bool], epochs: int = 10, batch: int = 32, r
             d_top = np.outer(error, net.out) * (active > 0)
             d_bias = d_top.sum(0)
             d_filters, d_embed = np.zeros_like(net.filters), np.zeros_like(net.embed)
-            first = begin // STRIDE
+            first, last = begin[:-1] // STRIDE, (begin[1:] - WIDTH) // STRIDE + 1
             for r in range(len(rows)):
                 used = np.flatnonzero(d_top[r])
                 if len(used):
-                    place = (first[r] + np.argmax(h[first[r] : first[r + 1], :][:, used], 0)) * STRIDE
+                    place = (first[r] + np.argmax(h[first[r] : last[r]][:, used], 0)) * STRIDE
                     chunk = data[place[:, None] + np.arange(WIDTH)]
                     d_filters[:, used] += (net.embed[chunk].reshape(len(used), -1) * d_top[r, used][:, None]).T
                     np.add.at(d_embed, chunk, (net.filters[:, used].T * d_top[r, used][:, None]).reshape(len(used), WIDTH, EMBED))
