@@ -49,7 +49,7 @@ def frequency_bonus(accesses: Column, surfaced: Column) -> Column:
 def sanitize_match(c: Column) -> Column:
     """Text safe for a full-text match: inner hyphens split, operators and NEAR / NOT go, spaces collapse."""
     c = F.regexp_replace(c, r"(?<=[\p{L}\p{N}_])-(?=[\p{L}\p{N}_])", " ")
-    c = F.regexp_replace(c, r"[\"*()^?'.~:{}\[\]+]", "")
+    c = F.regexp_replace(c, r"[+\[\]{}:~.'?^)(*\"]", "")
     c = F.regexp_replace(c, r"\b(NEAR|NOT)\b", " ")
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
