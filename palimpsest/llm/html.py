@@ -14,10 +14,14 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import small, written
+
+#: Pages whose neighbours' line hashes may be broadcast (about 200 bytes each); beyond it the text is shuffled once.
+BROADCAST_PAIRS = 150_000
 
 _BLOCKS = set("address article aside blockquote body br center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _TAG = re.compile(
@@ -45,9 +49,9 @@ def text_lines(page: str | None) -> list[str]:
     return [line for line in lines if line]
 
 
-def common_subsequence(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
     """A longest common subsequence as places in a and b, by increasing runs over matching pairs."""
-    where: dict[str, list[int]] = {}
+    where: dict[object, list[int]] = {}
     for j, line in enumerate(b):
         where.setdefault(line, []).append(j)
     tails: list[int] = []
@@ -85,17 +89,29 @@ def _prefix(a: str, b: str) -> Column:
     return F.when(size > 0, F.size(F.filter(steps, lambda k: F.substring(F.col(a), F.lit(1), k) == F.substring(F.col(b), F.lit(1), k)))).otherwise(0)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(line: str) -> int:
+    value = xxhash.xxh3_64_intdigest(line)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [[_signed(x) for x in text_lines(page)] for page in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.record_batch([*b.columns[:-1], pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "path", "row", "hashes"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        lines = [text_lines(x) for x in b.column(b.num_columns - 1).to_pylist()]
-        yield pa.record_batch([*b.columns[:-1], pa.array(lines, pa.list_(pa.string()))], ["page_id", "url", "host", "path", "row", "lines"])
+        text = ["\n".join(text_lines(page)) for page in b.column(3).to_pylist()]
+        yield pa.record_batch([*b.columns[:3], pa.array(text, pa.string())], ["page_id", "url", "row", "text"])
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
-        for own, other in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-            gone = {i for i, _ in common_subsequence(own, other or [])}
+        for text, other in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
+            own = text.split("\n") if text else []
+            gone = {i for i, _ in common_subsequence([_signed(x) for x in own], other or [])}
             out.append(("\n".join(x for i, x in enumerate(own) if i not in gone), len(gone)))
         yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([t for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int32())], ["page_id", "url", "neighbour_id", "text", "removed"])
 
@@ -111,18 +127,21 @@ def extract(pages: DataFrame) -> DataFrame:
     columns are not read.  Pages are handled whole.
     """
     host, path = url_parts()
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), path.alias("path"), F.xxhash64("page_id", "url", "html").alias("row"), "html")
-    lines = written(rows.mapInArrow(_extract, "page_id long, url string, host string, path string, row long, lines array<string>"), "page_lines")
+    row = F.xxhash64("page_id", "url", "html")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    # lines are compared by 64-bit hashes, so a neighbour travels as about 200 bytes
+    narrow = pages.select("page_id", host.alias("host"), path.alias("path"), row.alias("row"), "html")
+    narrow = written(narrow.mapInArrow(_hashes, "page_id long, host string, path string, row long, hashes array<long>"), "page_lines")
     first = F.struct(F.col("page_id").isNull(), "page_id", "row")
-    paths = lines.groupBy("host", "path").agg(F.min(first).alias("f")).select("host", "path", F.col("f.page_id").alias("id"), F.col("f.row").alias("rep"))
+    paths = narrow.groupBy("host", "path").agg(F.min(first).alias("f")).select("host", "path", F.col("f.page_id").alias("id"), F.col("f.row").alias("rep"))
     order = Window.partitionBy("host").orderBy("path")
     near = paths.select("host", "path", *(f(F.col(c), 1).over(order).alias(f"{p}_{c}") for p, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "id", "rep")))
     take_after = F.col("before_rep").isNull() | F.coalesce(_prefix("path", "after_path") > _prefix("path", "before_path"), F.lit(False))
     pick = lambda c: F.when(take_after, F.col(f"after_{c}")).otherwise(F.col(f"before_{c}"))
-    near = near.select("host", "path", pick("id").alias("neighbour_id"), pick("rep").alias("rep"))
-    # one line list for each path's representative; the same row repeated is the same list
-    held = lines.select(F.col("row").alias("rep"), F.col("lines").alias("others"))
-    reps = near.where("rep is not null").select("rep").distinct()
-    held = held.join(reps, "rep", "left_semi").groupBy("rep").agg(F.first("others").alias("others"))
-    paired = lines.join(near, ["host", "path"]).join(held, "rep", "left")
-    return paired.select("page_id", "url", "neighbour_id", "lines", "others").mapInArrow(_difference, "page_id long, url string, neighbour_id long, text string, removed int")
+    near = near.select("host", "path", pick("id").alias("neighbour_id"), pick("rep").alias("rep")).where("rep is not null")
+    asked = narrow.select("host", "path", "row").distinct().join(near, ["host", "path"]).select("row", "neighbour_id", "rep")
+    held = narrow.select(F.col("row").alias("rep"), F.col("hashes").alias("others")).dropDuplicates(["rep"])
+    pairs = written(asked.join(held, "rep").select("row", "neighbour_id", "others"), "page_pairs")
+    texts = pages.select("page_id", "url", row.alias("row"), "html").mapInArrow(_texts, "page_id long, url string, row long, text string")
+    joined = texts.join(small(pairs, BROADCAST_PAIRS), "row", "left").select("page_id", "url", "neighbour_id", "text", "others")
+    return joined.mapInArrow(_difference, "page_id long, url string, neighbour_id long, text string, removed int")
