@@ -112,3 +112,18 @@ def consolidate(rows: DataFrame, min_cosine: float, least: int = 3) -> DataFrame
         return pd.DataFrame(out, columns=["subject", "center", "id"])
 
     return rows.select("subject", F.col("id").cast("long").alias("id"), "embedding").groupBy("subject").applyInPandas(stars, "subject string, center long, id long")
+
+
+def hygiene(memories: DataFrame, edges: DataFrame, pairs: DataFrame, now: Column, days: int, confidence: float, protected: tuple[str, ...]) -> dict[str, DataFrame]:
+    """One maintenance run over snapshots: merge near duplicates ((a, b) pairs), prune, deduplicate edges.
+
+    Returns what each step would change; nothing is written, so a dry run is the default.
+    """
+    from palimpsest.operators import graph
+
+    open_rows = memories.where("superseded_by is null and category <> 'identity'")
+    allowed = pairs.join(open_rows.select(F.col("id").alias("a")), "a").join(open_rows.select(F.col("id").alias("b")), "b")
+    merged = survivors(open_rows, components(allowed)).where("id <> keeper")
+    rest = memories.join(merged.select("id"), "id", "left_anti")
+    pruned = prune(rest.where("superseded_by is null"), now, days, confidence, protected)
+    return {"merged": merged, "pruned": pruned, "edges": graph.keep_best(edges)}

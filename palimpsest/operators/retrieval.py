@@ -88,3 +88,56 @@ def tiered(parts: list[DataFrame], budget: int) -> DataFrame:
     first = every.groupBy("query_id", "id").agg(F.min(F.struct("tier", "tier_rank")).alias("t")).select("query_id", "id", "t.*")
     w = Window.partitionBy("query_id").orderBy("tier", "tier_rank", "id")
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget)
+
+
+def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memories: DataFrame, hub_degree: int = 50, most: int = 30) -> DataFrame:
+    """(query_id, id, graph): memories that name the neighbours of the entities that the query names.
+
+    Entities match by a whole word of their name.  A neighbour of more than ``hub_degree``
+    edges counts only if two matched entities lead to it; at most ``most`` neighbours a
+    query stay, by links, then name.  A memory scores 0.6, 0.8 or 1 by how many distinct
+    names it holds (one, two, more).
+    """
+    from palimpsest.operators import graph as G
+    from palimpsest.operators.fulltext import tokens
+
+    named = entities.select(F.col("id").alias("entity"), F.explode(F.array_distinct(tokens(F.col("name")))).alias("term"))
+    matched = named.join(F.broadcast(terms.select("query_id", "term").distinct()), "term").select("query_id", "entity").distinct()
+    live = G.active(edges)
+    ways = G.both_ways(live).select(F.col("id").alias("entity"), "other").distinct()
+    reached = matched.join(ways, "entity").groupBy("query_id", F.col("other").alias("id")).agg(F.count_distinct("entity").alias("links"))
+    kept = reached.join(G.degree(live), "id").where((F.col("degree") <= hub_degree) | (F.col("links") >= 2))
+    w = Window.partitionBy("query_id").orderBy(F.desc("links"), "name", "id")
+    names = kept.join(entities.select("id", "name"), "id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    names = names.select("query_id", F.lower("name").alias("name"), F.element_at(tokens(F.col("name")), 1).alias("term")).distinct()
+    # the first word of a name finds the memories, the whole name decides: an equi-join, not a cross join
+    words = memories.select(F.col("id"), F.lower(F.concat_ws(" ", "content", "subject")).alias("text"))
+    found = words.select("id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(F.broadcast(names), "term").where(F.col("text").contains(F.col("name")))
+    hits = found.groupBy("query_id", "id").agg(F.count_distinct("name").alias("k"))
+    return hits.select("query_id", "id", F.when(F.col("k") >= 3, 1.0).when(F.col("k") == 2, 0.8).otherwise(0.6).alias("graph"))
+
+
+def rerank_blend(results: DataFrame, score: str, weight: float = 0.75) -> DataFrame:
+    """Blends the scaled importance with the sigmoid of a pair model's score, given as a column."""
+    blended = weight * minmax("importance_score") + (1 - weight) / (1.0 + F.exp(-F.col(score)))
+    w = Window.partitionBy("query_id").orderBy(F.desc("blended"), "id")
+    return results.withColumn("blended", blended).withColumn("rank", F.row_number().over(w))
+
+
+def apply_picks(results: DataFrame, picks: DataFrame) -> DataFrame:
+    """Rows that a listwise model picked first, in its order, then the others in theirs.
+
+    ``picks`` is (query_id, answer): text that holds a JSON array of ranks from 0.
+    """
+    parsed = picks.select("query_id", F.posexplode(F.from_json(F.regexp_extract("answer", r"\[[\d,\s]*\]", 0), "array<int>")).alias("pick", "rank"))
+    first = parsed.groupBy("query_id", "rank").agg(F.min("pick").alias("pick"))
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("pick"), "rank", "id")
+    return results.join(F.broadcast(first), ["query_id", "rank"], "left").withColumn("place", F.row_number().over(w)).drop("pick")
+
+
+def inject_graph_slot(top: DataFrame, extra: DataFrame, k: int) -> DataFrame:
+    """The last of k places goes to the best graph-only row ((query_id, id, novel, terms)), where there is one."""
+    best = extra.join(top.select("query_id", "id"), ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.max_by("id", F.struct("novel", "terms", -F.col("id"))).alias("extra_id"))
+    joined = top.join(F.broadcast(best), "query_id", "left")
+    swapped = F.when((F.col("rank") == k) & F.col("extra_id").isNotNull(), F.col("extra_id")).otherwise(F.col("id"))
+    return joined.select("query_id", swapped.alias("id"), "rank")
