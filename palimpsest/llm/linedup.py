@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import small, written
+from palimpsest.llm.common import small, unused, written
 
 #: Least characters of a line that makes documents a pair, and of a block that is deleted.
 MIN_LINE, MIN_BLOCK = 20, 20
@@ -109,7 +109,8 @@ def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LIN
     texts stay.  No other column is looked at.
     """
     key = F.xxhash64("doc_id", "text")
-    base = docs.withColumn("_row", key)
+    row_name, cut_name = unused(docs, "row_key"), unused(docs, "cut_places")
+    base = docs.withColumn(row_name, key)
     lines = F.posexplode(F.split("text", "\n")).alias("place", "line")
     every = docs.where("text is not null").select(key.alias("_row"), F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), key.alias("r")).alias("order"), lines)
     every = every.select("_row", "order", "place", F.trim("line").alias("line")).where("line <> ''")
@@ -128,9 +129,9 @@ def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LIN
     aligned = pairs.join(old, "earlier").join(new, "later").select("later", "old", "new", "places", "sizes")
     cut = aligned.mapInArrow(_align(min_block), "later long, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_cut"))
     cut = written(cut.withColumnRenamed("later", "_row"), "cuts")
-    joined = base.join(small(cut, BROADCAST_CUTS), "_row", "left")
-    gone = F.col("_cut").isNotNull()
-    kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col("_cut"), k))
+    joined = base.join(small(cut.toDF(row_name, cut_name), BROADCAST_CUTS), row_name, "left")
+    gone = F.col(cut_name).isNotNull()
+    kept = F.filter(F.split("text", "\n"), lambda line, k: ~F.array_contains(F.col(cut_name), k))
     joined = joined.withColumn("text", F.when(gone, F.array_join(kept, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(gone, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))

@@ -1,6 +1,6 @@
 import random
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, hash string, key double, _row string, extra array<int>"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, hash string, key double, row_key string, extra array<int>"
 
 
 def docs(spark, rows):

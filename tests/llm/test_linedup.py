@@ -54,6 +54,7 @@ def test_edge_cases(spark):
     rows = [(1, line + "\nfirst own"), (2, "x\n" + line), (2, "x\n" + line), (3, None), (4, ""), (None, line), (5, line), (6, "\n".join([line] + ["own %d" % k for k in range(20_000)]))]
     out = deduplicate_lines(docs(spark, rows))
     assert out.columns == docs(spark, rows).columns
+    assert {r.row_key for r in out.collect()} == {"r"}  # a column with an inner name keeps its values
     found = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=lambda r: (r[0] is None, r[0] or 0))
     assert found[0] == (1, line + "\nfirst own", len(line) + 10)
     assert found[1] == found[2] == (2, "x", 1) and found[3] == (3, None, None) and found[4] == (4, "", 0) and found[5] == (5, "", 0)
