@@ -157,13 +157,14 @@ def fit(texts: list[str], good: list[bool], epochs: int = 10, batch: int = 32, r
                     np.add.at(d_embed, chunk, (net.filters[:, used].T * d_top[r, used][:, None]).reshape(len(used), WIDTH, EMBED))
             d_embed[256] = 0
             step += 1
+            pace = rate * (1 - (step - 1) / (epochs * -(-len(raws) // batch)))  # falls to zero
             for k, g in enumerate((d_embed, d_filters, d_bias, d_out)):
                 moment[k] = 0.9 * moment[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g * g
-                params[k] -= (rate * moment[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+                params[k] -= (pace * moment[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
             g = float(error.sum())
             b[0], b[1] = 0.9 * b[0] + 0.1 * g, 0.999 * b[1] + 0.001 * g * g
-            net.offset -= rate * b[0] / (1 - 0.9**step) / (np.sqrt(b[1] / (1 - 0.999**step)) + 1e-8)
+            net.offset -= pace * b[0] / (1 - 0.9**step) / (np.sqrt(b[1] / (1 - 0.999**step)) + 1e-8)
     return net
 
 
