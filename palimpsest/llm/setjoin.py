@@ -94,6 +94,24 @@ def _segments(tokens: np.ndarray, m: int) -> np.ndarray:
     return ((tokens >> _U64(32)) * _U64(m) >> _U64(32)).astype(np.int64)
 
 
+class Routes:
+    """Which bucket a signature goes to: every populated band has buckets of its own, by its share of tokens.
+
+    A pair meets in the buckets of one band only, so that it is reported few times and a
+    set's name is repeated in few blobs.
+    """
+
+    def __init__(self, weight: np.ndarray, buckets: int):
+        self.count = np.where(weight > 0, np.maximum(1, np.round(buckets * weight / max(1, weight.sum()))), 0).astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.buckets = int(self.count.sum())
+
+    def place(self, band: int, signatures: np.ndarray) -> np.ndarray:
+        """The bucket in the high and 32 other bits of the signature in the low half."""
+        bucket = _U64(self.first[band]) + ((signatures >> _U64(32)) * _U64(self.count[band]) >> _U64(32))
+        return bucket << _U64(32) | signatures & _U64(0xFFFFFFFF)
+
+
 _salts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -106,7 +124,7 @@ def _salt(band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _salts[band, m]
 
 
-def index_signatures(tokens: np.ndarray, hashed: np.ndarray, bands: Bands) -> np.ndarray:
+def index_signatures(tokens: np.ndarray, hashed: np.ndarray, bands: Bands, routes: Routes) -> np.ndarray:
     """What a set leaves in the index: all segments, and deletions of the first few."""
     band = bands.of(len(tokens))
     m, d = bands.shape(band)
@@ -116,10 +134,10 @@ def index_signatures(tokens: np.ndarray, hashed: np.ndarray, bands: Bands) -> np
     total = np.concatenate((_ZERO, np.cumsum(hashed, dtype=_U64)))
     subset = total[edge[1:]] - total[edge[:-1]]
     few = segment[: edge[d]]
-    return mix64(np.concatenate((subset ^ equal, (subset[few] - hashed[: edge[d]]) ^ deletion[few])))
+    return routes.place(band, mix64(np.concatenate((subset ^ equal, (subset[few] - hashed[: edge[d]]) ^ deletion[few]))))
 
 
-def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray, bands: Bands) -> np.ndarray:
+def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray, bands: Bands, routes: Routes) -> np.ndarray:
     """Signatures that meet every partner no larger than the set, at least HITS times.
 
     ``rarity`` is the log of each token's document frequency as a share of all sets: the
@@ -129,6 +147,8 @@ def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray,
     total = np.concatenate((_ZERO, np.cumsum(hashed, dtype=_U64)))
     rare = np.concatenate(([0.0], np.cumsum(rarity)))
     for band, most in bands.probed(len(tokens)):
+        if not routes.count[band]:
+            continue  # no set has a size of this band
         m, d = bands.shape(band)
         at, equal, deletion = _salt(band, m)
         segment = _segments(tokens, m)
@@ -149,7 +169,7 @@ def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray,
         trade = np.flatnonzero(~(np.where(chosen[:d], widened, np.inf)[cheap[:n]] < cost[dear[:n]]))
         n = int(trade[0]) if len(trade) else n
         chosen[dear[:n]] = False
-        out.append(subset[chosen] ^ equal[chosen])
+        found = [subset[chosen] ^ equal[chosen]]
         if n:
             wide = np.zeros(d, bool)
             wide[cheap[:n]] = True
@@ -157,8 +177,9 @@ def probe_signatures(tokens: np.ndarray, hashed: np.ndarray, rarity: np.ndarray,
             use = wide[few]
             seg = few[use]
             # an equal subset counts twice: it leaves two of the allowed differences unused
-            out += [subset[own] ^ equal[own], subset[own] ^ deletion[own], (subset[seg] - hashed[: edge[d]][use]) ^ equal[seg]]
-    return mix64(np.concatenate(out))
+            found += [subset[own] ^ equal[own], subset[own] ^ deletion[own], (subset[seg] - hashed[: edge[d]][use]) ^ equal[seg]]
+        out.append(routes.place(band, mix64(np.concatenate(found))))
+    return np.concatenate(out)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[object, np.ndarray]]:
@@ -169,27 +190,34 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[object, n
                 yield b.column(0)[first + row], token_set(words[at[row] : at[row + 1]], n)
 
 
-def token_counts(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """How many documents hold a token of each hashed cell (token occurrences, all documents), and how many there are."""
+#: More bands than sizes up to 2**40 have at any threshold from 0.7 on.
+MOST_BANDS = 256
+
+
+def token_counts(docs: DataFrame, n: int, threshold: float) -> tuple[np.ndarray, int, np.ndarray]:
+    """Over all documents: tokens of each hashed cell, how many have any, and tokens in each size band."""
+    bands = Bands(threshold)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, rows = np.zeros(CELLS, np.int64), 0
+        cells, rows, weight = np.zeros(CELLS, np.int64), 0, np.zeros(MOST_BANDS, np.int64)
         for _, tokens in _sets(batches, n):
             if len(tokens):
                 rows += 1
+                weight[bands.of(len(tokens))] += len(tokens)
                 cells += np.bincount((tokens & _U64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        used = np.flatnonzero(cells)
-        yield pa.record_batch([pa.array(np.append(used, -1), pa.int32()), pa.array(np.append(cells[used], rows), pa.int64())], ["cell", "n"])
+        used, sizes = np.flatnonzero(cells), np.flatnonzero(weight)
+        yield pa.record_batch([pa.array(np.concatenate((used, [-1], -2 - sizes)), pa.int32()), pa.array(np.concatenate((cells[used], [rows], weight[sizes])), pa.int64())], ["cell", "n"])
 
-    found = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS + 1 rows at most
-    cells = np.zeros(CELLS, np.int64)
-    rows = 0
+    found = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS + MOST_BANDS + 1 rows at most
+    cells, weight, rows = np.zeros(CELLS, np.int64), np.zeros(MOST_BANDS, np.int64), 0
     for r in found:
-        if r.cell < 0:
+        if r.cell == -1:
             rows = r.n
+        elif r.cell < 0:
+            weight[-2 - r.cell] = r.n
         else:
             cells[r.cell] = r.n
-    return cells, rows
+    return cells, rows, weight
 
 
 def _pack(names: list, sizes: list, signatures: list, buckets: int, kind: int) -> Iterator[tuple]:
@@ -199,7 +227,7 @@ def _pack(names: list, sizes: list, signatures: list, buckets: int, kind: int) -
         return
     flat = np.concatenate(signatures)
     owner = np.repeat(np.arange(len(counts)), counts)
-    bucket = ((flat >> _U64(32)) * _U64(buckets) >> _U64(32)).astype(np.int64)
+    bucket = (flat >> _U64(32)).astype(np.int64)
     order = np.argsort(bucket * len(counts) + owner, kind="stable")
     bucket, owner, low = bucket[order], owner[order], flat[order].astype(_U32)
     edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -215,7 +243,7 @@ def _pack(names: list, sizes: list, signatures: list, buckets: int, kind: int) -
 FLUSH = 3_000_000
 
 
-def _emit(n: int, threshold: float, buckets: int, cells: np.ndarray, rows: int):
+def _emit(n: int, threshold: float, routes: Routes, cells: np.ndarray, rows: int):
     bands = Bands(threshold)
     share = np.log(np.minimum(1.0, np.maximum(cells, 1) / max(rows, 1)))
 
@@ -226,7 +254,7 @@ def _emit(n: int, threshold: float, buckets: int, cells: np.ndarray, rows: int):
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            packed = [*_pack(held[0], held[1], held[2], buckets, 0), *_pack(held[0], held[1], held[3], buckets, 1)]
+            packed = [*_pack(held[0], held[1], held[2], routes.buckets, 0), *_pack(held[0], held[1], held[3], routes.buckets, 1)]
             columns = list(zip(*packed)) if packed else [()] * 6
             types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
             blank = [pa.nulls(len(ids), t) for t in types]
@@ -250,8 +278,8 @@ def _emit(n: int, threshold: float, buckets: int, cells: np.ndarray, rows: int):
             seen.add(name)
             held[0].append(name)
             held[1].append(len(tokens))
-            held[2].append(index_signatures(tokens, hashed, bands))
-            held[3].append(probe_signatures(tokens, hashed, share[(tokens & _U64(CELLS - 1)).astype(np.int64)], bands))
+            held[2].append(index_signatures(tokens, hashed, bands, routes))
+            held[3].append(probe_signatures(tokens, hashed, share[(tokens & _U64(CELLS - 1)).astype(np.int64)], bands, routes))
             size += len(held[2][-1]) + len(held[3][-1])
             if size > FLUSH:
                 yield from flush()
@@ -407,10 +435,10 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     """(pairs, members): set pairs (a, b, jaccard) with jaccard >= threshold, and (set_name, doc_ids)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    cells, rows = token_counts(texts, n)
-    buckets = max(8, parts(spark))
-    emitted = written(texts.mapInArrow(_emit(n, threshold, buckets, cells, rows), _SCHEMA), "signatures")
-    blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(buckets, "bucket")
+    cells, rows, weight = token_counts(texts, n, threshold)
+    routes = Routes(weight, parts(spark))
+    emitted = written(texts.mapInArrow(_emit(n, threshold, routes, cells, rows), _SCHEMA), "signatures")
+    blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(parts(spark), "bucket")
     hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
     candidates = written(hits.where(F.col("hits") >= HITS).select("a", "b"), "candidates")
     members = emitted.where("set_name is not null").groupBy("set_name").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
