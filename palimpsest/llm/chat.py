@@ -1,7 +1,7 @@
 """Operator 8: linking tool calls with their results in conversations.
 
-Calls and results are rows.  They are hash-joined by identifier within the conversation,
-put in topological order (a call comes after the calls whose identifiers its arguments
+Calls and results are rows, brought together by conversation in one shuffle.  There they
+are hash-joined by identifier, put in topological order (a call comes after the calls whose identifiers its arguments
 name, then by turn), their arguments are checked against the tool's JSON schema, and each
 conversation is serialised as canonical JSON: sorted keys, no white space, plain UTF-8.
 """
@@ -69,7 +69,7 @@ def topological(calls: list[dict]) -> list[dict]:
 
     Calls on a cycle come last, in that same order.
     """
-    order = sorted(range(len(calls)), key=lambda k: (calls[k]["turn"] is None, calls[k]["turn"] or 0, calls[k]["place"], calls[k]["id"]))
+    order = sorted(range(len(calls)), key=lambda k: (calls[k]["turn"] is None, calls[k]["turn"] or 0, calls[k]["place"], calls[k]["id"] or ""))
     calls = [calls[k] for k in order]
     holder: dict[str, list[int]] = {}
     for k, c in enumerate(calls):
@@ -96,7 +96,11 @@ def topological(calls: list[dict]) -> list[dict]:
 
 def _serialise(schemas: dict[str, dict]):
     def conversation(conv_id: int, rows: list[dict]) -> tuple[str, int, int, int]:
-        calls, results, messages = [], [], []
+        calls, messages = [], []
+        results: dict[str, list[tuple]] = {}  # the build side of the hash join
+        for r in rows:
+            if r["kind"] == "result":
+                results.setdefault(r["call_id"], []).append((r["turn"] is not None, r["turn"] or 0, r["body"] is not None, r["body"] or "", r["body"]))
         for r in rows:
             if r["kind"] == "call":
                 try:
@@ -104,16 +108,17 @@ def _serialise(schemas: dict[str, dict]):
                     ok = r["name"] in schemas and valid(arguments, schemas[r["name"]])
                 except ValueError:
                     arguments, ok = r["body"], False
-                calls.append({"id": r["call_id"], "name": r["name"], "arguments": arguments, "result": r["result"], "valid": ok, "turn": r["turn"], "place": r["place"]})
-            elif r["kind"] == "result":
-                results.append({"content": r["result"], "id": r["call_id"]})
-            else:
+                result = min(results[r["call_id"]])[-1] if r["call_id"] in results else None
+                calls.append({"id": r["call_id"], "name": r["name"], "arguments": arguments, "result": result, "valid": ok, "turn": r["turn"], "place": r["place"]})
+            elif r["kind"] == "message":
                 messages.append({"content": r["body"], "role": r["name"], "turn": r["turn"]})
+        called = {c["id"] for c in calls}
+        loose = [{"content": x[-1], "id": i} for i, found in results.items() if i not in called for x in found]
         messages.sort(key=lambda m: (m["turn"] is None, m["turn"] or 0, m["role"] or "", m["content"] or ""))
         ordered = [{k: c[k] for k in ("id", "name", "arguments", "result", "valid")} for c in topological(calls)]
         out: dict = {"calls": ordered, "conv_id": conv_id, "messages": messages}
-        if results:
-            out["unlinked"] = sorted(results, key=canonical)
+        if loose:
+            out["unlinked"] = sorted(loose, key=canonical)
         return canonical(out), len(calls), sum(c["result"] is not None for c in calls), sum(c["valid"] for c in calls)
 
     def serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +170,7 @@ def link_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None,
         .otherwise(F.array(event("message", None, F.col("role"), F.col("text"))).cast(_EVENTS))
     )
     flat = marked.select("conv_id", "turn", F.explode(events).alias("e")).select("conv_id", "turn", "e.*")
-    calls = flat.where("kind = 'call'")
-    result = Window.partitionBy("conv_id", "call_id").orderBy("turn", "body")
-    results = flat.where("kind = 'result'").withColumn("nth", F.row_number().over(result))
-    first = results.where("nth = 1").select("conv_id", "call_id", F.col("body").alias("result"))
-    linked = calls.join(first.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
-    loose = results.join(calls.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("result", F.col("body")).drop("nth")
-    said_only = flat.where("kind = 'message'").withColumn("result", F.lit(None).cast("string"))
-    every = linked.unionByName(loose).unionByName(said_only)
-    grouped = every.groupBy("conv_id").agg(F.collect_list(F.struct("kind", "call_id", "name", "body", "place", "result", "turn")).alias("rows"))
+    grouped = flat.groupBy("conv_id").agg(F.collect_list(F.struct("kind", "call_id", "name", "body", "place", "turn")).alias("rows"))
     return grouped.mapInArrow(_serialise(schemas), "conv_id long, json string, calls int, linked int, valid int")
 
 
