@@ -436,7 +436,8 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     cells, rows, weight = token_counts(texts, n, threshold)
-    routes = Routes(weight, parts(spark))
+    # fewer, larger buckets report a pair fewer times; a bucket of half a partition count still fits a worker
+    routes = Routes(weight, max(4, parts(spark) // 2))
     emitted = written(texts.mapInArrow(_emit(n, threshold, routes, cells, rows), _SCHEMA), "signatures")
     blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(parts(spark), "bucket")
     hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
