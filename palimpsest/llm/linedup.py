@@ -3,8 +3,9 @@
 Documents that share a line are found by line hashes.  A rare line, held by few documents,
 pairs all of them; a line that many hold pairs each with the first holder alone, so that
 work stays linear in its copies and no document is left out.  Each pair is aligned with
-patience diff over the lines they might share, and the aligned common blocks are deleted
-from the later document.
+patience diff over the lines they might share, recursively between anchors and by a longest
+common subsequence where there are none, and the aligned common blocks are deleted from the
+later document.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,15 +29,8 @@ RARE = 4
 BROADCAST_CUTS = 200_000
 
 
-def patience(old: list[int], new: list[int]) -> list[tuple[int, int]]:
-    """Aligned places (in old, in new) of equal lines, increasing in both.
-
-    Lines that occur once in both are anchors; the longest increasing run of them is kept,
-    and the alignment grows from each anchor over equal neighbours, backward then forward.
-    """
-    a, b = Counter(old), Counter(new)
-    where = {h: i for i, h in enumerate(old) if a[h] == 1}
-    anchors = [(where[h], j) for j, h in enumerate(new) if b[h] == 1 and h in where]
+def _increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of anchors, given by their second places, whose first places increase too."""
     tails: list[int] = []
     ends: list[int] = []
     back = [-1] * len(anchors)
@@ -52,20 +47,79 @@ def patience(old: list[int], new: list[int]) -> list[tuple[int, int]]:
     while k >= 0:
         chain.append(anchors[k])
         k = back[k]
-    chain.reverse()
+    return chain[::-1]
+
+
+def common_subsequence(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """A longest common subsequence, as places in both: bit-parallel, one integer for each line of ``new``.
+
+    Every ``step``-th integer is kept and those between are made again on the way back, so that memory
+    grows with the root of the number of lines.
+    """
+    where: dict[int, int] = {}
+    for i, h in enumerate(old):
+        where[h] = where.get(h, 0) | 1 << i
+    full = (1 << len(old)) - 1
+    step = isqrt(len(new)) + 1
+
+    def rows(v: int, first: int) -> Iterator[int]:
+        for h in new[first : first + step]:
+            u = v & where.get(h, 0)
+            v = (v + u | v - u) & full
+            yield v
+
+    starts, v = [], full  # a bit of v is 0 where one more line of old lengthens the subsequence
+    for first in range(0, len(new), step):
+        starts.append(v)
+        for v in rows(v, first):
+            pass
     out: list[tuple[int, int]] = []
-    for at, (i, j) in enumerate(chain):
-        if out and (i <= out[-1][0] or j <= out[-1][1]):
-            continue  # an earlier anchor's growth covers it
-        low = out[-1] if out else (-1, -1)
-        grown = [(i, j)]
-        while grown[-1][0] - 1 > low[0] and grown[-1][1] - 1 > low[1] and old[grown[-1][0] - 1] == new[grown[-1][1] - 1]:
-            grown.append((grown[-1][0] - 1, grown[-1][1] - 1))
-        out += reversed(grown)
-        stop = chain[at + 1] if at + 1 < len(chain) else (len(old), len(new))
-        while out[-1][0] + 1 < stop[0] and out[-1][1] + 1 < stop[1] and old[out[-1][0] + 1] == new[out[-1][1] + 1]:
-            out.append((out[-1][0] + 1, out[-1][1] + 1))
-    return out
+    i = len(old) - 1
+    for k in range(len(starts) - 1, -1, -1):
+        made = [starts[k], *rows(starts[k], k * step)]
+        j = len(made) - 1
+        while j and i >= 0:
+            if made[j] >> i & 1:
+                i -= 1
+            elif not made[j - 1] >> i & 1:
+                j -= 1
+            else:
+                out.append((i, k * step + j - 1))
+                i, j = i - 1, j - 1
+    return out[::-1]
+
+
+def patience(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """Aligned places (in old, in new) of equal lines, increasing in both.
+
+    Lines that occur once in both are anchors, and the longest increasing run of them is kept.  In each
+    gap between them equal lines at its beginning and its end are aligned, and what remains is aligned in
+    the same way, with occurrences counted within it; without an anchor by a longest common subsequence.
+    """
+    out: list[tuple[int, int]] = []
+    gaps = [(0, len(old), 0, len(new))]
+    while gaps:
+        low, high, left, right = gaps.pop()
+        if (low, high, left, right) != (0, len(old), 0, len(new)):
+            while low < high and left < right and old[low] == new[left]:
+                out.append((low, left))
+                low, left = low + 1, left + 1
+            while low < high and left < right and old[high - 1] == new[right - 1]:
+                high, right = high - 1, right - 1
+                out.append((high, right))
+        if low == high or left == right:
+            continue
+        x, y = old[low:high], new[left:right]
+        a, b = Counter(x), Counter(y)
+        where = {h: i for i, h in enumerate(x) if a[h] == 1}
+        chain = _increasing([(where[h], j) for j, h in enumerate(y) if b[h] == 1 and h in where])
+        if not chain:
+            out += [(low + i, left + j) for i, j in common_subsequence(x, y)]
+            continue
+        out += [(low + i, left + j) for i, j in chain]
+        ends = [(-1, -1), *chain, (len(x), len(y))]
+        gaps += [(low + p + 1, low + i, left + q + 1, left + j) for (p, q), (i, j) in zip(ends, ends[1:])]
+    return sorted(out)
 
 
 def deleted_places(old: list[int], new: list[int], places: list[int], sizes: list[int], min_block: int) -> list[int]:
