@@ -2,7 +2,9 @@
 
 Documents that share a line are found by line hashes.  A rare line, held by few documents,
 pairs all of them; a line that many hold pairs each with the first holder alone, so that
-work stays linear in its copies and no document is left out.  Each pair is aligned with
+work stays linear in its copies and no document is left out.  With ``every_holder`` what such
+a line's first holder doesn't cut is carried on to its further earlier holders, which gives
+the cuts of all pairs.  Each pair is aligned with
 patience diff over the lines they might share, recursively between anchors and by a longest
 common subsequence where there are none, and the aligned common blocks are deleted from the
 later document.
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import small, unused, written
@@ -152,12 +154,84 @@ def _align(min_block: int):
     return align
 
 
-def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK) -> DataFrame:
+def _keys(hashes: list[int]) -> list[int]:
+    """Keys of a document's lines, then of its neighbouring lines."""
+    return [*hashes, *(((x * 0x9E3779B97F4A7C15 + y + (1 << 63)) & (1 << 64) - 1) - (1 << 63) for x, y in zip(hashes, hashes[1:]))]
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(k, s) for s, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k in set(_keys(hashes))]
+        yield pa.record_batch([pa.array([k for k, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.int64())], ["key", "sequence"])
+
+
+def _wanted(min_block: int):
+    """Keys that an earlier document must hold to cut one more line: the line, or a neighbour with it where it is too short for a block."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for row, hashes, places, sizes, cut in zip(*(b.column(k).to_pylist() for k in range(5))):
+                gone, keys, n = set(cut or ()), _keys(hashes), len(hashes)
+                long = {keys[k] for k in range(n) if sizes[k] >= min_block and places[k] not in gone}
+                short = [k for k in range(n) if sizes[k] < min_block and places[k] not in gone]
+                rows += [(row, x) for x in long | {keys[n + j] for k in short for j in (k - 1, k) if 0 <= j < n - 1}]
+            yield pa.record_batch([pa.array([r for r, _ in rows], pa.int64()), pa.array([k for _, k in rows], pa.int64())], ["later", "key"])
+
+    return wanted
+
+
+def _carried(min_line: int, min_block: int):
+    """As _align, of those pairs that share a line of ``min_line`` characters; a row for each pair."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            later, out = [], []
+            for row, old, new, places, sizes in zip(*(b.column(k).to_pylist() for k in range(5))):
+                held = set(old)
+                pair = any(n >= min_line and h in held for h, n in zip(new, sizes))
+                later.append(row)
+                out.append(deleted_places(old, new, places, sizes, min_block) if pair else [])
+            yield pa.record_batch([pa.array(later, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["later", "places"])
+
+    return align
+
+
+def _carry_on(sequences: DataFrame, cut: DataFrame, min_line: int, min_block: int) -> DataFrame:
+    """(later, _cut): ``cut`` with what all other pairs of documents cut as well.
+
+    A line that stays is looked for in earlier documents, those of equal lines taken once, in the
+    order of their ids and fourfold as far in each round, until one cuts it or none is left.
+    """
+    found = cut
+    state = written(sequences.join(cut.withColumnRenamed("later", "_row"), "_row", "left").select(F.col("_row").alias("later"), "order", "hashes", "places", "sizes", "_cut"), "uncut")
+    distinct = sequences.groupBy(F.xxhash64("hashes").alias("sequence")).agg(F.min("order").alias("first"), F.any_value("hashes").alias("old"))
+    distinct = written(distinct, "distinct_sequences")
+    held = distinct.select("sequence", "old").mapInArrow(_postings, "key long, sequence long").join(distinct.select("sequence", "first"), "sequence")
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("first"))
+    held = written(held.withColumn("rank", rank), "postings")
+    done, width = 0, 4
+    while True:
+        wanted = state.select("later", "hashes", "places", "sizes", "_cut").mapInArrow(_wanted(min_block), "later long, key long").join(state.select("later", "order"), "later")
+        near = held.where((F.col("rank") > done) & (F.col("rank") <= done + width))
+        pairs = wanted.join(near, "key").where(F.col("first") < F.col("order")).select("later", "sequence").distinct()
+        aligned = pairs.join(distinct.select("sequence", "old"), "sequence").join(state, "later").select("later", "old", F.col("hashes").alias("new"), "places", "sizes")
+        more = aligned.mapInArrow(_carried(min_line, min_block), "later long, places array<int>").groupBy("later").agg(F.flatten(F.collect_list("places")).alias("_more"))
+        cuts = F.array_union(F.coalesce("_cut", F.expr("array()")), "_more").alias("_cut")
+        state = written(state.join(more, "later").select("later", "order", "hashes", "places", "sizes", cuts), "uncut")
+        if state.isEmpty():
+            return found.groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("_cut"))).alias("_cut"))
+        found = found.union(state.where(F.size("_cut") > 0).select("later", "_cut"))
+        done, width = done + width, width * 4
+
+
+def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, every_holder: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the common blocks cut out of ``text``.
 
     A line is compared without spaces at its ends.  Of two documents the one with the
     smaller id is the earlier (null ids last, ties by a hash of the row); it keeps the block,
-    so the first holder of a line always keeps it.  Rows repeated in id and text are one
+    so the first holder of a line always keeps it.  ``every_holder`` gives the cuts of all pairs
+    that share a line of ``min_line`` characters, whatever ``rare`` is.  Rows repeated in id and text are one
     document: all get the same cuts.  ``n_chars`` becomes the new length where text was cut
     and the column is there.  A text of which every line goes becomes empty; null and empty
     texts stay.  No other column is looked at.
@@ -171,8 +245,8 @@ def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LIN
     every = every.select("_row", "order", "place", F.xxhash64("line").alias("hash"), F.length("line").alias("size"))
     holders = every.groupBy("hash").agg(F.count("*").alias("n"), F.min("order").alias("first"), F.max("_row").alias("top"), F.min("_row").alias("low")).where("top <> low")
     shared = written(every.join(holders.select("hash", "n", "first"), "hash"), "shared_lines")
-    sequences = shared.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("place", "hash", "size"))).alias("s"))
-    sequences = written(sequences.select("_row", F.col("s.place").alias("places"), F.col("s.hash").alias("hashes"), F.col("s.size").alias("sizes")), "sequences")
+    sequences = shared.groupBy("_row").agg(F.min("order").alias("order"), F.array_sort(F.collect_set(F.struct("place", "hash", "size"))).alias("s"))
+    sequences = written(sequences.select("_row", "order", F.col("s.place").alias("places"), F.col("s.hash").alias("hashes"), F.col("s.size").alias("sizes")), "sequences")
     anchors = shared.where(F.col("size") >= min_line).select("_row", "order", "hash", "n", "first").distinct()
     many = anchors.where((F.col("n") > rare) & (F.col("first.r") != F.col("_row"))).select(F.col("first.r").alias("earlier"), F.col("_row").alias("later"))
     few = anchors.where(F.col("n") <= rare).groupBy("hash").agg(F.array_sort(F.collect_list("order")).alias("o"))
@@ -182,6 +256,8 @@ def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LIN
     new = sequences.select(F.col("_row").alias("later"), F.col("hashes").alias("new"), "places", "sizes")
     aligned = pairs.join(old, "earlier").join(new, "later").select("later", "old", "new", "places", "sizes")
     cut = aligned.mapInArrow(_align(min_block), "later long, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_cut"))
+    if every_holder:
+        cut = _carry_on(sequences, written(cut, "first_cuts"), min_line, min_block)
     cut = written(cut.withColumnRenamed("later", "_row"), "cuts")
     joined = base.join(small(cut.toDF(row_name, cut_name), BROADCAST_CUTS), row_name, "left")
     gone = F.col(cut_name).isNotNull()

@@ -26,7 +26,7 @@ def op3_language(spark, sf_dir):
 
 
 def op4_line_dedup(spark, sf_dir):
-    return linedup.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return linedup.deduplicate_lines(table(spark, sf_dir, "documents"), every_holder=True)
 
 
 def op5_quality(spark, sf_dir):
