@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.text import slices, utf8
 
-EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 2, 40
+EMBED, WIDTH, STRIDE, FILTERS = 8, 8, 1, 40
 #: How much more a bad document counts in training than a good one, of which there are more.
 BAD_WEIGHT = 2.5
 #: Filters that begin as byte patterns; the others begin at random.
