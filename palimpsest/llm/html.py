@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import small, written
 
-#: Pages whose neighbours' line hashes may be broadcast (about 200 bytes each); beyond it the text is shuffled once.
-BROADCAST_PAIRS = 150_000
+#: Bytes of neighbours' line hashes up to which they are broadcast; beyond it the text is shuffled once.
+BROADCAST_PAIRS = 32_000_000
 
 _BLOCKS = set("address article aside blockquote body br center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 _TAG = re.compile(

@@ -27,8 +27,8 @@ from palimpsest.llm.common import small, unused, written
 MIN_LINE, MIN_BLOCK = 20, 20
 #: Holders of a line up to which it is rare: all of them pair with each other.
 RARE = 4
-#: Documents with cuts up to which the cuts are broadcast (about 100 bytes each).
-BROADCAST_CUTS = 200_000
+#: Bytes of cuts up to which they are broadcast; beyond it the texts are shuffled once.
+BROADCAST_CUTS = 32_000_000
 
 
 def _increasing(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -58,7 +58,7 @@ def mix(docs: DataFrame, weights: DataFrame, targets: dict[str, float] | None =
     plan = plan.withColumn("budget", F.floor(F.sum("tokens").over(everything) * F.lit(float(budget_ratio)) * F.col("target") / F.sum("target").over(everything)).cast("long"))
     plan = plan.select("source", (F.col("budget") / F.col("tokens")).cast("long").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_docs)).alias("buckets"))
     # keys are at least exponential: 1 - exp(-key) spreads them over (0, 1) in order
-    plan = small(written(plan.withColumnRenamed("source", "of"), "plan"), 100_000)
+    plan = small(written(plan.withColumnRenamed("source", "of"), "plan"))
     placed = keyed.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     placed = placed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")).cast("long"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("own"))

@@ -357,10 +357,12 @@ class Forest:
             self.parent[p] = x
         return x
 
-    def add(self, a: int, b: int) -> None:
+    def add(self, a: int, b: int) -> bool:
+        """Joins the trees of both; whether they were two."""
         a, b = self.root(a), self.root(b)
         if a != b:
             self.parent[max(a, b)] = min(a, b)
+        return a != b
 
 
 def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,19 +404,64 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     return current.select(F.col("a").alias("component"), F.col("b").alias("member")).union(roots)
 
 
-def _verify(threshold: float):
+#: What one block of a component may hold on either side: tokens, and sets.
+BLOCK_TOKENS, BLOCK_SETS = 200_000, 1000
+_FOUND = "a long, b long, links long, jaccard double"
+
+
+def _similarities(flat: np.ndarray, edge: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets left[k] and right[k]; set i is flat[edge[i] : edge[i + 1]], ``left`` is sorted."""
+    code = np.unique(flat, return_inverse=True)[1]
+    mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
+    size = np.diff(edge)
+    both = np.zeros(len(left), np.int64)
+    cuts = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1], [True])))
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        own, others = code[edge[left[x]] : edge[left[x] + 1]], right[x:y]
+        ahead = np.concatenate(([0], np.cumsum(size[others])))
+        mark[own] = True
+        at = np.repeat(edge[others] - ahead[:-1], size[others]) + np.arange(ahead[-1])
+        both[x:y] = np.add.reduceat(mark[code[at]].astype(np.int64), ahead[:-1])
+        mark[own] = False
+    return both / (size[left] + size[right] - both)
+
+
+def _verify(threshold: float, pairs_too: bool):
+    """Of one block: what each set is linked with, a spanning forest of the links, and all links if asked for."""
+
     def verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        held = {r["set_name"]: np.frombuffer(r["tokens"], _U64) for r in sets.to_pylist()}
-        a, b, j = [], [], []
-        for x, y in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
-            p, q = held[x], held[y]
-            both = int((p[np.minimum(np.searchsorted(p, q), len(p) - 1)] == q).sum())
-            jaccard = both / (len(p) + len(q) - both)
-            if jaccard >= threshold - _EPS:
-                a.append(x)
-                b.append(y)
-                j.append(jaccard)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+        names, first = np.unique(sets["set_name"].to_numpy(), return_index=True)
+        left, right = (np.searchsorted(names, pairs[c].to_numpy()) for c in ("a", "b"))
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        out: list[tuple] = []
+        if len(left):
+            blobs = sets["tokens"].to_pylist()
+            held = [np.frombuffer(blobs[k], _U64) for k in first]
+            edge = np.concatenate(([0], np.cumsum([len(h) for h in held])))
+            jaccard = _similarities(np.concatenate(held), edge, left, right)
+            ok = jaccard >= threshold - _EPS
+            left, right, jaccard = left[ok], right[ok], jaccard[ok]
+            copies = sets["copies"].to_numpy()[first]
+            links, best = np.zeros(len(names), np.int64), np.zeros(len(names))
+            for p, q in ((left, right), (right, left)):
+                np.add.at(links, p, copies[q])
+                np.maximum.at(best, p, jaccard)
+            forest, tree = Forest(), []
+            for p, q in zip(left.tolist(), right.tolist()):
+                if forest.add(p, q):
+                    tree.append((p, q))
+            used = np.flatnonzero(links)
+            out.append((names[used], None, links[used], best[used]))
+            if pairs_too:
+                out.append((names[left], names[right], None, jaccard))
+            elif tree:
+                p, q = np.array(tree).T
+                out.append((names[p], names[q], None, None))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        columns = ("a", "b", "links", "jaccard")
+        tables = [pa.table([pa.nulls(len(rows[0]), t) if x is None else pa.array(x, t) for x, t in zip(rows, types)], columns) for rows in out]
+        return pa.concat_tables(tables) if tables else pa.table([pa.array([], t) for t in types], columns)
 
     return verify
 
@@ -422,17 +469,39 @@ def _verify(threshold: float):
 def _tokens_of(n: int):
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(_sets([b], n), b.column(2).to_pylist(), b.column(3).to_pylist())
+            held = [(name, k, tokens.tobytes()) for k, ((_, tokens), name) in enumerate(zip(_sets([b], n), b.column(2).to_pylist())) if set_name(mix64(tokens)) == name]
             # an id that carries two texts has two sets: each row counts for its own alone
-            own = [(name, component, tokens.tobytes()) for (_, tokens), name, component in rows if set_name(mix64(tokens)) == name]
-            columns = list(zip(*own)) if own else [()] * 3
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], ["set_name", "component", "tokens"])
+            rows = pa.array([k for _, k, _ in held], pa.int64())
+            tokens = pa.array([t for _, _, t in held], pa.binary())
+            yield pa.record_batch([*(b.column(c).take(rows) for c in range(2, b.num_columns)), tokens], [*_PLACED, "tokens"])
 
     return sets_of
 
 
-def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): set pairs (a, b, jaccard) with jaccard >= threshold, and (set_name, doc_ids)."""
+_PLACED = ["set_name", "component", "copies", "blocks"]
+
+
+def _block(component: str, place, other, blocks: str, shared: int):
+    """The key under which two places of a component meet; components of one block share ``shared`` keys."""
+    alone = F.col(blocks) > 1
+    return F.struct(
+        F.when(alone, F.col(component)).otherwise(F.pmod(F.xxhash64(component), F.lit(shared))).alias("x"),
+        F.when(alone, F.least(place, other)).otherwise(F.lit(-1)).cast("int").alias("i"),
+        F.when(alone, F.greatest(place, other)).otherwise(F.lit(-1)).cast("int").alias("j"),
+    )
+
+
+def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, pairs_too: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, sets, members) of the documents' token sets.
+
+    ``members`` is (doc_id, set_name), ``sets`` (set_name, first, copies) with the least id and the number
+    of documents of each set.  ``found`` is (a, b, links, jaccard): where b is null, the documents of
+    other sets that are similar to set a and the greatest similarity, in parts to be summed; else two
+    similar sets: with ``pairs_too`` all such pairs, otherwise enough of them to connect what is connected.
+
+    Pairs are verified in blocks: a connected component of the candidates with many sets or tokens is
+    cut by hashes of its sets, and each two parts of it meet in a task of their own.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     cells, rows, weight = token_counts(texts, n, threshold)
@@ -442,35 +511,66 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> t
     blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(parts(spark), "bucket")
     hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
     candidates = written(hits.where(F.col("hits") >= HITS).select("a", "b"), "candidates")
-    members = emitted.where("set_name is not null").groupBy("set_name").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
-    groups = written(components(candidates), "components")
-    of = groups.withColumnRenamed("member", "set_name")
-    wanted = written(members.join(of, "set_name").select("set_name", "component", F.col("doc_ids")[0].alias("doc_id")), "wanted")
-    chosen = texts.join(small(wanted), "doc_id").select("doc_id", "text", "set_name", "component")
-    sets = chosen.mapInArrow(_tokens_of(n), "set_name long, component long, tokens binary")
-    pairs = candidates.join(groups.select("component", F.col("member").alias("a")), "a").select("component", "a", "b")
-    verified = sets.groupBy("component").cogroup(pairs.groupBy("component")).applyInArrow(_verify(threshold), "a long, b long, jaccard double")
-    return written(verified, "verified"), members
+    # distinct by both columns first: a set that a third of the documents share is counted in many tasks
+    members = written(emitted.where("set_name is not null").select("doc_id", "set_name", "n_tokens").distinct(), "members")
+    sets = written(members.groupBy("set_name").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n_tokens").alias("n_tokens")), "sets")
+    groups = components(candidates).withColumnRenamed("member", "set_name").join(sets, "set_name")
+    groups = written(groups, "components")
+    size = groups.groupBy("component").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("s"))
+    blocks = F.greatest(F.ceil(F.col("t") / BLOCK_TOKENS), F.ceil(F.col("s") / BLOCK_SETS)).cast("int")
+    wanted = written(groups.join(size.select("component", blocks.alias("blocks")), "component").select(F.col("first").alias("doc_id"), *_PLACED), "wanted")
+    chosen = texts.join(small(wanted), "doc_id").select("doc_id", "text", *_PLACED)
+    held = chosen.mapInArrow(_tokens_of(n), "set_name long, component long, copies long, blocks int, tokens binary")
+    shared = 2 * parts(spark)
+    place = lambda name: F.pmod(F.xxhash64(name), F.col("blocks"))
+    meeting = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: _block("component", place("set_name"), other, "blocks", shared))
+    left = held.select("set_name", "copies", "tokens", F.explode(meeting).alias("block")).select("block.*", "set_name", "copies", "tokens")
+    pairs = candidates.join(wanted.select(F.col("set_name").alias("a"), "component", "blocks"), "a")
+    right = pairs.select(_block("component", place("a"), place("b"), "blocks", shared).alias("block"), "a", "b").select("block.*", "a", "b")
+    found = left.groupBy("x", "i", "j").cogroup(right.groupBy("x", "i", "j")).applyInArrow(_verify(threshold, pairs_too), _FOUND)
+    return written(found, "verified"), sets, members
+
+
+def _classes(found: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
+    """(set_name, class_id): the least id of each connected group of sets, of those that are linked with another."""
+    # an id with two texts is one document, so its sets are connected by it
+    several = members.groupBy("doc_id").agg(F.min("set_name").alias("a"), F.max("set_name").alias("z")).where("a <> z")
+    within = members.join(several, "doc_id").select("a", F.col("set_name").alias("b")).where("a <> b")
+    joined = written(components(found.where("b is not null").select("a", "b").union(within)), "classes")
+    least = joined.join(sets, joined.member == sets.set_name).groupBy("component").agg(F.min("first").alias("class_id"))
+    return joined.join(least, "component").select(F.col("member").alias("set_name"), "class_id")
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_a, doc_b, jaccard): the similar pairs of different sets, each by its least id, and the membership of equal sets.
+
+    Documents with equal sets are a class.  Every two similar classes give one row of their least ids,
+    the smaller first; every further document of a class gives one row with the least and jaccard 1.  The
+    documents that take part are those of :func:`jaccard_join`.  Rows grow with the similar pairs.
+    """
+    found, sets, members = similar_sets(docs, n, threshold, pairs_too=True)
+    first = sets.select("set_name", "first")
+    both = found.where("b is not null").join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    linked = both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    return linked.union(members.join(first, "set_name").where("doc_id <> first").select("first", "doc_id", F.lit(1.0)))
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(ids_a, ids_b, jaccard): all pairs of documents whose n-gram sets are similar, equal sets taken together.
-
-    ``ids_a`` and ``ids_b`` are the sorted ids of the documents that have either set, and
-    every document of the one pairs with every document of the other.  A set that two or
-    more documents share also pairs with itself: one row with both lists equal and
-    jaccard 1.  ``ids_a`` has the smaller first id.  Null texts, null ids and texts without
-    a word take no part; a repeated row counts once; columns besides doc_id and text are
-    not read.  The similarity is exact up to collisions of 64-bit hashes.
+    """(doc_id, class_id, links, jaccard): every document whose n-gram set is similar to that of another.
+
+    ``links`` is the number of other documents with a Jaccard similarity of at least the threshold,
+    equal sets among them, ``jaccard`` the greatest of these similarities, and ``class_id`` the least id
+    of the connected group.  One row a document, so that groups of thousands of copies cost no more;
+    :func:`jaccard_pairs` lists the links.  Null texts, null ids and texts without a word take
+    no part; a repeated row counts once, an id with two texts has a row for each of its sets; columns
+    besides doc_id and text are not read.  The similarity is exact up to collisions of 64-bit hashes.
     """
-    pairs, members = similar_sets(docs, n, threshold)
-    left = members.select(F.col("set_name").alias("a"), F.col("doc_ids").alias("x"))
-    right = members.select(F.col("set_name").alias("b"), F.col("doc_ids").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    ordered = F.col("x")[0] <= F.col("y")[0]
-    found = both.select(F.when(ordered, F.col("x")).otherwise(F.col("y")).alias("ids_a"), F.when(ordered, F.col("y")).otherwise(F.col("x")).alias("ids_b"), "jaccard")
-    same = members.where(F.size("doc_ids") > 1).select(F.col("doc_ids").alias("ids_a"), F.col("doc_ids").alias("ids_b"), F.lit(1.0).alias("jaccard"))
-    return found.union(same)
+    found, sets, members = similar_sets(docs, n, threshold)
+    counted = found.where("b is null").groupBy(F.col("a").alias("set_name")).agg(F.sum("links").alias("links"), F.max("jaccard").alias("jaccard"))
+    joined = sets.join(counted, "set_name", "left").join(_classes(found, sets, members), "set_name", "left").where("copies > 1 or links is not null")
+    jaccard = F.when(F.col("copies") > 1, F.lit(1.0)).otherwise(F.col("jaccard"))
+    joined = joined.select("set_name", F.coalesce("class_id", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), jaccard.alias("jaccard"))
+    return members.join(joined, "set_name").select("doc_id", "class_id", "links", "jaccard")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -478,23 +578,22 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
 
     A group is a connected component of the similarity graph; equal sets are connected.
     """
-    pairs, members = similar_sets(docs, n, threshold)
-    first = members.select("set_name", F.col("doc_ids")[0].alias("first"))
-    edges = pairs.join(first.withColumnsRenamed({"set_name": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set_name": "b", "first": "fb"}), "b")
-    # an id with two texts is one document, so both of its sets are connected by it
-    within = members.select(F.col("doc_ids")[0].alias("a"), F.explode("doc_ids").alias("b")).where("a <> b")
-    graph = edges.select(F.col("fa").alias("a"), F.col("fb").alias("b")).where("a <> b").union(within)
-    return components(graph).where("component <> member").select(F.col("member").alias("doc_id"), F.col("component").alias("kept_id"))
+    found, sets, members = similar_sets(docs, n, threshold)
+    named = sets.join(_classes(found, sets, members), "set_name", "left").where("copies > 1 or class_id is not null").select("set_name", F.coalesce("class_id", "first").alias("kept_id"))
+    return members.join(named, "set_name").where("doc_id <> kept_id").select("doc_id", "kept_id").distinct()
 
 
 SQL = r"""
-WITH word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w
+WITH RECURSIVE word AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')) AS w
               FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
      bag AS (SELECT doc_id, list_sort(list(w)) AS ws FROM word GROUP BY doc_id),
-     named AS (SELECT ws, list_sort(list(doc_id)) AS ids, min(doc_id) AS s, len(ws) AS n FROM bag GROUP BY ws),
+     named AS (SELECT ws, min(doc_id) AS s, len(ws) AS n, count(*) AS copies FROM bag GROUP BY ws),
      token AS (SELECT s, unnest(ws) AS w FROM named),
-     pair AS (SELECT x.s AS a, y.s AS b, count(*) AS c FROM token x JOIN token y ON x.w = y.w AND x.s < y.s GROUP BY 1, 2)
-SELECT p.ids AS ids_a, q.ids AS ids_b, round(c / (p.n + q.n - c), 6) AS jaccard
-FROM pair JOIN named p ON p.s = a JOIN named q ON q.s = b WHERE c / (p.n + q.n - c) >= 0.8 - 1e-9
-UNION ALL SELECT ids, ids, 1.0 FROM named WHERE len(ids) > 1
+     pair AS (SELECT x.s AS a, y.s AS b, count(*) AS c FROM token x JOIN token y ON x.w = y.w AND x.s <> y.s GROUP BY 1, 2),
+     near AS (SELECT a, b, q.copies, c / (p.n + q.n - c) AS j FROM pair JOIN named p ON p.s = a JOIN named q ON q.s = b WHERE c / (p.n + q.n - c) >= 0.8 - 1e-9),
+     reach AS (SELECT s, s AS t FROM named UNION SELECT r.s, near.b FROM reach r JOIN near ON near.a = r.t),
+     class AS (SELECT s, min(t) AS class_id FROM reach GROUP BY s),
+     linked AS (SELECT a, sum(copies) AS links, max(j) AS j FROM near GROUP BY a)
+SELECT doc_id, class_id, (coalesce(links, 0) + copies - 1)::BIGINT AS links, round(CASE WHEN copies > 1 THEN 1.0 ELSE j END, 6) AS jaccard
+FROM bag JOIN named USING (ws) JOIN class USING (s) LEFT JOIN linked ON a = s WHERE copies > 1 OR links IS NOT NULL
 """

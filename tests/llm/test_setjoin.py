@@ -8,26 +8,41 @@ from palimpsest.llm import setjoin as S
 from tests.llm.helpers import docs, edited, words
 
 
-def brute(rows, n, threshold):
+def classes(rows, n):
+    """Ids of each set of word n-grams."""
     bag = {}
     for i, text in rows:
-        if i is None or text is None:
-            continue
-        w = re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())
+        w = [] if i is None or text is None else re.findall("[a-z0-9\u0080-\U0010ffff]+", text.lower())
         if w:
             n_ = min(n, len(w))
             bag.setdefault(frozenset(tuple(w[k : k + n_]) for k in range(len(w) - n_ + 1)), set()).add(i)
-    out = []
+    return bag
+
+
+def brute(rows, n, threshold):
+    """(pairs of class representatives and membership, one row a document), from all pairs of sets."""
+    bag = classes(rows, n)
     sets = list(bag)
+    pairs, links, best, group = [], {}, {}, {s: {s} for s in sets}
     for x, a in enumerate(sets):
-        if len(bag[a]) > 1:
-            out.append((sorted(bag[a]), sorted(bag[a]), 1.0))
+        pairs += [(min(bag[a]), i, 1.0) for i in bag[a] - {min(bag[a])}]
         for b in sets[x + 1 :]:
             j = len(a & b) / len(a | b)
             if j >= threshold - 1e-9:
-                p, q = sorted((sorted(bag[a]), sorted(bag[b])), key=lambda ids: ids[0])
-                out.append((p, q, round(j, 6)))
-    return sorted(out)
+                pairs.append((*sorted((min(bag[a]), min(bag[b]))), round(j, 6)))
+                for p, q in ((a, b), (b, a)):
+                    links[p] = links.get(p, 0) + len(bag[q])
+                    best[p] = max(best.get(p, 0), j)
+                if group[a] is not group[b]:
+                    group[a] |= group[b]
+                    for m in group[a]:
+                        group[m] = group[a]
+    out = []
+    for s in sets:
+        if s in links or len(bag[s]) > 1:
+            least = min(min(bag[m]) for m in group[s])
+            out += [(i, least, links.get(s, 0) + len(bag[s]) - 1, 1.0 if len(bag[s]) > 1 else round(best[s], 6)) for i in bag[s]]
+    return sorted(pairs), sorted(out)
 
 
 def corpus(seed, sizes, copies):
@@ -44,8 +59,27 @@ def corpus(seed, sizes, copies):
 @pytest.mark.parametrize("n,threshold", [(1, 0.8), (2, 0.8), (1, 0.9), (3, 0.7)])
 def test_against_brute_force(spark, n, threshold):
     rows = corpus(n, [1, 2, 3, 5, 8, 12, 20, 33, 60, 61, 64, 90, 150, 400], 7)
+    pairs, documents = brute(rows, n, threshold)
+    found = S.jaccard_pairs(docs(spark, rows), n, threshold).collect()
+    assert sorted((r.doc_a, r.doc_b, round(r.jaccard, 6)) for r in found) == pairs
     found = S.jaccard_join(docs(spark, rows), n, threshold).collect()
-    assert sorted((list(r.ids_a), list(r.ids_b), round(r.jaccard, 6)) for r in found) == brute(rows, n, threshold)
+    assert sorted((r.doc_id, r.class_id, r.links, round(r.jaccard, 6)) for r in found) == documents
+
+
+@pytest.mark.parametrize("tokens,sets", [(50, 1000), (10**6, 3), (1, 1)])
+def test_blocks_lose_no_link(spark, monkeypatch, tokens, sets):
+    """Groups that are cut into many blocks give what they give in one."""
+    monkeypatch.setattr(S, "BLOCK_TOKENS", tokens)
+    monkeypatch.setattr(S, "BLOCK_SETS", sets)
+    rows = corpus(5, [12, 40, 41], 12)
+    rows += [(1000 + i, text) for i, text in rows[:5]]
+    pairs, documents = brute(rows, 1, 0.8)
+    found = S.jaccard_pairs(docs(spark, rows)).collect()
+    assert sorted((r.doc_a, r.doc_b, round(r.jaccard, 6)) for r in found) == pairs
+    found = S.jaccard_join(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.links, round(r.jaccard, 6)) for r in found) == documents
+    gone = sorted(map(tuple, S.near_duplicates(docs(spark, rows)).collect()))
+    assert gone == sorted((i, c) for i, c, _, _ in documents if i != c)
 
 
 def test_every_similar_pair_hits_often_enough():
@@ -81,7 +115,16 @@ def test_components(spark):
 def test_edge_cases(spark):
     long = " ".join(words(random.Random(9), 30_000))
     rows = [(1, None), (2, ""), (3, "!!! ..."), (4, "Ein Wort"), (5, "ein wort!"), (6, "wort"), (7, long), (8, long + " tail"), (None, "ein wort"), (4, "Ein Wort"), (9, "solo")]
-    found = sorted((list(r.ids_a), list(r.ids_b)) for r in S.jaccard_join(docs(spark, rows)).collect())
-    assert found == [([4, 5], [4, 5]), ([7], [8])]
+    found = sorted((r.doc_id, r.class_id, r.links) for r in S.jaccard_join(docs(spark, rows)).collect())
+    assert found == [(4, 4, 1), (5, 4, 1), (7, 7, 1), (8, 7, 1)]
     assert sorted(map(tuple, S.near_duplicates(docs(spark, rows)).collect())) == [(5, 4), (8, 7)]
-    assert S.jaccard_join(docs(spark, [])).count() == 0 and S.near_duplicates(docs(spark, [])).count() == 0
+    assert S.jaccard_join(docs(spark, [])).count() == 0 and S.near_duplicates(docs(spark, [])).count() == 0 and S.jaccard_pairs(docs(spark, [])).count() == 0
+
+
+def test_an_id_with_two_texts(spark):
+    """Its sets are connected by it; each has a row."""
+    one, two = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(7, one), (7, two), (5, one + " z"), (9, two + " y")]
+    found = sorted((r.doc_id, r.class_id, r.links) for r in S.jaccard_join(docs(spark, rows)).collect())
+    assert found == [(5, 5, 1), (7, 5, 1), (7, 5, 1), (9, 5, 1)]
+    assert sorted(map(tuple, S.near_duplicates(docs(spark, rows)).collect())) == [(7, 5), (9, 5)]
