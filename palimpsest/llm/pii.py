@@ -3,7 +3,8 @@
 Values that pass validation are replaced by another value of the same format: a number
 stays a number of as many digits, a card keeps a right check digit, a date stays a date.
 The permutation depends on the key and the format alone, so equal values get equal
-pseudonyms in all documents, and the holder of the key can invert them.
+pseudonyms in all documents, and the holder of the key can invert them.  A date has one
+pseudonym in whatever form it is written.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -19,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Characters of a long value that are permuted at once.
+BLOCK = 64
 _LOW = "abcdefghijklmnopqrstuvwxyz"
 _DIGITS = "0123456789"
 _LATIN = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
@@ -34,7 +39,8 @@ class Feistel:
         self.key = key[:64]
 
     def _round(self, i: int, tweak: str, x: int, size: int) -> int:
-        text = f"{tweak}|{i}|{size}|{x}".encode()
+        # hexadecimal: linear in the size of the number, and without Python's limit on decimal digits
+        text = f"{tweak}|{i}|{size:x}|{x:x}".encode()
         wide = -(-size.bit_length() // 8) + 8
         out = b""
         block = 0
@@ -71,18 +77,33 @@ class Feistel:
         n = len(text)
         return f"{self.permute(int(text), 10**n, f'{tweak}{n}', backward, lambda x: valid(f'{x:0{n}d}')):0{n}d}"
 
-    def classes(self, text: str, tweak: str, backward: bool = False, alphabets: list[str] | None = None) -> str:
-        """Each character changes within its class (digit, lower, upper, accented); others stay."""
-        alphabets = alphabets or _CLASSES
-        kinds = [next((a for a in alphabets if c in a), None) for c in text]
-        size = value = 0
+    def classes(self, text: str, tweak: str, backward: bool = False, alphabets: list[str] | None = None) -> str | None:
+        """Each letter and digit changes within its class; others stay.  None where nothing can change.
+
+        Characters are permuted in blocks of BLOCK, each tweaked by a hash of the plain text before it,
+        so that the work is linear in the length of the text.
+        """
+        kinds = [_kind(c, alphabets) for c in text]
+        if all(len(k) < 2 for k in kinds):
+            return None
+        shape = hashlib.blake2b("\0".join(kinds).encode(), digest_size=16).hexdigest()
+        before = hashlib.blake2b(digest_size=16)
+        out = []
+        for at in range(0, len(text), BLOCK):
+            part, own = text[at : at + BLOCK], kinds[at : at + BLOCK]
+            new = self._block(part, own, f"{tweak}{shape}{at}{before.hexdigest() if at else ''}", backward)
+            before.update((new if backward else part).encode())
+            out.append(new)
+        return "".join(out)
+
+    def _block(self, text: str, kinds: list[str], tweak: str, backward: bool) -> str:
+        size, value = 1, 0
         for c, kind in zip(text, kinds):
             if kind:
-                size, value = (size or 1) * len(kind), value * len(kind) + kind.index(c)
+                size, value = size * len(kind), value * len(kind) + kind.index(c)
         if size < 2:
             return text
-        shape = "".join(str(alphabets.index(k)) if k else "-" for k in kinds)
-        value = self.permute(value, size, tweak + shape, backward)
+        value = self.permute(value, size, tweak, backward)
         out = []
         for c, kind in zip(reversed(text), reversed(kinds)):
             if kind:
@@ -92,6 +113,23 @@ class Feistel:
         return "".join(reversed(out))
 
 
+@lru_cache(maxsize=4096)
+def _script(block: int, category: str) -> str:
+    """The letters or digits of one Unicode category among 256 neighbouring code points."""
+    return "".join(c for c in map(chr, range(block << 8, (block + 1) << 8)) if unicodedata.category(c) == category)
+
+
+@lru_cache(maxsize=100_000)
+def _class(c: str) -> str:
+    known = next((a for a in _CLASSES if c in a), None)
+    return known or (_script(ord(c) >> 8, unicodedata.category(c)) if c.isalnum() else "")
+
+
+def _kind(c: str, alphabets: list[str] | None) -> str:
+    """The class in which a character changes, empty for none."""
+    return _class(c) if alphabets is None else next((a for a in alphabets if c in a), "")
+
+
 def luhn_digit(payload: str) -> str:
     """The check digit that makes payload + digit valid."""
     total = 0
@@ -116,11 +154,12 @@ def _bare(text: str) -> str:
     return "".join(c for c in text if c.isdigit())
 
 
-_EMAIL = re.compile(r"[\w.%+-]*\w@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
+_LOCAL = re.compile(r"[\w.%+-]")
+_HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _SECRET = re.compile(r"(?i)(?<=[\"'=:\s])[A-Za-z0-9+/_-]{20,}(?=[\"'\s,;]|$)")
 _SECRET_BEFORE = re.compile(r"(?i)(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|bearer)\W{1,6}$")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_SPAN = re.compile(r"[\d+(][\d ().+/-]*\d")
+_SPAN = re.compile(r"[\d+(][\d ().+/-]*+")
 _NUMBER = re.compile(
     r"(?P<date>(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
@@ -130,6 +169,21 @@ _NUMBER = re.compile(
 )
 
 
+def mail_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """(begin, end) of all mail addresses: from each @ to both sides, so that every character is read once or twice."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > end and _LOCAL.match(text, begin - 1):
+            begin -= 1
+        host = _HOST.match(text, at + 1) if begin < at and (text[at - 1].isalnum() or text[at - 1] == "_") else None
+        if host:
+            end = host.end()
+            yield begin, end
+        at = text.find("@", max(at + 1, end))
+
+
 class Pseudonymiser:
     """Finds, validates and replaces personal data in texts with one key.
 
@@ -141,13 +195,18 @@ class Pseudonymiser:
 
     def __init__(self, key: bytes, backward: bool = False):
         self.feistel, self.backward = Feistel(key), backward
-        self.value = lru_cache(maxsize=100_000)(self._value)
+        self.cached = lru_cache(maxsize=100_000)(self._value)
+
+    def value(self, kind: str, text: str) -> str | None:
+        """The pseudonym, None where the value isn't valid."""
+        return (self.cached if len(text) <= 100 else self._value)(kind, text)
 
     def _value(self, kind: str, text: str) -> str | None:
         f, back = self.feistel, self.backward
         if kind == "email":
             local, _, host = text.partition("@")
-            return f.classes(local, "email", back) + "@" + host
+            new = f.classes(local, "email", back)
+            return None if new is None else new + "@" + host
         if kind == "secret":
             if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
                 return f.classes(text, "hex", back, ["0123456789abcdef" if text.lower() == text else "0123456789ABCDEF"])
@@ -156,7 +215,7 @@ class Pseudonymiser:
             bare = text.replace(" ", "")
             if not 15 <= len(bare) <= 34 or _iban_check(bare[:2], bare[4:]) != bare[2:4]:
                 return None
-            body = f.classes(bare[4:], "iban" + bare[:2], back)
+            body = f.classes(bare[4:], "iban" + bare[:2], back) or bare[4:]
             rest = iter(bare[:2] + _iban_check(bare[:2], body) + body)
             return "".join(c if c == " " else next(rest) for c in text)
         digits = _bare(text)
@@ -189,24 +248,27 @@ class Pseudonymiser:
                 continue
             if not _FIRST_DAY <= day <= _LAST_DAY:
                 return None
-            # a slash date is read day first where it can be: the range of each reading is kept
-            ok = lambda x: form != "%m/%d/%Y" or datetime.date.fromordinal(_FIRST_DAY + x).day > 12
-            day = _FIRST_DAY + f.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "date" + form, back, ok)
+            # one permutation for all forms; a slash date is read day first where it can be, so days up to
+            # the twelfth stay such days and each form is read back as it was
+            early = datetime.date.fromordinal(day).day > 12
+            ok = lambda x: (datetime.date.fromordinal(_FIRST_DAY + x).day > 12) == early
+            day = _FIRST_DAY + f.permute(day - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "date", back, ok)
             made = datetime.date.fromordinal(day)
             return form.replace("%Y", f"{made.year:04d}").replace("%m", f"{made.month:02d}").replace("%d", f"{made.day:02d}")
         return None
 
     def found(self, text: str) -> list[tuple[int, int, str]]:
         """(begin, end, replacement) of all validated values, in order and without overlaps."""
-        out: list[tuple[int, int, str]] = []
+        out: list[tuple[int, int, str]] = []  # in order
 
         def add(begin: int, end: int, kind: str) -> None:
-            if all(end <= a or begin >= b for a, b, _ in out) and (new := self.value(kind, text[begin:end])) is not None:
-                out.append((begin, end, new))
+            at = bisect_left(out, (begin,))
+            if (not at or out[at - 1][1] <= begin) and (at == len(out) or out[at][0] >= end) and (new := self.value(kind, text[begin:end])) is not None:
+                out.insert(at, (begin, end, new))
 
         if "@" in text:
-            for m in _EMAIL.finditer(text):
-                add(*m.span(), "email")
+            for begin, end in mail_addresses(text):
+                add(begin, end, "email")
         for m in _SECRET.finditer(text):
             if _SECRET_BEFORE.search(text, max(0, m.start() - 24), m.start()):
                 add(*m.span(), "secret")
@@ -218,7 +280,7 @@ class Pseudonymiser:
                     edge = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
                     if not any(c.isalnum() or c == "_" for c in edge):
                         add(*m.span(), m.lastgroup)
-        return sorted(out)
+        return out
 
     def replace(self, text: str) -> tuple[str, int]:
         found = self.found(text)

@@ -1,7 +1,11 @@
+import re
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from palimpsest.llm.common import table
 from palimpsest.llm.pii import Feistel, Pseudonymiser, luhn_digit, pseudonymise
 from tests.llm.helpers import docs
 
@@ -47,3 +51,79 @@ def test_edge_cases(spark):
     ip = by[3][0][0].split()[1]
     assert ip != "10.1.2.3" and by[None] == [(f"again {ip}", 1)] and by[4][0][0].endswith(" " + ip)
     assert pseudonymise(docs(spark, []), KEY).count() == 0
+
+
+@pytest.mark.parametrize("text", ['token = "' + "aB3x" * 3000 + '"', "x" * 8000 + "@example.org", "é" * 5000 + "@example.org", "secret: " + "f0" * 6000])
+def test_very_long_values(text):
+    new, n = Pseudonymiser(KEY).replace(text)
+    assert n == 1 and new != text and len(new) == len(text)
+    assert Pseudonymiser(KEY, backward=True).replace(new) == (text, 1)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + " b@", ("w" * 50 + "@") * 4000, "+" * 200_000, "(" * 200_000, "1" * 200_000, "1 " * 100_000, "token=" * 30_000, "a.b@c-" * 30_000])
+def test_time_is_linear(text):
+    began = time.process_time()
+    Pseudonymiser(KEY).replace(text)
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize("local", ["иван", "ΑΘΗΝΑ", "张伟", "محمد", "a_б", "٣٤٥"])
+def test_letters_of_all_scripts(local):
+    text = f"an {local}@example.ru, bitte"
+    new, n = Pseudonymiser(KEY).replace(text)
+    assert n == 1 and new != text and len(new) == len(text) and new.endswith("@example.ru, bitte")
+    assert [c.isdigit() for c in new] == [c.isdigit() for c in text]
+    assert Pseudonymiser(KEY, backward=True).replace(new) == (text, 1)
+    assert Pseudonymiser(KEY).replace("_@example.org") == ("_@example.org", 0)  # nothing in it can change
+
+
+def test_a_date_is_linked_across_forms():
+    made = Pseudonymiser(KEY)
+    days = {}
+    for day in ("2024-02-29", "1999-12-31", "2001-05-06", "1950-07-13"):
+        y, m, d = day.split("-")
+        new = [made.replace(t)[0] for t in (day, f"{y}/{m}/{d}", f"{d}.{m}.{y}", f"{d}/{m}/{y}")]
+        forms = {new[0], new[1].replace("/", "-"), "-".join(reversed(new[2].split("."))), "-".join(reversed(new[3].split("/")))}
+        assert len(forms) == 1 and day not in forms
+        days[day] = forms.pop()
+    assert len(set(days.values())) == 4
+    month_first = made.replace("02/29/2024")[0]
+    assert month_first.split("/")[2] + "-" + "-".join(month_first.split("/")[:2]) == days["2024-02-29"]
+    assert Pseudonymiser(KEY, backward=True).replace(month_first) == ("02/29/2024", 1)
+
+
+def brute(text):
+    """Mail addresses, card numbers and IPv4 addresses among the words of a text, found without the module's patterns."""
+    out = set()
+    for word in re.split(r"[\s,;\"'<>()=]+", text):
+        word = word.strip(".:")
+        local, _, host = word.partition("@")
+        if local and local[-1].isalnum() and "." in host and all(p.isascii() and p.isalnum() for p in host.split(".")) and all(c.isalnum() or c in "._%+-" for c in local):
+            out.add(word)
+        if word.isascii() and word.isdigit() and 13 <= len(word) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(word))) % 10 == 0:
+            out.add(word)
+        parts = word.split(".")
+        if len(parts) == 4 and all(p.isascii() and p.isdigit() and str(int(p)) == p and int(p) < 256 for p in parts):
+            out.add(word)
+    return out
+
+
+def test_whole_table(spark):
+    """All documents: what an independent search finds is replaced, equal values by equal pseudonyms, and the key restores every text."""
+    source = table(spark, "/root/testdata/sf0.01", "documents")
+    before = {r.doc_id: r.text for r in source.select("doc_id", "text").collect()}
+    new = pseudonymise(source, KEY)
+    after = {r.doc_id: r for r in new.collect()}
+    again = {r.doc_id: r.text for r in pseudonymise(new, KEY, backward=True).collect()}
+    assert again == before and len(after) == len(before)
+    linked, found = {}, 0
+    for i, text in before.items():
+        values = brute(text)
+        found += len(values)
+        assert not any(re.search(rf"(?<![\w.%+-]){re.escape(v)}(?![\w])", after[i].text) for v in values), i
+        assert after[i].replaced >= len(values) and len(after[i].text) - len(text) <= 8 * after[i].replaced
+        if len(values) == 1 and after[i].replaced == 1:
+            value, at = next(iter(values)), next(k for k, (x, y) in enumerate(zip(text, after[i].text)) if x != y)
+            assert text[: max(0, at - 60)] == after[i].text[: max(0, at - 60)]
+            linked.setdefault(value, set()).add(after[i].text[text.index(value) : len(after[i].text) - (len(text) - text.index(value) - len(value))])
+    assert found > 40 and all(len(x) == 1 for x in linked.values())
