@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+import math
+import re
+from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,39 +24,152 @@ RESPOND = {"respond": {"type": "object", "required": ["text"], "properties": {"t
 
 _CALLS = "content string, tool_call_id string, tool_calls array<struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>>"
 _EVENTS = "array<struct<kind:string,call_id:string,name:string,body:string,place:int>>"
-_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
+_TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": (int, float)}
+#: Keywords that say nothing about validity here.
+_NOTES = {"$schema", "$id", "$comment", "$defs", "definitions", "$anchor", "title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly"}
+_ONE, _MAPS, _LISTS = {"additionalProperties", "propertyNames", "items", "contains", "not", "if", "then", "else"}, {"properties", "patternProperties", "$defs", "definitions", "dependentSchemas"}, {"allOf", "anyOf", "oneOf", "prefixItems"}
+_PLAIN = {"type", "enum", "const", "required", "$ref", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minItems", "maxItems", "uniqueItems", "minContains", "maxContains", "minProperties", "maxProperties", "dependentRequired"}
+#: Arrays and objects within each other that are still taken as arguments.
+DEEPEST = 200
 
 
-def valid(value: object, schema: dict) -> bool:
-    """JSON-schema check: type, enum, required, properties, additionalProperties, items, lengths and bounds."""
-    kinds = schema.get("type", list(_TYPES))
-    kinds = [kinds] if isinstance(kinds, str) else kinds
-    if not any(isinstance(value, _TYPES[k]) and (isinstance(value, bool) is (k == "boolean") or k not in ("number", "integer", "boolean")) for k in kinds):
+def _target(ref: str, root: object) -> object:
+    """What a reference within the schema, # or #/..., points to."""
+    if not ref.startswith("#"):
+        raise ValueError(f"only references within the schema are supported, not {ref!r}")
+    for step in ref[1:].split("/")[1:]:
+        step = step.replace("~1", "/").replace("~0", "~")
+        if isinstance(root, list) and step.isdigit() and int(step) < len(root):
+            root = root[int(step)]
+        elif isinstance(root, dict) and step in root:
+            root = root[step]
+        else:
+            raise ValueError(f"{ref!r} leads nowhere in the schema")
+    return root
+
+
+def check_schema(schema: object, root: object = None) -> None:
+    """Raises ValueError for a keyword, type, pattern or reference that :func:`valid` doesn't know."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return
+    if not isinstance(schema, dict):
+        raise ValueError(f"a schema is an object or a boolean, not {schema!r}")
+    if unknown := set(schema) - _NOTES - _ONE - _MAPS - _LISTS - _PLAIN:
+        raise ValueError(f"unknown schema keywords: {', '.join(sorted(unknown))}")
+    kinds = schema.get("type", [])
+    if unknown := {kinds} - set(_TYPES) if isinstance(kinds, str) else set(kinds) - set(_TYPES):
+        raise ValueError(f"unknown types: {', '.join(sorted(unknown))}")
+    for pattern in [schema.get("pattern", ""), *schema.get("patternProperties", ())]:
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            raise ValueError(f"bad pattern {pattern!r}") from e
+    if "$ref" in schema:
+        _target(schema["$ref"], root)
+    for part in [*(schema[k] for k in _ONE & set(schema)), *(x for k in _MAPS & set(schema) for x in schema[k].values()), *(x for k in _LISTS & set(schema) for x in schema[k])]:
+        check_schema(part, root)
+
+
+def _same(a: object, b: object) -> bool:
+    """Equality of JSON values: true isn't 1, but 1 is 1.0."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
+def _is(value: object, kind: str) -> bool:
+    if isinstance(value, bool):
+        return kind == "boolean"
+    return isinstance(value, _TYPES[kind]) and (kind != "integer" or isinstance(value, int) or value.is_integer())
+
+
+def valid(value: object, schema: object, root: object = None) -> bool:
+    """JSON-schema check with the keywords of draft 2020-12 that a schema without remote parts needs.
+
+    These are types, enum and const, string, number, array and object keywords, the combinations
+    allOf, anyOf, oneOf, not and if, and references within the schema; see :func:`check_schema`.
+    """
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return schema
+    ok = lambda v, part: valid(v, part, root)
+    get = schema.get
+    kinds = get("type", ())
+    if kinds and not any(_is(value, k) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        return False
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
+        return False
+    if "$ref" in schema and not ok(value, _target(schema["$ref"], root)):
+        return False
+    if not all(ok(value, p) for p in get("allOf", ())) or "anyOf" in schema and not any(ok(value, p) for p in schema["anyOf"]):
+        return False
+    if "oneOf" in schema and sum(ok(value, p) for p in schema["oneOf"]) != 1 or "not" in schema and ok(value, schema["not"]):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if "if" in schema and not ok(value, get("then" if ok(value, schema["if"]) else "else", True)):
         return False
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        extra = schema.get("additionalProperties", True)
-        if any(k not in value for k in schema.get("required", ())):
+        return _valid_object(value, schema, ok)
+    if isinstance(value, list):
+        first = get("prefixItems", ())
+        if not get("minItems", 0) <= len(value) <= get("maxItems", len(value)) or not all(map(ok, value, first)) or not all(ok(v, get("items", True)) for v in value[len(first) :]):
             return False
-        for k, v in value.items():
-            if k in known:
-                if not valid(v, known[k]):
-                    return False
-            elif extra is False or isinstance(extra, dict) and not valid(v, extra):
-                return False
-    if isinstance(value, list) and "items" in schema and not all(valid(v, schema["items"]) for v in value):
-        return False
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+        if "contains" in schema and not get("minContains", 1) <= sum(ok(v, schema["contains"]) for v in value) <= get("maxContains", len(value)):
+            return False
+        return not get("uniqueItems") or not any(_same(v, w) for k, v in enumerate(value) for w in value[:k])
+    if isinstance(value, str):
+        return get("minLength", 0) <= len(value) <= get("maxLength", len(value)) and ("pattern" not in schema or re.search(schema["pattern"], value) is not None)
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        above = "exclusiveMinimum" not in schema or value > schema["exclusiveMinimum"]
+        below = "exclusiveMaximum" not in schema or value < schema["exclusiveMaximum"]
+        return above and below and get("minimum", value) <= value <= get("maximum", value) and ("multipleOf" not in schema or Fraction(repr(value)) % Fraction(repr(schema["multipleOf"])) == 0)
+    return True
+
+
+def _valid_object(value: dict, schema: dict, ok: Callable[[object, object], bool]) -> bool:
+    get = schema.get
+    if any(k not in value for k in get("required", ())) or not get("minProperties", 0) <= len(value) <= get("maxProperties", len(value)):
         return False
-    if isinstance(value, (int, float)) and not isinstance(value, bool) and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+    if any(k in value and any(n not in value for n in needed) for k, needed in get("dependentRequired", {}).items()) or any(k in value and not ok(value, p) for k, p in get("dependentSchemas", {}).items()):
         return False
+    for k, v in value.items():
+        parts = [p for pattern, p in get("patternProperties", {}).items() if re.search(pattern, k)]
+        parts += [get("properties", {})[k]] if k in get("properties", {}) else []
+        if not ok(k, get("propertyNames", True)) or not all(ok(v, p) for p in (parts or [get("additionalProperties", True)])):
+            return False
     return True
 
 
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is no JSON number that can be held")
+    return value
+
+
+def parsed(text: str) -> object:
+    """The JSON value; ValueError for what is no JSON, has NaN or an infinity, or is nested deeper than DEEPEST."""
+    depth = most = 0
+    for c in _BRACKETS.findall(text):  # strings are skipped as a whole
+        depth += (c in "[{") - (c in "]}")
+        most = max(most, depth)
+    if most > DEEPEST:
+        raise ValueError("nested too deep")
+    return json.loads(text, parse_float=_finite, parse_constant=_finite)
+
+
+_BRACKETS = re.compile(r'"(?:[^"\\]++|\\.)*+"|[\[\]{}]', re.S)
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Sorted keys, no white space, plain UTF-8; half of a surrogate pair, which UTF-8 can't hold, is escaped."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _strings(value: object) -> Iterator[str]:
@@ -104,10 +220,12 @@ def _serialise(schemas: dict[str, dict]):
         for r in rows:
             if r["kind"] == "call":
                 try:
-                    arguments = json.loads(r["body"]) if r["body"] is not None else None
+                    arguments = parsed(r["body"]) if r["body"] is not None else None
                     ok = r["name"] in schemas and valid(arguments, schemas[r["name"]])
                 except ValueError:
                     arguments, ok = r["body"], False
+                except RecursionError:  # a schema that refers to itself without end
+                    ok = False
                 result = min(results[r["call_id"]])[-1] if r["call_id"] in results else None
                 calls.append({"id": r["call_id"], "name": r["name"], "arguments": arguments, "result": result, "valid": ok, "turn": r["turn"], "place": r["place"]})
             elif r["kind"] == "message":
@@ -139,11 +257,15 @@ def link_calls(conversations: DataFrame, schemas: dict[str, dict] | None = None,
     is also a call of ``respond`` named conversation:turn, and an assistant's plain turn
     right after it is its result.  All other turns are messages.  Of several results with
     one identifier the first by turn, then text, is linked; results that no call names are
-    listed as unlinked.  A tool without a schema makes invalid calls.  Rows without a
+    listed as unlinked.  A tool without a schema makes invalid calls, and arguments that are no JSON,
+    hold NaN or an infinity, or are nested deeper than DEEPEST are invalid and stay a string.  A schema
+    with a keyword or type that :func:`valid` doesn't know raises ValueError.  Rows without a
     conv_id are left out; null texts make null contents; repeated rows give repeated
     entries.  Other columns are not read.
     """
     schemas = RESPOND if schemas is None else schemas
+    for schema in schemas.values():
+        check_schema(schema)
     turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     turns = turns.repartition("conv_id")  # the one shuffle by conversation: windows and groups below reuse it
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

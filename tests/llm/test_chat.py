@@ -1,6 +1,8 @@
 import json
 
-from palimpsest.llm.chat import canonical, link_calls, topological, valid
+import pytest
+
+from palimpsest.llm.chat import canonical, check_schema, link_calls, parsed, topological, valid
 
 SCHEMA = "conv_id long, turn long, role string, text string, kind string, id string, result string, before string"
 TOOLS = {"find": {"type": "object", "required": ["q"], "properties": {"q": {"type": "string"}, "k": {"type": "integer", "minimum": 1}}, "additionalProperties": False}}
@@ -60,3 +62,53 @@ def test_edge_cases(spark):
     assert found[2][1:4] == (1, 0, 1) and found[3][0]["messages"] == [{"content": None, "role": None, "turn": None}]
     assert found[4][0]["messages"][0]["content"].startswith("{not") and found[5][1:4] == (2, 2, 2)
     assert run(spark, []) == {}
+
+
+@pytest.mark.parametrize(
+    "schema,good,bad",
+    [
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, ["a", 3], [2]),
+        ({"oneOf": [{"type": "integer"}, {"minimum": 3}]}, [1, 3.5], [4, 2.5]),
+        ({"allOf": [{"type": "integer"}, {"maximum": 3}], "not": {"const": 2}}, [1, 3], [2, 4]),
+        ({"pattern": "^a+$"}, ["aa", 5], ["ab", ""]),
+        ({"const": {"a": [1, True]}}, [{"a": [1.0, True]}], [{"a": [1, 1]}, {}]),
+        ({"enum": [0, "x"]}, [0, 0.0, "x"], [False, "y", None]),
+        ({"exclusiveMinimum": 1, "exclusiveMaximum": 3, "multipleOf": 0.1}, [1.1, 2], [1, 3, 1.25]),
+        ({"type": "integer"}, [1, 2.0], [True, 1.5, "1"]),
+        ({"minItems": 1, "maxItems": 2, "uniqueItems": True, "contains": {"type": "string"}}, [["a"], ["a", 1]], [[], [1], ["a", "a"], ["a", 1, 2]]),
+        ({"prefixItems": [{"type": "string"}], "items": {"type": "number"}}, [["a", 1], []], [[1], ["a", "b"]]),
+        ({"$defs": {"tree": {"type": "object", "properties": {"kids": {"type": "array", "items": {"$ref": "#/$defs/tree"}}}, "additionalProperties": False}}, "$ref": "#/$defs/tree"}, [{}, {"kids": [{"kids": []}]}], [{"kids": [{"x": 1}]}, 1]),
+        ({"if": {"required": ["a"]}, "then": {"required": ["b"]}, "else": {"maxProperties": 0}}, [{}, {"a": 1, "b": 2}], [{"a": 1}, {"c": 1}]),
+        ({"patternProperties": {"^x": {"type": "integer"}}, "propertyNames": {"maxLength": 2}, "additionalProperties": False}, [{"x1": 1}], [{"x1": "s"}, {"y": 1}, {"x11": 1}]),
+        ({"dependentRequired": {"a": ["b"]}, "minProperties": 1}, [{"b": 1}, {"a": 1, "b": 1}], [{}, {"a": 1}]),
+        (False, [], [1, None]),
+    ],
+)
+def test_schema_keywords(schema, good, bad):
+    check_schema(schema)
+    assert all(valid(v, schema) for v in good) and not any(valid(v, schema) for v in bad)
+
+
+@pytest.mark.parametrize("schema", [{"type": "text"}, {"minimun": 1}, {"properties": {"a": {"unevaluatedItems": False}}}, {"$ref": "other.json"}, {"$ref": "#/$defs/none"}, {"pattern": "("}, {"items": [3]}])
+def test_unknown_schemas_raise(spark, schema):
+    with pytest.raises(ValueError):
+        link_calls(table(spark, []), {"find": schema})
+
+
+def test_hostile_arguments(spark):
+    deep = "[" * 50_000 + "]" * 50_000
+    bodies = [deep, '{"q":"\\ud800"}', '{"q":NaN}', '{"q":1e999}', '{"q":"x","k":' + "9" * 5000 + "}", '{"q":"[[[{{{"}', "{", '{"q":"x","q":"y"}']
+    rows = [(1, k, "assistant", call((f"c{k}", "find", body))) for k, body in enumerate(bodies)]
+    out, calls, _, ok, text = run(spark, rows, schemas=TOOLS, exchanges=False)[1]
+    assert calls == len(bodies) and [c["valid"] for c in out["calls"]] == [False, True, False, False, False, True, False, True] and ok == 3
+    assert out["calls"][0]["arguments"] == deep and out["calls"][2]["arguments"] == '{"q":NaN}' and '"\\ud800"' in text and "NaN\"" not in text
+    loop = {"loop": {"$ref": "#"}}
+    assert run(spark, [(1, 0, "assistant", call(("a", "loop", "{}")))], schemas=loop)[1][3] == 0
+    assert parsed('["[[[[", {"a": "\\""}]') == ["[[[[", {"a": '"'}]
+
+
+def test_of_several_results_the_first_is_linked(spark):
+    back = lambda text: json.dumps({"tool_call_id": "c", "content": text})
+    rows = [(1, 0, "assistant", call(("c", "find", '{"q":"x"}'))), (1, 3, "tool", back("a")), (1, 2, "tool", back("z")), (1, 2, "tool", back("y")), (1, None, "tool", back("0"))]
+    assert run(spark, rows, schemas=TOOLS)[1][0]["calls"][0]["result"] == "0"  # a turn that is null comes first
+    assert run(spark, rows[:4], schemas=TOOLS)[1][0]["calls"][0]["result"] == "y"
