@@ -29,8 +29,10 @@ from palimpsest.llm.text import mix64, ngram_hashes, slices, word_hashes
 MAX_EDITS = 0.2
 #: Probability with which a window at the allowed distance must become a candidate.
 TARGET_RECALL = 0.97
-#: Steps sampled by each hash, and the most hashes that are ever made.
-SAMPLED, MOST_TABLES = 2, 64
+#: Steps sampled by each hash.
+SAMPLED = 2
+#: Embedded steps that are held at once, 8 bytes each.
+HELD = 2_000_000
 #: Longest run of words that serves as a piece.
 LONGEST_PIECE = 3
 
@@ -67,7 +69,10 @@ class Index:
             agree = max(0.25, 1 - (3 * d + d * d / 2) / (3 * w))
             need = math.ceil(math.log(1 - recall) / math.log(1 - agree**SAMPLED)) if agree < 1 else 1
             # early steps are the ones two similar windows are most likely to share
-            self.tables[w] = [np.sort(rng.choice(3 * w, min(SAMPLED, 3 * w), replace=False)) for _ in range(min(MOST_TABLES, max(4, need)))]
+            self.tables[w] = [np.sort(rng.choice(3 * w, min(SAMPLED, 3 * w), replace=False)) for _ in range(max(4, need))]
+        # only sampled steps are compared, so only they are kept of an embedding
+        self.kept = {w: np.unique(np.concatenate(t)) for w, t in self.tables.items()}
+        self.tables = {w: [np.searchsorted(self.kept[w], x) for x in t] for w, t in self.tables.items()}
         self.embedded = [self.walk(i.words, np.zeros(1, np.int64), np.full(1, len(i.words)), len(i.words))[0] for i in self.items]
         pieces, owner, place = [], [], []
         for k, item in enumerate(self.items):
@@ -92,13 +97,16 @@ class Index:
         return bits
 
     def walk(self, words: np.ndarray, start: np.ndarray, end: np.ndarray, w: int) -> np.ndarray:
-        """Embeddings of the windows [start, end) of ``words``: (windows, 3w) word hashes, 0 past the end."""
-        out = np.zeros((len(start), 3 * w), np.uint64)
-        at = start.copy()
-        for j in range(3 * w):
+        """Embeddings of the windows [start, end) of ``words`` at the steps sampled for w: word hashes, 0 past the end."""
+        kept = self.kept[w]
+        out = np.zeros((len(start), len(kept)), np.uint64)
+        at, column = start.copy(), 0
+        for j in range(int(kept[-1]) + 1):
             inside = at < end
             word = words[np.minimum(at, len(words) - 1)]
-            out[:, j] = np.where(inside, word, 0)
+            if kept[column] == j:
+                out[:, column] = np.where(inside, word, 0)
+                column += 1
             at = at + (inside & ((mix64(word ^ self.step_keys[j]) & np.uint64(1)) > 0))
         return out
 
@@ -150,38 +158,50 @@ class Index:
         starts = starts[total[hi] - total[lo] >= w - d]
         if not len(starts):
             return None
-        begin = np.unique((starts[:, None] + np.arange(-d, d + 1)[None, :]).ravel())
-        begin = begin[(begin >= 0) & (begin < len(words))]
+        near = np.zeros(len(words) + 1, np.int64)  # all places within d of a start, in time linear in the text
+        np.add.at(near, np.clip(starts - d, 0, len(words)), 1)
+        np.add.at(near, np.clip(starts + d + 1, 0, len(words)), -1)
+        begin = np.flatnonzero(np.cumsum(near)[:-1] > 0)
         if not len(begin):
             return None
-        code = self.walk(words, begin, np.minimum(begin + w, len(words)), w)
-        same = code == self.embedded[k][None, :]
         candidate = np.zeros(len(begin), bool)
-        for steps in self.tables[w]:
-            candidate |= same[:, steps].all(1)
+        held = max(1, HELD // len(self.kept[w]))
+        for first in range(0, len(begin), held):  # a block of windows at a time bounds memory
+            part = begin[first : first + held]
+            same = self.walk(words, part, np.minimum(part + w, len(words)), w) == self.embedded[k][None, :]
+            for steps in self.tables[w]:
+                candidate[first : first + held] |= same[:, steps].all(1)
         least = None
-        if candidate.any():
-            distance = edit_distances(item.words, words, begin[candidate])
-            least = int(distance.min())
+        found = begin[candidate]
+        cuts = np.flatnonzero(np.concatenate(([True], found[1:] > found[:-1] + w + d, [True]))) if len(found) else [0]
+        for x, y in zip(cuts[:-1], cuts[1:]):  # candidates whose windows touch are verified in one pass
+            reach = min(len(words), int(found[y - 1]) + w + d)
+            edits = least_edits(item.words, words[int(found[x]) : reach])
+            least = edits if least is None else min(least, edits)
         return least if least is not None and least <= d else None
 
 
-def edit_distances(item: np.ndarray, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """For each start, the least word edit distance of the item to a window of any length from there."""
-    n, w = len(begin), len(item)
-    width = min(2 * w, max(len(words), 1))
-    index = begin[:, None] + np.arange(width)[None, :]
-    inside = index < len(words)
-    window = np.where(inside, words[np.minimum(index, len(words) - 1)], 0)
-    row = np.tile(np.arange(width + 1, dtype=np.int32), (n, 1))
-    steps = np.arange(width + 1, dtype=np.int32)
-    for i in range(w):
-        new = np.empty_like(row)
-        new[:, 0] = i + 1
-        new[:, 1:] = np.minimum(row[:, :-1] + ((window != item[i]) | ~inside), row[:, 1:] + 1)
-        row = np.minimum.accumulate(new - steps, axis=1) + steps  # insertions
-    reach = np.concatenate([np.ones((n, 1), bool), inside], 1)
-    return np.where(reach, row, np.iinfo(np.int32).max).min(1)
+def least_edits(item: np.ndarray, words: np.ndarray) -> int:
+    """The least word edit distance of the item to any window of the words, by Myers' bit vectors.
+
+    A bit of the integers stands for a word of the item: time is the number of words times a 64th of the item's.
+    """
+    where: dict[int, int] = {}
+    for i, h in enumerate(item.tolist()):
+        where[h] = where.get(h, 0) | 1 << i
+    full, top = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, score = full, 0, len(item)
+    least = score
+    for h in words.tolist():
+        equal = where.get(h, 0)
+        x = equal | down
+        y = ((equal & up) + up ^ up) | equal
+        plus, minus = down | ~(y | up), up & y
+        score += (plus & top > 0) - (minus & top > 0)
+        least = min(least, score)
+        plus, minus = plus << 1, minus << 1  # nothing comes in: a window may begin anywhere
+        up, down = (minus | ~(x | plus)) & full, plus & x & full
+    return least
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, recall: float = TARGET_RECALL) -> DataFrame:
