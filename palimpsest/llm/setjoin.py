@@ -405,7 +405,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
 
 
 #: What one block of a component may hold on either side: tokens, and sets.
-BLOCK_TOKENS, BLOCK_SETS = 200_000, 1000
+BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 2000
 _FOUND = "a long, b long, links long, jaccard double"
 
 
@@ -509,7 +509,8 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, pair
     routes = Routes(weight, max(4, parts(spark) // 2))
     emitted = written(texts.mapInArrow(_emit(n, threshold, routes, cells, rows), _SCHEMA), "signatures")
     blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(parts(spark), "bucket")
-    hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    # partitioned by a alone: its reports lie together, which halves their compressed size
+    hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").repartition("a").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
     candidates = written(hits.where(F.col("hits") >= HITS).select("a", "b"), "candidates")
     # distinct by both columns first: a set that a third of the documents share is counted in many tasks
     members = written(emitted.where("set_name is not null").select("doc_id", "set_name", "n_tokens").distinct(), "members")
