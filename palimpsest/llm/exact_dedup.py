@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import parts, small, written
+from palimpsest.llm.common import BROADCAST_BYTES, parts, small, written
 
 
 class CountingQuotientFilter:
@@ -146,21 +146,47 @@ def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     return slices.repartition(1 << shard_bits, "shard").mapInArrow(_merge(shard_bits), "fingerprint long")
 
 
-def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", broadcast_keys: int | None = None) -> DataFrame:
+def fingerprint() -> Column:
+    return F.xxhash64("text")
+
+
+#: Copies of one row that a single array lists.
+LISTED = 10_000
+
+
+def _repetitions(rows: DataFrame) -> DataFrame:
+    """(doc_id, duplicate_of): each row of (doc_id, n) n - 1 times, listed in arrays of bounded length."""
+    parts_of = rows.where("n > 1").select("doc_id", (F.col("n") - 1).alias("n")).select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {LISTED}"))).alias("part"))
+    length = F.least(F.lit(LISTED), F.col("n") - F.col("part") * LISTED).cast("int")
+    return parts_of.select("doc_id", F.explode(F.array_repeat(F.col("doc_id"), length)).alias("duplicate_of"))
+
+
+def exact_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, duplicate_of) for every row whose text is byte for byte that of a row with a smaller id.
 
     The smallest id of each group stays and has no row.  A repeated row (same id and text)
     is a duplicate of itself and gives one row (id, id) for each repetition.  Rows without
     an id or with a null text take no part; empty texts are equal to each other.  Other
     columns are not read.  An empty table gives an empty result.
+
+    Texts are compared where their fingerprints recur, each distinct one once a partition; if all
+    texts of a fingerprint are equal, rows are told by it.  No group of copies is ever held in one place.
     """
     pairs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null and text is not null")
-    prints = pairs.select(F.xxhash64("text").alias("fingerprint"))
-    again = written(repeated_fingerprints(prints), "repeated")
-    again = small(again) if broadcast_keys is None else small(again, broadcast_keys)
-    routed = pairs.withColumn("fingerprint", F.xxhash64("text")).join(again, "fingerprint", "left_semi")
-    groups = routed.groupBy("fingerprint", "text").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).where(F.size("ids") > 1)
-    return groups.select(F.explode(F.slice("ids", F.lit(2), F.size("ids") - 1)).alias("doc_id"), F.col("ids")[0].alias("duplicate_of"))
+    prints = written(pairs.select("doc_id", fingerprint().alias("fingerprint")), "fingerprints")
+    again = small(written(repeated_fingerprints(prints), "repeated"), broadcast_bytes)
+    routed = pairs.withColumn("fingerprint", fingerprint()).join(again, "fingerprint", "left_semi")
+    texts = routed.groupBy("fingerprint", "text").agg(F.min("doc_id").alias("first"))
+    verified = written(texts.groupBy("fingerprint").agg(F.count("*").alias("texts"), F.min("first").alias("first")), "verified_fingerprints")
+    rows = prints.join(small(verified.where("texts = 1").select("fingerprint", "first"), broadcast_bytes), "fingerprint")
+    rows = rows.select("doc_id", "first", "fingerprint", F.lit(None).cast("string").alias("text"))
+    mixed = verified.where("texts > 1").select("fingerprint")
+    if not mixed.isEmpty():  # different texts with one fingerprint: their rows are told by the texts
+        own = routed.join(small(mixed, broadcast_bytes), "fingerprint", "left_semi")
+        first = own.groupBy("text").agg(F.min("doc_id").alias("first"))
+        rows = rows.union(own.join(first, "text").select("doc_id", "first", "fingerprint", "text"))
+    further = rows.where("doc_id <> first").select("doc_id", F.col("first").alias("duplicate_of"))
+    return further.union(_repetitions(rows.where("doc_id = first").groupBy("doc_id", "fingerprint", "text").agg(F.count("*").alias("n"))))
 
 
 SQL = """

@@ -1,7 +1,11 @@
+import random
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from palimpsest.llm import exact_dedup
 from palimpsest.llm.exact_dedup import CountingQuotientFilter as Filter
 from palimpsest.llm.exact_dedup import exact_duplicates, repeated_fingerprints
 from tests.llm.helpers import docs
@@ -28,7 +32,32 @@ def test_repeated_fingerprints(spark):
 
 def test_edge_cases(spark):
     rows = [(3, "a"), (1, "a"), (2, "b"), (4, ""), (5, ""), (6, None), (7, None), (None, "a"), (8, "x" * 300_000), (9, "x" * 300_000), (2, "b"), (10, "A")]
-    for limit in (None, 0):  # broadcast and shuffled
-        found = exact_duplicates(docs(spark, rows), broadcast_keys=limit)
+    for limit in (64_000_000, 0):  # broadcast and shuffled
+        found = exact_duplicates(docs(spark, rows), broadcast_bytes=limit)
         assert sorted(map(tuple, found.collect())) == [(2, 2), (3, 1), (5, 4), (9, 8)]
     assert exact_duplicates(docs(spark, [])).count() == 0
+
+
+def brute(rows):
+    first, out, seen = {}, [], set()
+    for i, text in rows:
+        if i is not None and text is not None:
+            first[text] = min(first.get(text, i), i)
+    for i, text in rows:
+        if i is not None and text is not None:
+            if i != first[text] or (i, text) in seen:
+                out.append((i, first[text]))
+            seen.add((i, text))
+    return sorted(out)
+
+
+def test_against_brute_force(spark, monkeypatch):
+    """Also where different texts share a fingerprint, an id has several texts, and a row is repeated more often than one array lists."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(60), rng.choice(["", "a", "b", "ab", "ba", "abc", "cab", "x" * 50])) for _ in range(300)]
+    rows += [(1, "many")] * 250 + [(0, "once")]
+    monkeypatch.setattr(exact_dedup, "LISTED", 100)
+    for make in (exact_dedup.fingerprint, lambda: F.length("text").cast("long")):
+        monkeypatch.setattr(exact_dedup, "fingerprint", make)
+        for limit in (64_000_000, 0):
+            assert sorted(map(tuple, exact_duplicates(docs(spark, rows), broadcast_bytes=limit).collect())) == brute(rows)
