@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pandas as pd
 
 from palimpsest.llm import mixing as M
@@ -42,3 +43,13 @@ def test_edge_cases(spark):
     found = run(spark, rows)
     assert {r[0] for r in found} <= {1, None, 5, 6} and found == oracle(rows)
     assert run(spark, []) == []
+
+
+def test_buckets_stay_small_at_any_weights(spark):
+    """No bucket of keys holds much more than its share, however uneven the weights are."""
+    rng = np.random.default_rng(5)
+    for weights in ([1.0], [0.02, 1.0], [1e-3, 0.2, 5.0, 1e4], rng.exponential(1, 50)):
+        key = rng.exponential(1, 200_000) / rng.choice(weights, 200_000)
+        buckets = 200
+        size = np.unique(np.floor(np.log(key) * buckets), return_counts=True)[1]
+        assert size.max() < 0.5 * len(key) / buckets + 100
