@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import small, written
+from palimpsest.llm.common import parts, small, written
+from palimpsest.llm.linedup import common_subsequence as aligned
 
 #: Bytes of neighbours' line hashes up to which they are broadcast; beyond it the text is shuffled once.
 BROADCAST_PAIRS = 32_000_000
@@ -50,27 +50,14 @@ def text_lines(page: str | None) -> list[str]:
 
 
 def common_subsequence(a: list, b: list) -> list[tuple[int, int]]:
-    """A longest common subsequence as places in a and b, by increasing runs over matching pairs."""
-    where: dict[object, list[int]] = {}
-    for j, line in enumerate(b):
-        where.setdefault(line, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
-            at = bisect_left(tails, j)
-            node = (i, j, nodes[at - 1] if at else None)
-            if at == len(tails):
-                tails.append(j)
-                nodes.append(node)
-            else:
-                tails[at], nodes[at] = j, node
-    out = []
-    node = nodes[-1] if nodes else None
-    while node:
-        out.append((node[0], node[1]))
-        node = node[2]
-    return out[::-1]
+    """A longest common subsequence as places in a and b: equal ends first, bit vectors for what lies between."""
+    low, end = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while end < min(len(a), len(b)) - low and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+        end += 1
+    middle = aligned(a[low : len(a) - end], b[low : len(b) - end])
+    return [*((k, k) for k in range(low)), *((low + i, low + j) for i, j in middle), *((len(a) - k, len(b) - k) for k in range(end, 0, -1))]
 
 
 def url_parts() -> tuple[Column, Column]:
@@ -83,10 +70,33 @@ def url_parts() -> tuple[Column, Column]:
 
 
 def _prefix(a: str, b: str) -> Column:
-    """Length of the common prefix of two string columns, by bisection over positions."""
+    """Length of the common prefix of two string columns, by bisection: one comparison for each power of two."""
     size = F.least(F.length(a), F.length(b))
-    steps = F.sequence(F.lit(1), F.greatest(size, F.lit(1)))
-    return F.when(size > 0, F.size(F.filter(steps, lambda k: F.substring(F.col(a), F.lit(1), k) == F.substring(F.col(b), F.lit(1), k)))).otherwise(0)
+
+    def step(n: Column, power: Column) -> Column:
+        longer = n + power
+        return F.when((longer <= size) & (F.substring(F.col(a), F.lit(1), longer) == F.substring(F.col(b), F.lit(1), longer)), longer).otherwise(n)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(30, -1, -1))), F.lit(0), step)
+
+
+def _neighbours(paths: DataFrame) -> DataFrame:
+    """``paths`` with the path, id and rep of the one before and the one after it in its host, null at the ends.
+
+    Hosts are cut into slices of neighbouring paths, so that no task sorts a host; only the first and
+    last path of each slice are put in order over all of a host.
+    """
+    spark = paths.sparkSession
+    own = F.struct("path", "id", "rep")
+    sliced = written(paths.repartitionByRange(parts(spark), "host", "path").withColumn("slice", F.spark_partition_id()), "path_slices")
+    within = Window.partitionBy("slice", "host").orderBy("path")
+    near = sliced.select("host", "path", "slice", F.lag(own).over(within).alias("before"), F.lead(own).over(within).alias("after"))
+    ends = sliced.groupBy("host", "slice").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    across = Window.partitionBy("host").orderBy("slice")  # as many rows as slices
+    ends = ends.select("host", "slice", F.lag("last").over(across).alias("from"), F.lead("first").over(across).alias("to"))
+    ends = written(ends.where(F.col("from").isNotNull() | F.col("to").isNotNull()), "slice_ends")
+    joined = near.join(small(ends), ["host", "slice"], "left").select("host", "path", F.coalesce("before", "from").alias("b"), F.coalesce("after", "to").alias("a"))
+    return joined.select("host", "path", *(F.col(f"{s[0]}.{c}").alias(f"{s}_{c}") for s in ("before", "after") for c in ("path", "id", "rep")))
 
 
 def _signed(line: str) -> int:
@@ -134,8 +144,7 @@ def extract(pages: DataFrame) -> DataFrame:
     narrow = written(narrow.mapInArrow(_hashes, "page_id long, host string, path string, row long, hashes array<long>"), "page_lines")
     first = F.struct(F.col("page_id").isNull(), "page_id", "row")
     paths = narrow.groupBy("host", "path").agg(F.min(first).alias("f")).select("host", "path", F.col("f.page_id").alias("id"), F.col("f.row").alias("rep"))
-    order = Window.partitionBy("host").orderBy("path")
-    near = paths.select("host", "path", *(f(F.col(c), 1).over(order).alias(f"{p}_{c}") for p, f in (("before", F.lag), ("after", F.lead)) for c in ("path", "id", "rep")))
+    near = _neighbours(paths)
     take_after = F.col("before_rep").isNull() | F.coalesce(_prefix("path", "after_path") > _prefix("path", "before_path"), F.lit(False))
     pick = lambda c: F.when(take_after, F.col(f"after_{c}")).otherwise(F.col(f"before_{c}"))
     near = near.select("host", "path", pick("id").alias("neighbour_id"), pick("rep").alias("rep")).where("rep is not null")

@@ -1,7 +1,8 @@
 import random
+import time
 from itertools import product
 
-from palimpsest.llm.html import common_subsequence, extract, text_lines
+from palimpsest.llm.html import _prefix, common_subsequence, extract, text_lines
 
 SCHEMA = "page_id long, url string, html string, host string, path string, row long, lines string, text string"
 
@@ -66,7 +67,7 @@ def test_against_brute_force(spark):
     for i in range(60):
         lines = ["Menu", f"body {i}", *(rng.choice(["ad one", "ad two", "note"]) for _ in range(3)), "Footer"]
         rows.append((i, f"https://{rng.choice('AB')}.org/{rng.choice(['x', 'y'])}/{rng.randrange(40)}{rng.choice(['', '/', '.html', '?q=1', '#a'])}", "".join(f"<p>{x}</p>" for x in lines)))
-    for limit in (150_000, 0):
+    for limit in (32_000_000, 0):
         import palimpsest.llm.html as H
 
         H.BROADCAST_PAIRS, kept = limit, H.BROADCAST_PAIRS
@@ -84,3 +85,27 @@ def test_edge_cases(spark):
     assert found[None] == [(None, "", 0)] and found[4] == found[5] == [(None, "same", 0)]
     assert found[6] == [(7, "\n".join(["line"] * 3000), 1)] and found[7] == [(6, "z", 1)]
     assert extract(pages(spark, [])).count() == 0
+
+
+def test_repeated_lines_take_little_time():
+    rng = random.Random(3)
+    began = time.process_time()
+    assert len(common_subsequence(["x"] * 20_000, ["x"] * 15_000)) == 15_000
+    a, b = ["s", *rng.choices("ab", k=4000), "t"], ["u", *rng.choices("ab", k=4000), "v"]
+    found = common_subsequence(a, b)
+    assert len(found) > 3000 and all(a[i] == b[j] for i, j in found)
+    assert time.process_time() - began < 10
+
+
+def test_neighbours_across_slices(spark):
+    """A host whose paths lie in several slices: neighbours are those of the whole host."""
+    rows = [(i, f"http://{'a' if i % 3 else 'b'}.org/{i:04d}{'x' * (i % 7)}", f"<p>menu<p>page {i}") for i in range(400)]
+    found = sorted(map(tuple, extract(pages(spark, rows)).collect()))
+    assert found == sorted(brute(rows)) and all(n == 1 for *_, n in found)
+
+
+def test_prefix(spark):
+    pairs = [("", ""), ("a", ""), ("abc", "abd"), ("abc", "abc"), ("abc", "abcd"), ("x" * 3000 + "a", "x" * 3000 + "b"), ("üéa", "üéb"), ("q", "r")]
+    table = spark.createDataFrame(pairs, "a string, b string")
+    for row in table.select("a", "b", _prefix("a", "b").alias("n")).collect():
+        assert row.n == next((k for k, (x, y) in enumerate(zip(row.a, row.b)) if x != y), min(len(row.a), len(row.b)))
