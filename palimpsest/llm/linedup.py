@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import small, unused, written
+from palimpsest.llm.common import parts, small, unused, written
 
 #: Least characters of a line that makes documents a pair, and of a block that is deleted.
 MIN_LINE, MIN_BLOCK = 20, 20
 #: Holders of a line up to which it is rare: all of them pair with each other.
 RARE = 4
+#: Pairs of one earlier document that a task takes.
+HOT_PAIRS = 50_000
 #: Bytes of cuts up to which they are broadcast; beyond it the texts are shuffled once.
 BROADCAST_CUTS = 32_000_000
 
@@ -208,8 +210,7 @@ def _carry_on(sequences: DataFrame, cut: DataFrame, min_line: int, min_block: in
     distinct = sequences.groupBy(F.xxhash64("hashes").alias("sequence")).agg(F.min("order").alias("first"), F.any_value("hashes").alias("old"))
     distinct = written(distinct, "distinct_sequences")
     held = distinct.select("sequence", "old").mapInArrow(_postings, "key long, sequence long").join(distinct.select("sequence", "first"), "sequence")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("first"))
-    held = written(held.withColumn("rank", rank), "postings")
+    held = written(_ranked(held), "postings")
     done, width = 0, 4
     while True:
         wanted = state.select("later", "hashes", "places", "sizes", "_cut").mapInArrow(_wanted(min_block), "later long, key long").join(state.select("later", "order"), "later")
@@ -225,6 +226,22 @@ def _carry_on(sequences: DataFrame, cut: DataFrame, min_line: int, min_block: in
         done, width = done + width, width * 4
 
 
+def _ranked(held: DataFrame) -> DataFrame:
+    """(key, sequence, first, rank): a key's sequences in order, the first at 1.
+
+    Ordered by range over all keys, so that the holders of a hot key lie in several slices; each slice's
+    ranks go on from the slices before it.
+    """
+    sliced = held.select("key", "first", "sequence").repartitionByRange(parts(held.sparkSession), "key", "first").withColumn("slice", F.spark_partition_id())
+    sliced = written(sliced, "posting_slices")
+    sizes = sliced.groupBy("key", "slice").agg(F.count("*").alias("own"))
+    before = F.sum("own").over(Window.partitionBy("key").orderBy("slice")) - F.col("own")  # as many rows as slices
+    ahead = small(written(sizes.select("key", "slice", before.alias("ahead")).where("ahead > 0"), "posting_ranks"))
+    within = F.row_number().over(Window.partitionBy("slice", "key").orderBy("first"))
+    ranked = sliced.withColumn("within", within).join(ahead, ["key", "slice"], "left")
+    return ranked.select("key", "sequence", "first", (F.col("within") + F.coalesce("ahead", F.lit(0))).alias("rank"))
+
+
 def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LINE, min_block: int = MIN_BLOCK, every_holder: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the common blocks cut out of ``text``.
 
@@ -251,10 +268,15 @@ def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LIN
     many = anchors.where((F.col("n") > rare) & (F.col("first.r") != F.col("_row"))).select(F.col("first.r").alias("earlier"), F.col("_row").alias("later"))
     few = anchors.where(F.col("n") <= rare).groupBy("hash").agg(F.array_sort(F.collect_list("order")).alias("o"))
     few = few.select(F.posexplode("o").alias("k", "x"), "o").select(F.col("x.r").alias("earlier"), F.explode(F.slice("o", F.col("k") + 2, F.size("o"))).alias("y")).select("earlier", F.col("y.r").alias("later"))
-    pairs = many.union(few).distinct()
-    old = sequences.select(F.col("_row").alias("earlier"), F.col("hashes").alias("old"))
+    pairs = written(many.union(few).distinct(), "pairs")
+    # an earlier document of very many pairs is given to several tasks: there are few of them, each a share of all pairs
+    hot = pairs.groupBy("earlier").agg(F.count("*").alias("n")).where(F.col("n") > HOT_PAIRS).select("earlier", F.ceil(F.col("n") / HOT_PAIRS).cast("int").alias("salts"))
+    hot = small(written(hot, "hot_holders"))
+    pairs = pairs.join(hot, "earlier", "left").select("earlier", "later", F.coalesce(F.pmod(F.xxhash64("later"), F.col("salts")), F.lit(0)).cast("int").alias("salt"))
+    old = sequences.select(F.col("_row").alias("earlier"), F.col("hashes").alias("old")).join(hot, "earlier", "left")
+    old = old.select("earlier", "old", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
     new = sequences.select(F.col("_row").alias("later"), F.col("hashes").alias("new"), "places", "sizes")
-    aligned = pairs.join(old, "earlier").join(new, "later").select("later", "old", "new", "places", "sizes")
+    aligned = pairs.join(old, ["earlier", "salt"]).join(new, "later").select("later", "old", "new", "places", "sizes")
     cut = aligned.mapInArrow(_align(min_block), "later long, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_cut"))
     if every_holder:
         cut = _carry_on(sequences, written(cut, "first_cuts"), min_line, min_block)

@@ -1,6 +1,6 @@
 import random
 
-from palimpsest.llm.linedup import common_subsequence, deduplicate_lines, patience
+from palimpsest.llm.linedup import _increasing, common_subsequence, deduplicate_lines, patience
 from tests.llm.helpers import docs
 
 
@@ -41,3 +41,17 @@ def test_copy_of_repeated_lines_is_cut(spark):
     text = "\n".join([a, b, a, b])
     found = {r.doc_id: r.text for r in deduplicate_lines(docs(spark, [(1, text), (2, text)])).collect()}
     assert found == {1: text, 2: ""}
+
+
+def test_anchors_are_the_longest_chain():
+    """The chain of unique common lines is as long as the longest found by trying all ends, and patience keeps all of it."""
+    rng = random.Random(6)
+    for _ in range(300):
+        old, new = rng.sample(range(40), rng.randrange(25)), rng.sample(range(40), rng.randrange(25))  # every line once
+        anchors = [(old.index(x), j) for j, x in enumerate(new) if x in old]
+        best = []
+        for k, (i, _) in enumerate(anchors):
+            best.append(1 + max((best[m] for m in range(k) if anchors[m][0] < i), default=0))
+        chain = _increasing(anchors)
+        assert len(chain) == max(best, default=0) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
+        assert len(patience(old, new)) == len(chain)
