@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm import decontaminate, language, linedup, mixing, setjoin
 from palimpsest.llm.common import small, table, written
 
-#: Removed ids up to which they are broadcast to the documents (8 bytes each); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
-
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents whose id is not among those ids; null ids stay."""
-    return docs.join(small(written(gone.select("doc_id").distinct(), "gone"), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(written(gone.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
