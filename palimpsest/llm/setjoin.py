@@ -405,7 +405,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
 
 
 #: What one block of a component may hold on either side: tokens, and sets.
-BLOCK_TOKENS, BLOCK_SETS = 2_000_000, 2000
+BLOCK_TOKENS, BLOCK_SETS = 4_000_000, 2000
 _FOUND = "a long, b long, links long, jaccard double"
 
 
