@@ -1,10 +1,14 @@
-"""Full-text search: postings, BM25, boolean, phrase and prefix matches."""
+"""Full-text search: BM25, boolean, phrase and prefix matches, names by tiers."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.storage import BROADCAST_BYTES, row_bytes, small, written
+
 K1, B = 1.2, 0.75
 
 
@@ -13,55 +17,148 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
-def postings(docs: DataFrame, columns: dict[str, float], id_column: str = "id") -> DataFrame:
-    """(id, col, weight, pos, term) for every token of the weighted columns."""
-    parts = [docs.select(F.col(id_column).alias("id"), F.lit(c).alias("col"), F.lit(float(w)).alias("weight"), F.posexplode(tokens(F.col(c))).alias("pos", "term")) for c, w in columns.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def bm25(docs: DataFrame, query_terms: DataFrame, columns: dict[str, float], id_column: str = "id") -> DataFrame:
-    """(query_id, id, score): weighted BM25, larger is better, for every document with any term.
+def hits(docs: DataFrame, query_terms: DataFrame, columns: dict[str, float], id_column: str = "id", extra: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, terms array<struct<term, f>>, extra columns) of every document, written once: one pass over the texts.
 
-    ``query_terms`` is (query_id, term) and is broadcast: a batch of queries.  The documents
-    are scanned once for the corpus statistics and once for the matches, both narrow.
+    ``f`` is the weighted frequency of each query term that the document holds.  The distinct terms of the
+    batch of queries travel as one array, behind a check of its size; beyond it tokens are joined with them.
     """
-    sized = docs.select(F.col(id_column).alias("id"), sum((F.size(tokens(F.coalesce(F.col(c), F.lit("")))) for c in columns), F.lit(0)).alias("size"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("size").alias("avgdl"))
-    wanted = query_terms.select("term").distinct()
-    matched = postings(docs, columns, id_column).join(F.broadcast(wanted), "term")
-    tf = matched.groupBy("id", "term").agg(F.sum("weight").alias("f"))
-    df = tf.groupBy("term").agg(F.count("*").alias("nt"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "avgdl", F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5))).alias("idf"))
-    scored = tf.join(F.broadcast(idf), "term").join(sized, "id")
+    wanted = written(query_terms.select("term").distinct(), "terms")
+    fits = (wanted.select(row_bytes(wanted).alias("n")).agg(F.sum("n")).first()[0] or 0) <= BROADCAST_BYTES
+    base = docs.select(F.col(id_column).alias("id"), *extra, *(tokens(F.coalesce(F.col(c), F.lit(""))).alias(f"_t{k}") for k, c in enumerate(columns)))
+    size = sum((F.size(f"_t{k}") for k in range(len(columns))), F.lit(0)).alias("size")
+    weights = list(columns.values())
+
+    def frequency(t: Column) -> Column:
+        return sum((F.lit(float(w)) * F.size(F.filter(f"_t{k}", lambda x: x == t)) for k, w in enumerate(weights)), F.lit(0.0))
+
+    if fits:
+        row = wanted.agg(F.collect_set("term").alias("_wanted"))  # one row, of checked size
+        held = F.array_intersect(F.array_distinct(F.concat(*(f"_t{k}" for k in range(len(weights))))), F.col("_wanted"))
+        found = F.transform(held, lambda t: F.struct(t.alias("term"), frequency(t).alias("f")))
+        return written(base.crossJoin(F.broadcast(row)).select("id", size, found.alias("terms"), *extra), "hits")
+    sized = base.select("id", size, *extra)
+    each = None
+    for k, w in enumerate(weights):
+        part = base.select("id", F.explode(f"_t{k}").alias("term"), F.lit(float(w)).alias("f"))
+        each = part if each is None else each.unionByName(part)
+    counted = each.join(wanted, "term").groupBy("id", "term").agg(F.sum("f").alias("f"))
+    listed = counted.groupBy("id").agg(F.collect_list(F.struct("term", "f")).alias("terms"))
+    empty = F.array().cast("array<struct<term:string,f:double>>")
+    return written(sized.join(listed, "id", "left").select("id", "size", F.coalesce("terms", empty).alias("terms"), *extra), "hits")
+
+
+def bm25(docs: DataFrame, query_terms: DataFrame, columns: dict[str, float], id_column: str = "id", active: str | None = None) -> DataFrame:
+    """(query_id, id, score): weighted BM25, larger is better, for every document with any term of the query.
+
+    ``query_terms`` is (query_id, term), distinct: a batch of queries.  Statistics count all documents; with
+    ``active``, a condition on the documents' columns, only rows that meet it are found.
+    """
+    docs = docs.withColumn("_active", F.lit(True) if active is None else F.coalesce(F.expr(active), F.lit(False)))
+    held = hits(docs, query_terms, columns, id_column, ("_active",))
+    stats = held.agg(F.count("*").alias("n"), F.avg("size").alias("avgdl"))  # one row
+    tf = held.select("id", "size", "_active", F.explode("terms").alias("t")).select("id", "size", "_active", "t.term", "t.f")
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("nt") + 0.5) / (F.col("nt") + 0.5)))
+    weight = tf.groupBy("term").agg(F.count("*").alias("nt")).crossJoin(F.broadcast(stats)).select("term", "avgdl", idf.alias("idf"))
+    asked = small(written(query_terms.join(weight, "term").select("query_id", "term", "avgdl", "idf"), "asked"))
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
-    each = scored.select("id", "term", part.alias("part"))
-    return each.join(F.broadcast(query_terms), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+    return tf.where("_active").join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def match_all(docs: DataFrame, query_terms: DataFrame, columns: dict[str, float], id_column: str = "id") -> DataFrame:
     """(query_id, id) of documents that hold every distinct term of the query."""
-    need = query_terms.groupBy("query_id").agg(F.count_distinct("term").alias("need"))
-    hit = postings(docs, columns, id_column).join(F.broadcast(query_terms.distinct()), "term").groupBy("query_id", "id").agg(F.count_distinct("term").alias("n"))
-    return hit.join(F.broadcast(need), "query_id").where("n = need").select("query_id", "id")
+    terms = written(query_terms.distinct(), "query_terms")
+    need = terms.groupBy("query_id").agg(F.count("*").alias("need"))
+    hit = hits(docs, terms, columns, id_column).select("id", F.explode("terms.term").alias("term")).join(small(terms), "term").groupBy("query_id", "id").agg(F.count("*").alias("n"))
+    return hit.join(small(need), "query_id").where("n = need").select("query_id", "id")
+
+
+def search(docs: DataFrame, query_terms: DataFrame, columns: list[str], most: int, id_column: str = "id") -> DataFrame:
+    """(query_id, id, score, rank): documents with all terms of the query over the columns taken alike, best first."""
+    from palimpsest.operators.retrieval import best
+
+    weights = dict.fromkeys(columns, 1.0)
+    scored = bm25(docs, query_terms, weights, id_column).join(match_all(docs, query_terms, weights, id_column), ["query_id", "id"])
+    return best(scored.withColumn("score", F.round("score", 9)), [F.desc("score"), F.asc("id")], most)
 
 
 def match_phrase(docs: DataFrame, phrase: str, column: str) -> DataFrame:
     """Documents that hold the phrase's tokens one after another."""
-    joined = F.concat(F.lit(" "), F.array_join(tokens(F.col(column)), " "), F.lit(" "))
-    return docs.where(joined.contains(" " + " ".join(phrase.lower().split()) + " "))
+    return docs.where(has_phrase(tokens(F.col(column)), F.lit(phrase.lower())))
+
+
+def has_phrase(words: Column, phrase: Column) -> Column:
+    """Whether the tokens hold the phrase's words, one space between them, one after another."""
+    return F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
 def match_prefix(docs: DataFrame, prefix: str, column: str) -> DataFrame:
     return docs.where(F.exists(tokens(F.col(column)), lambda t: t.startswith(prefix.lower())))
 
 
-def tiered_name_search(entities: DataFrame, text: str, most: int) -> DataFrame:
-    """Names by whole word, else by substring: only the first tier with any hit answers."""
+_PIECE = re.compile(r'\s*(?:(?P<mark>[()])|"(?P<phrase>[^"]*)"|(?P<word>[^\s()"]+))')
+
+
+def boolean(expression: str, words: Column) -> Column:
+    """A match expression over a column of tokens: words, prefix*, "phrases", AND, OR, NOT and parentheses.
+
+    NOT binds closest, then AND, which may be left out, then OR.  ValueError for an unbalanced or empty expression.
+    """
+    pieces = [(m.lastgroup, m[m.lastgroup]) for m in _PIECE.finditer(expression)]
+    at = 0
+
+    def ahead(*values: str) -> bool:
+        return at < len(pieces) and pieces[at][0] != "phrase" and pieces[at][1] in values
+
+    def either() -> Column:
+        nonlocal at
+        out = both()
+        while ahead("OR"):
+            at += 1
+            out = out | both()
+        return out
+
+    def both() -> Column:
+        nonlocal at
+        out = one()
+        while at < len(pieces) and not ahead("OR", ")"):
+            at += ahead("AND")
+            out = out & one()
+        return out
+
+    def one() -> Column:
+        nonlocal at
+        if at == len(pieces) or ahead("AND", "OR", ")"):
+            raise ValueError(f"a term is missing in {expression!r}")
+        kind, value = pieces[at]
+        at += 1
+        if kind == "word" and value == "NOT":
+            return ~one()
+        if kind == "mark":
+            out = either()
+            if not ahead(")"):
+                raise ValueError(f"a parenthesis is open in {expression!r}")
+            at += 1
+            return out
+        parts = re.findall(r"[^\W_]+", value.lower())
+        if not parts:
+            return F.lit(False)
+        if kind == "word" and value.endswith("*") and len(parts) == 1:
+            return F.exists(words, lambda t: t.startswith(parts[0]))
+        return F.array_contains(words, parts[0]) if len(parts) == 1 else has_phrase(words, F.lit(" ".join(parts)))
+
+    out = either()
+    if at < len(pieces):
+        raise ValueError(f"a parenthesis is closed that was never opened in {expression!r}")
+    return out
+
+
+def tiered_name_search(entities: DataFrame, text: str, most: int, entity_type: str | None = None) -> DataFrame:
+    """Names by whole word, else by substring: only the first tier with any hit answers; by name, then id."""
     low = text.lower()
+    if entity_type:
+        entities = entities.where(F.col("entity_type") == entity_type)
     tier = F.when(F.array_contains(tokens(F.col("name")), low), 1).when(F.lower("name").contains(low), 2)
-    hits = entities.withColumn("tier", tier).where("tier is not null")
-    best = Window.partitionBy(F.lit(0))
-    return hits.withColumn("best", F.min("tier").over(best)).where("tier = best").drop("best").orderBy("name", "id").limit(most)
+    found = entities.withColumn("tier", tier).where("tier is not null")
+    first = found.agg(F.min("tier").alias("tier"))  # one row
+    return found.join(F.broadcast(first), "tier").orderBy("name", "id").limit(most)

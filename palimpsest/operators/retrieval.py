@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as S
+from palimpsest.operators.fulltext import has_phrase, tokens
+from palimpsest.storage import small, written
 
 #: Damping of each signal in the fusion.
 SIGNAL_K = {"vector": 60, "bm25": 60, "graph": 30, "recency": 20, "freshness": 15}
@@ -90,31 +95,208 @@ def tiered(parts: list[DataFrame], budget: int) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget)
 
 
-def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memories: DataFrame, hub_degree: int = 50, most: int = 30) -> DataFrame:
-    """(query_id, id, graph): memories that name the neighbours of the entities that the query names.
+def best(scored: DataFrame, order: list[Column], most: int, by: str = "query_id") -> DataFrame:
+    """The first ``most`` rows of each query in that order, with ``rank`` from 1."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= most)
+
+
+def matched_entities(terms: DataFrame, entities: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, name): entities whose name has a query term as a word, or one of four letters or more as a word's beginning.
+
+    ``terms`` is (query_id, term), lower case.  At most ``most`` a query, those of most terms first, then by name and id.
+    """
+    words = entities.select("id", "name", F.explode(F.array_distinct(tokens(F.col("name")))).alias("word"))
+    # a prefix is looked up under its first four letters, a whole word of fewer letters under itself
+    key = lambda c: F.substring(c, 1, 4)
+    asked = small(written(terms.select("query_id", "term", key("term").alias("key")).distinct(), "entity_terms"))
+    fits = (F.col("word") == F.col("term")) | (F.length("term") >= 4) & F.col("word").startswith(F.col("term"))
+    hit = words.withColumn("key", key("word")).join(asked, "key").where(fits)
+    counted = hit.groupBy("query_id", "id", "name").agg(F.count_distinct("term").alias("n"))
+    return best(counted, [F.desc("n"), F.asc("name"), F.asc("id")], most).select("query_id", "id", "name")
+
+
+def related_names(direct: DataFrame, entities: DataFrame, ways: DataFrame, degrees: DataFrame, most: int) -> DataFrame:
+    """(query_id, id, name, degree, links): neighbours of each query's entities by other names, those with most links first."""
+    reached = direct.select("query_id", F.col("id").alias("from")).join(ways.withColumnRenamed("id", "from"), "from")
+    counted = reached.groupBy("query_id", F.col("other").alias("id")).agg(F.count_distinct("from").alias("links"))
+    named = counted.join(entities.select("id", "name"), "id").join(degrees, "id")
+    named = best(named, [F.desc("links"), F.asc("name"), F.asc("id")], most)
+    return named.join(direct.select("query_id", "name"), ["query_id", "name"], "left_anti").select("query_id", "id", "name", "degree", "links")
+
+
+def expanded_terms(terms: DataFrame, entities: DataFrame, edges: DataFrame, matched: int = 5, most: int = 10) -> DataFrame:
+    """(query_id, term) with the one-word names of the neighbours of the entities that a query names added."""
+    from palimpsest.operators import graph as G
+
+    live = G.active(edges)
+    direct = written(matched_entities(terms, entities, matched), "named")
+    ways = G.both_ways(live).select("id", "other").distinct()
+    names = related_names(direct, entities, ways, G.degree(live), most).select("query_id", tokens(F.col("name")).alias("w")).where(F.size("w") == 1)
+    return terms.select("query_id", "term").union(names.select("query_id", F.col("w")[0])).distinct()
+
+
+def graph_names(terms: DataFrame, entities: DataFrame, edges: DataFrame, hub_degree: int = 50) -> DataFrame:
+    """(query_id, name, kind): the names that a query reaches, lower case; kind is direct, expanded or hub.
 
-    Entities match by a whole word of their name.  A neighbour of more than ``hub_degree``
-    edges counts only if two matched entities lead to it; at most ``most`` neighbours a
-    query stay, by links, then name.  A memory scores 0.6, 0.8 or 1 by how many distinct
-    names it holds (one, two, more).
+    Direct names are those of at most 10 entities that the query names.  Of 30 neighbours, those of up to
+    ``hub_degree`` live edges are expanded, others are hubs and count if two direct entities lead to them.
+    A query with fewer than three expanded names takes those of up to 20 neighbours of ten neighbours too.
     """
     from palimpsest.operators import graph as G
-    from palimpsest.operators.fulltext import tokens
 
-    named = entities.select(F.col("id").alias("entity"), F.explode(F.array_distinct(tokens(F.col("name")))).alias("term"))
-    matched = named.join(F.broadcast(terms.select("query_id", "term").distinct()), "term").select("query_id", "entity").distinct()
     live = G.active(edges)
-    ways = G.both_ways(live).select(F.col("id").alias("entity"), "other").distinct()
-    reached = matched.join(ways, "entity").groupBy("query_id", F.col("other").alias("id")).agg(F.count_distinct("entity").alias("links"))
-    kept = reached.join(G.degree(live), "id").where((F.col("degree") <= hub_degree) | (F.col("links") >= 2))
-    w = Window.partitionBy("query_id").orderBy(F.desc("links"), "name", "id")
-    names = kept.join(entities.select("id", "name"), "id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    names = names.select("query_id", F.lower("name").alias("name"), F.element_at(tokens(F.col("name")), 1).alias("term")).distinct()
-    # the first word of a name finds the memories, the whole name decides: an equi-join, not a cross join
-    words = memories.select(F.col("id"), F.lower(F.concat_ws(" ", "content", "subject")).alias("text"))
-    found = words.select("id", "text", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(F.broadcast(names), "term").where(F.col("text").contains(F.col("name")))
-    hits = found.groupBy("query_id", "id").agg(F.count_distinct("name").alias("k"))
-    return hits.select("query_id", "id", F.when(F.col("k") >= 3, 1.0).when(F.col("k") == 2, 0.8).otherwise(0.6).alias("graph"))
+    ways, degrees = written(G.both_ways(live).select("id", "other").distinct(), "ways"), G.degree(live)
+    direct = written(matched_entities(terms, entities, 10), "direct")
+    near = written(related_names(direct, entities, ways, degrees, 30), "neighbours")
+    few = near.groupBy("query_id").agg(F.count_if(F.col("degree") <= hub_degree).alias("n")).where("n < 3").select("query_id")
+    middle = best(near.join(few, "query_id", "left_semi"), [F.asc("name"), F.asc("id")], 10).select("query_id", "id", "name")
+    far = related_names(middle, entities, ways, degrees, 20).where(F.col("degree") <= hub_degree).select("query_id", "name")
+    far = far.join(direct, ["query_id", "name"], "left_anti")
+    expanded = near.where(F.col("degree") <= hub_degree).select("query_id", "name").union(far).distinct()
+    hubs = near.where((F.col("degree") > hub_degree) & (F.col("links") >= 2)).select("query_id", "name")
+    kinds = [direct.select("query_id", "name", F.lit("direct").alias("kind")), expanded.withColumn("kind", F.lit("expanded")), hubs.withColumn("kind", F.lit("hub"))]
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    return every.groupBy("query_id", F.lower("name").alias("name")).agg(F.min("kind").alias("kind"))
+
+
+def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memories: DataFrame, most: int = 50, probe: int = 5) -> DataFrame:
+    """(query_id, id, graph, place): active memories that hold the names which a query reaches in the graph, by place.
+
+    Each expanded name (a direct one, where a query has no expanded) is looked up in the memories' content,
+    category and subject: the ``probe`` newest rows that also hold a direct name, or where there are none, the
+    newest that hold it alone.  Names go in order, an id counts at its first.  The score is 0.4, 0.6, 0.8 or
+    1 by how many of the query's names the row's content and subject contain.  Rows whose subject contains
+    a name fill up to ``most``, with 0.8, the most important and newest first.
+    """
+    names = written(graph_names(terms, entities, edges), "graph_names")
+    rows = memories.where("superseded_by is null").select("id", "created_at", "importance", F.lower(F.coalesce("subject", F.lit(""))).alias("about"), F.lower(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("subject", F.lit("")))).alias("text"), tokens(F.concat_ws(" ", "content", "category", "subject")).alias("words"))
+    wanted = names.select(F.col("name"), tokens(F.col("name")).alias("w")).where(F.size("w") > 0).distinct().select("name", F.array_join("w", " ").alias("phrase"), F.col("w")[0].alias("head"))
+    wanted = small(written(wanted, "wanted_names"))
+    # a name's first word finds the rows and the whole phrase decides: an equi-join
+    held = rows.select("id", "created_at", "words", F.explode(F.array_distinct("words")).alias("head")).join(wanted, "head").where(has_phrase(F.col("words"), F.col("phrase"))).select("id", "created_at", "name")
+    held = written(held.distinct(), "held_names")
+    asked = written(held.join(names, "name"), "asked_names")
+    expands = names.groupBy("query_id").agg(F.max(F.col("kind") == "expanded").alias("expands"))
+    context = asked.where("kind = 'direct'").select("query_id", "id").distinct().withColumn("context", F.lit(1))
+    probes = asked.join(expands, "query_id").where(F.when(F.col("expands"), F.col("kind") == "expanded").otherwise(F.col("kind") == "direct"))
+    probes = probes.join(context, ["query_id", "id"], "left").withColumn("context", F.coalesce("context", F.lit(0)))
+    by_name = Window.partitionBy("query_id", "name")
+    probes = probes.withColumn("most", F.max("context").over(by_name)).where("context = most")
+    probes = probes.withColumn("n", F.row_number().over(by_name.orderBy(F.desc("created_at"), F.asc("id")))).where(F.col("n") <= probe)
+    firsts = probes.groupBy("query_id", "id").agg(F.min(F.struct("name", "n")).alias("at"))
+    first = best(firsts, [F.asc("at"), F.asc("id")], most).select("query_id", "id", F.col("rank").alias("place"))
+    texts = rows.select("id", "text").join(small(written(first.select("id").distinct(), "found_ids")), "id")
+    found = first.join(texts, "id").join(names, "query_id")
+    density = F.count_if(F.col("text").contains(F.col("name")))
+    found = found.groupBy("query_id", "id", "place").agg(density.alias("k")).select("query_id", "id", F.when(F.col("k") >= 3, 1.0).when(F.col("k") == 2, 0.8).when(F.col("k") == 1, 0.6).otherwise(0.4).alias("graph"), "place")
+    found = written(found, "graph_found")
+    # subjects are few against rows: their distinct values meet the names, then the rows by equality
+    subjects = rows.where("about <> ''").select("about").distinct()
+    meant = written(subjects.join(small(names), F.col("about").contains(F.col("name"))).select("query_id", "about").distinct(), "meant_subjects")
+    room = meant.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("taken")), "query_id", "left").select("query_id", F.coalesce("taken", F.lit(0)).alias("taken"))
+    more = rows.where("about <> ''").select("id", "about", "importance", "created_at").join(small(meant), "about")
+    more = more.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("importance"), F.desc("created_at"), F.asc("id")))).join(room, "query_id").where(F.col("n") <= most - F.col("taken"))
+    more = more.join(found, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.8).alias("graph"), (F.lit(most) + F.col("n")).alias("place"))
+    return found.unionByName(more)
+
+
+@dataclass(frozen=True)
+class Options:
+    """What a retrieval may be told; the defaults are those of the batched search."""
+
+    limit: int = 5
+    category: str | None = None
+    subject: str | None = None
+    origin: str | None = None
+    signals: tuple[str, ...] = ("vector", "bm25", "graph", "recency", "freshness")
+    sufficient_distance: float = 0.0
+    sufficient_agreement: int = 1
+    half_life: float = 90.0
+    min_relevance: float | None = None
+
+
+def retrieve(queries: DataFrame, memories: DataFrame, vectors: DataFrame, entities: DataFrame, edges: DataFrame, now: Column, options: Options = Options()) -> DataFrame:
+    """(query_id, rank, id, relevance, score, rrf): the hybrid search for a batch of queries (query_id, text, embedding).
+
+    Nearest vectors and full text give max(10 limit, 50) active memories each, the graph as many.  A query
+    whose first results are all near and agree with full text needs no graph.  All of these by date are
+    one more signal; for a query with temporal intent so are the rows that vectors and full text share.
+    Signals are fused by reciprocal ranks, or a sole signal's order is kept; then rows are filtered and
+    scored, those with a distance first.  ``relevance`` is null for rows without a distance.
+    """
+    from palimpsest.functions import vectors as V
+    from palimpsest.operators.fulltext import bm25
+    from palimpsest.operators.vector import knn
+
+    depth = max(10 * options.limit, 50)
+    live = memories.where("superseded_by is null")
+    terms = written(queries.select("query_id", F.explode(S.query_terms(F.lower("text"))).alias("term")).distinct(), "search_terms")
+    empty = terms.sparkSession.createDataFrame([], "query_id long, id long, distance double, score double, graph double, place int")
+    near, text, graph = empty.select("query_id", "id", "distance"), empty.select("query_id", "id", "score"), empty.select("query_id", "id", "graph", "place")
+    if "vector" in options.signals:
+        near = knn(queries, live.select("id").join(vectors, "id"), depth).select("query_id", "id", F.round("distance", 6).alias("distance"))
+    if "bm25" in options.signals:
+        asked = written(expanded_terms(terms, entities, edges), "expanded_terms")
+        found = bm25(memories, asked, {"content": 10.0, "category": 1.0, "subject": 5.0}, active="superseded_by is null")
+        text = best(found.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("id")], depth).select("query_id", "id", "score")
+    near, text = written(near, "near"), written(text, "text_hits")
+    enough = sufficient(near, text, options)
+    if "graph" in options.signals:
+        asked = queries.join(enough, "query_id", "left_anti")
+        words = written(asked.select("query_id", F.explode(S.query_terms(F.lower("text"), S.ENTITY_STOP)).alias("term")).distinct(), "graph_terms")
+        graph = graph_signal(words, entities, edges, memories, depth)
+    graph = written(graph, "graph_hits")
+    lists = [ranked(near, "vector", [F.asc("distance"), F.asc("id")]), ranked(text, "bm25", [F.desc("score"), F.asc("id")]), ranked(graph, "graph", [F.asc("place"), F.asc("id")])]
+    made = live.select("id", "created_at")
+    pool = near.select("query_id", "id").union(text.select("query_id", "id")).union(graph.select("query_id", "id")).distinct().join(made, "id")
+    if "recency" in options.signals:
+        lists.append(ranked(pool, "recency", [F.desc("created_at"), F.asc("id")]))
+    if "freshness" in options.signals:
+        temporal = queries.where(S.temporal_intent(F.col("text"))).select("query_id").join(enough, "query_id", "left_anti")
+        lists.append(ranked(freshness(near, text, made).join(temporal, "query_id", "left_semi"), "freshness", [F.desc("created_at"), F.asc("id")]))
+    signals = reduce(DataFrame.unionByName, lists)
+    signals = written(signals, "signals")
+    # a sole signal keeps its own order: its reciprocal ranks have that order too
+    fused = fuse(signals).join(live, "id")
+    for column, value in (("category", options.category), ("origin", options.origin)):
+        fused = fused.where(F.col(column) == value) if value else fused
+    if options.subject:
+        fused = fused.where(F.lower("subject").contains(options.subject.lower()))
+    top = text.groupBy("query_id").agg(F.max("score").alias("top"))
+    scaled = text.join(top, "query_id").select("query_id", "id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("bm25"))
+    rows = fused.join(near, ["query_id", "id"], "left").join(scaled, ["query_id", "id"], "left").join(graph.select("query_id", "id", "graph"), ["query_id", "id"], "left")
+    rows = rows.join(queries.select("query_id", S.freshness_alpha(F.col("text")).alias("alpha")), "query_id")
+    primary, score = importance_score(now, F.col("alpha"), options.half_life)
+    rows = rows.select("query_id", "id", "rrf", F.round(V.relevance(F.col("distance")), 4).alias("relevance"), primary.alias("primary"), F.round(score, 9).alias("score"))
+    if options.min_relevance is not None:
+        rows = rows.where(F.coalesce("relevance", F.lit(1.0)) >= options.min_relevance)
+    taken = best(rows, [F.desc("primary"), F.desc("score"), F.desc(F.round("rrf", 9)), F.asc("id")], options.limit)
+    return taken.select("query_id", "rank", "id", "relevance", "score", "rrf")
+
+
+def sufficient(near: DataFrame, text: DataFrame, options: Options) -> DataFrame:
+    """(query_id) of queries whose first ``limit`` rows are all near enough and shared with full text often enough."""
+    if options.sufficient_distance <= 0:
+        return near.select("query_id").limit(0)
+    first = best(near, [F.asc("distance"), F.asc("id")], options.limit).join(text.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    counted = first.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.count("hit").alias("agree"))
+    return counted.where((F.col("n") >= options.limit) & (F.col("far") <= options.sufficient_distance) & (F.col("agree") >= options.sufficient_agreement)).select("query_id")
+
+
+def freshness(near: DataFrame, text: DataFrame, made: DataFrame) -> DataFrame:
+    """(query_id, id, created_at, freshness): rows of both lists; the nearest scores 1 and the farthest 0."""
+    both = near.join(text.select("query_id", "id"), ["query_id", "id"], "left_semi").join(made, "id")
+    w = Window.partitionBy("query_id")
+    low, high = F.min("distance").over(w), F.max("distance").over(w)
+    score = 1.0 - (F.col("distance") - low) / F.when(high > low, high - low).otherwise(1.0)
+    return both.select("query_id", "id", "created_at", score.alias("freshness"))
+
+
+def session_bonus(subject: Column, category: Column, seen_categories: Column, seen_tokens: Column) -> Column:
+    """0.05 for a category that the session has seen, and 0.05 times the share of the subject's words that it has."""
+    words = F.array_distinct(tokens(F.coalesce(subject, F.lit(""))))
+    share = F.when(F.size(words) > 0, F.size(F.array_intersect(words, seen_tokens)) / F.size(words)).otherwise(0.0)
+    return F.when(F.array_contains(seen_categories, category), 0.05).otherwise(0.0) + 0.05 * share
 
 
 def rerank_blend(results: DataFrame, score: str, weight: float = 0.75) -> DataFrame:
@@ -132,12 +314,12 @@ def apply_picks(results: DataFrame, picks: DataFrame) -> DataFrame:
     parsed = picks.select("query_id", F.posexplode(F.from_json(F.regexp_extract("answer", r"\[[\d,\s]*\]", 0), "array<int>")).alias("pick", "rank"))
     first = parsed.groupBy("query_id", "rank").agg(F.min("pick").alias("pick"))
     w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("pick"), "rank", "id")
-    return results.join(F.broadcast(first), ["query_id", "rank"], "left").withColumn("place", F.row_number().over(w)).drop("pick")
+    return results.join(first, ["query_id", "rank"], "left").withColumn("place", F.row_number().over(w)).drop("pick")
 
 
 def inject_graph_slot(top: DataFrame, extra: DataFrame, k: int) -> DataFrame:
     """The last of k places goes to the best graph-only row ((query_id, id, novel, terms)), where there is one."""
-    best = extra.join(top.select("query_id", "id"), ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.max_by("id", F.struct("novel", "terms", -F.col("id"))).alias("extra_id"))
-    joined = top.join(F.broadcast(best), "query_id", "left")
+    chosen = extra.join(top.select("query_id", "id"), ["query_id", "id"], "left_anti").groupBy("query_id").agg(F.max_by("id", F.struct("novel", "terms", -F.col("id"))).alias("extra_id"))
+    joined = top.join(chosen, "query_id", "left")
     swapped = F.when((F.col("rank") == k) & F.col("extra_id").isNotNull(), F.col("extra_id")).otherwise(F.col("id"))
     return joined.select("query_id", swapped.alias("id"), "rank")

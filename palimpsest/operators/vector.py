@@ -1,42 +1,204 @@
-"""Nearest-neighbour operators."""
+"""Nearest-neighbour operators: blocks of rows meet as matrices in Arrow batches, distances are exact."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import vectors as V
+from palimpsest.storage import parts, small, written
+
+#: Numbers that one side of a block holds, 8 bytes each.
+BLOCK_NUMBERS = 4_000_000
+#: Rows of a bucket of near vectors that meet at once on either side.
+BUCKET_ROWS = 4000
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """The rows of a list column as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
+def _types(df: DataFrame, name: str) -> str:
+    return df.schema[name].dataType.simpleString()
+
+
+def _nearest(k: int, exclude_self: bool, types: tuple[pa.DataType, pa.DataType]):
+    def nearest(queries: pa.Table, base: pa.Table) -> pa.Table:
+        x, y = matrix(queries["embedding"]), matrix(base["embedding"])
+        qids, ids = queries["query_id"].to_pylist(), base["id"].to_pylist()
+        out: list[tuple] = []
+        if len(x) and len(y):
+            norm = (y * y).sum(1)
+            for at in range(0, len(x), 256):
+                part = x[at : at + 256]
+                square = (part * part).sum(1)[:, None] + norm[None, :] - 2 * part @ y.T
+                most = min(k + exclude_self, len(y))
+                bound = np.partition(square, most - 1, axis=1)[:, most - 1]
+                for row in range(len(part)):
+                    # candidates by the product's rounding, distances by their definition
+                    near = np.flatnonzero(square[row] <= bound[row] + 1e-9)
+                    distance = np.sqrt(((y[near] - part[row]) ** 2).sum(1))
+                    own = [(d, ids[i]) for d, i in zip(distance.tolist(), near.tolist()) if not exclude_self or ids[i] != qids[at + row]]
+                    out += [(qids[at + row], i, d) for d, i in sorted(own)[:k]]
+        columns = list(zip(*out)) if out else [(), (), ()]
+        return pa.table([pa.array(columns[0], types[0]), pa.array(columns[1], types[1]), pa.array(columns[2], pa.float64())], ["query_id", "id", "distance"])
+
+    return nearest
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", exclude_self: bool = False, blocks: int | None = None) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, k: int, query_id: str = "query_id", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the exact k nearest of every query by L2, ties by id.
 
-    The base is cut into blocks and every (query, block) pair ranks on its own before the
-    block winners meet, so no task holds more than a block's candidates of a query; the
-    window keeps only k rows a group on the map side.
+    Queries and base are cut into blocks by hashes of their ids; each pair of blocks is one matrix product
+    of bounded size that leaves k rows a query, and a window picks among the winners.  Queries travel once
+    for each base block and base rows once for each query block.  Null vectors take no part.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col("embedding").alias("qe"))
-    pairs = q.crossJoin(base.select("id", "embedding"))
-    if exclude_self:
-        pairs = pairs.where("query_id <> id")
-    scored = pairs.select("query_id", "id", V.l2_distance(F.col("qe"), F.col("embedding")).alias("distance"))
-    if blocks:
-        inner = Window.partitionBy("query_id", "block").orderBy("distance", "id")
-        scored = scored.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("r", F.row_number().over(inner)).where(F.col("r") <= k).drop("r", "block")
+    queries = queries.select(F.col(query_id).alias("query_id"), "embedding").where("embedding is not null")
+    base = base.select("id", "embedding").where("embedding is not null")
+    left, right = _blocks(queries, base)
+    schema = f"query_id {_types(queries, 'query_id')}, id {_types(base, 'id')}, distance double"
+    kinds = tuple(pa.string() if _types(df, c) == "string" else pa.int64() if _types(df, c) == "bigint" else pa.int32() for df, c in ((queries, "query_id"), (base, "id")))
+    scored = left.cogroup(right).applyInArrow(_nearest(k, exclude_self, kinds), schema)
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def near_pairs(base: DataFrame, k: int, min_cosine: float) -> DataFrame:
-    """(a, b, cosine) with a < b: pairs among each row's k nearest with a cosine above the bound."""
-    near = knn(base.withColumnRenamed("id", "query_id"), base, k + 1)
-    found = near.where("query_id <> id").select(F.least("query_id", "id").alias("a"), F.greatest("query_id", "id").alias("b"), V.relevance(F.col("distance")).alias("cosine"))
-    return found.where(F.col("cosine") > min_cosine).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+def _similar(min_cosine: float):
+    def similar(queries: pa.Table, base: pa.Table) -> pa.Table:
+        x, y = matrix(queries["embedding"]), matrix(base["embedding"])
+        qids, ids = queries["query_id"].to_numpy(), base["id"].to_numpy()
+        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(x) and len(y):
+            unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+            x, y = unit(x), unit(y)
+            for at in range(0, len(x), 256):
+                cosine = x[at : at + 256] @ y.T
+                p, q = np.nonzero(cosine > min_cosine)
+                a.append(qids[p + at])
+                b.append(ids[q])
+                c.append(np.clip(cosine[p, q], 0, 1))
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c))], ["query_id", "id", "cosine"])
+
+    return similar
+
+
+def _blocks(queries: DataFrame, base: DataFrame) -> tuple:
+    """Both sides keyed by pairs of blocks, each of bounded size: queries go to all base blocks and the other way round."""
+    count = base.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    rows = max(1, BLOCK_NUMBERS // max(1, count.d or 1))
+    over = max(math.ceil(count.n / rows), min(parts(base.sparkSession), math.ceil(count.n / 1000)), 1)
+    across = max(1, math.ceil(queries.count() / rows))
+    left = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(across)).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), F.lit(over - 1))).alias("b"))
+    right = base.select("id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("c"), F.pmod(F.xxhash64("id"), F.lit(over)).cast("int").alias("b"))
+    return left.groupBy("b", "c"), right.groupBy("b", "c")
+
+
+def similar(queries: DataFrame, base: DataFrame, min_cosine: float) -> DataFrame:
+    """(query_id, id, cosine): for each query all rows whose cosine with it exceeds the bound; a zero vector is similar to none."""
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where("embedding is not null")
+    base = base.select(F.col("id").cast("long").alias("id"), "embedding").where("embedding is not null")
+    left, right = _blocks(queries, base)
+    return left.cogroup(right).applyInArrow(_similar(min_cosine), "query_id long, id long, cosine double")
+
+
+def tables_for(min_cosine: float, rows: int, recall: float) -> tuple[int, int]:
+    """(bits, tables): signs of random projections so that buckets hold some hundred rows and pairs at the bound meet with that chance."""
+    agree = 1 - math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
+    bits = max(4, math.ceil(math.log2(max(2, rows / 200))))
+    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(agree**bits, 1 - 1e-12))))
+
+
+def _signatures(bits: int, tables: int, dims: int):
+    planes = np.random.default_rng(17).standard_normal((dims, bits * tables))
+    weight = 1 << np.arange(bits, dtype=np.int64)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = ((matrix(b.column(1)) @ planes > 0).reshape(b.num_rows, tables, bits) * weight).sum(2) if b.num_rows else np.zeros((0, tables), np.int64)
+            code = code * tables + np.arange(tables)  # a bucket of one table
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(list(code), pa.list_(pa.int64()))], ["id", "embedding", "buckets"])
+
+    return sign
+
+
+def _close(min_cosine: float):
+    reach = 2 - 2 * min_cosine
+
+    def close(table: pa.Table) -> pa.Table:
+        ids, x, side = table["id"].to_numpy(), matrix(table["embedding"]), table["half"].to_numpy()
+        norm = (x * x).sum(1)
+        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for at in range(0, len(x), 512):
+            square = norm[at : at + 512, None] + norm[None, :] - 2 * x[at : at + 512] @ x.T
+            p, q = np.nonzero(square <= reach + 1e-9)
+            p = p + at
+            # in a block of two parts only pairs across them; the parts' own pairs have a block of their own
+            keep = (ids[p] < ids[q]) & ((side[p] != side[q]) if side.any() else True)
+            p, q = p[keep], q[keep]
+            cosine = 1 - ((x[p] - x[q]) ** 2).sum(1) / 2
+            ok = cosine > min_cosine
+            a.append(ids[p][ok])
+            b.append(ids[q][ok])
+            c.append(cosine[ok])
+        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(c))], ["a", "b", "cosine"])
+
+    return close
+
+
+def near_pairs(base: DataFrame, min_cosine: float, recall: float = 0.999) -> DataFrame:
+    """(a, b, cosine) with a < b: pairs of unit vectors whose cosine, 1 - distance² / 2, exceeds the bound.
+
+    Pairs meet in buckets of random-projection signs, in as many tables as give a pair at the bound the
+    chance ``recall``; closer pairs meet more surely.  Every meeting is checked exactly.  Rows with equal
+    vectors are one while pairs are sought and linked to the least id of them, so that copies cost
+    no more; a bucket of very many rows is cut into blocks.
+    """
+    rows = base.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    keyed = written(rows.withColumn("key", F.sha2(F.to_json("embedding"), 256)), "vectors")
+    firsts = keyed.groupBy("key").agg(F.min("id").alias("first"))
+    equal = keyed.join(firsts, "key").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    distinct = keyed.join(firsts.select(F.col("first").alias("id")), "id", "left_semi").select("id", "embedding")
+    count = distinct.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    if not count.n:
+        return equal
+    bits, tables = tables_for(min_cosine, count.n, recall)
+    signed = distinct.mapInArrow(_signatures(bits, tables, count.d), "id long, embedding array<double>, buckets array<long>")
+    signed = written(signed.select("id", "embedding", F.explode("buckets").alias("bucket")), "buckets")
+    hot = signed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ROWS).select("bucket", F.ceil(F.col("n") / BUCKET_ROWS).cast("int").alias("cuts"))
+    cut = signed.join(small(written(hot, "hot_buckets")), "bucket", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    meeting = F.explode(F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"))))
+    blocks = cut.select("bucket", "id", "embedding", "own", meeting.alias("m")).select("bucket", "id", "embedding", F.col("m.i").alias("i"), F.col("m.j").alias("j"), (F.col("own") != F.col("m.i")).cast("int").alias("half"))
+    # small buckets share a group: fewer, larger calls
+    found = blocks.groupBy("bucket", "i", "j").applyInArrow(_close(min_cosine), "a long, b long, cosine double")
+    return found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).unionByName(equal)
 
 
 def nearest_label(items: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """(id, label, cosine): the label of greatest cosine, null below the threshold."""
-    pairs = items.select("id", F.col("embedding").alias("x")).crossJoin(labels.select("label", F.col("embedding").alias("y")))
+    """(id, label, cosine): the label of greatest cosine, null below the threshold.
+
+    ``labels`` is a vocabulary: it is broadcast, behind a check of its size.
+    """
+    pairs = items.select("id", F.col("embedding").alias("x")).crossJoin(small(labels.select("label", F.col("embedding").alias("y"))))
     scored = pairs.select("id", "label", V.cosine(F.col("x"), F.col("y"), clamp=False).alias("cosine"))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("label", "cosine"), F.struct("cosine", -F.col("label"))).alias("b"))
+    best = scored.groupBy("id").agg(F.min_by(F.struct("label", "cosine"), F.struct(-F.col("cosine"), "label")).alias("b"))
     return best.select("id", F.when(F.col("b.cosine") >= threshold, F.col("b.label")).alias("label"), F.col("b.cosine").alias("cosine"))
+
+
+def new_vectors(incoming: DataFrame, base: DataFrame, distance: float = 0.05, nearest: int = 3) -> DataFrame:
+    """(id, duplicate_of): incoming rows (id, category, embedding) and the stored row that each repeats, null for none.
+
+    A repetition is among the ``nearest`` stored rows, closer than ``distance`` and of the same category.
+    """
+    near = knn(incoming.withColumnRenamed("id", "query_id"), base, nearest).where(F.col("distance") < distance)
+    own = incoming.select(F.col("id").alias("query_id"), F.col("category").alias("own"))
+    same = near.join(own, "query_id").join(base.select("id", "category"), "id").where("own = category")
+    first = same.groupBy("query_id").agg(F.min_by("id", F.struct("distance", "id")).alias("duplicate_of"))
+    return incoming.select("id").join(first.withColumnRenamed("query_id", "id"), "id", "left")

@@ -54,8 +54,8 @@ def format_of_path(spark, d):
     return T.raw(spark, d, "pages").select("page_id", format_of(F.regexp_replace("url", "[?#].*$", "")).alias("format"))
 
 
-@query("fp3_post_filter", "SELECT id FROM memories WHERE category = 'project' AND contains(lower(subject), 'src1') AND origin = 'voice' AND superseded_by IS NULL")
-def post_filter(spark, d):
+@query("fp5_facts_filter", "SELECT id FROM memories WHERE category = 'project' AND contains(lower(subject), 'src1') AND origin = 'voice' AND superseded_by IS NULL")
+def facts_filter(spark, d):
     return T.memories(spark, d).where((F.col("category") == "project") & F.lower("subject").contains("src1") & (F.col("origin") == "voice") & F.col("superseded_by").isNull()).select("id")
 
 

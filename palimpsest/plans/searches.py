@@ -10,26 +10,33 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import vector as V
 from palimpsest.plans.base import NOW_SQL, now, query
 from palimpsest.sources import tables as T
+from palimpsest.storage import written
 
-QUERIES = 20  # the first items and vectors make the query set
+# searches of vectors take as queries every row whose id is divisible by 50, against all rows
+_KNN = """SELECT q.id AS query_id, v.id AS id, round(list_distance(q.embedding, v.embedding), 6) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, v.embedding), v.id) AS rank
+ FROM (SELECT * FROM vectors WHERE id % 50 = 0) q, vectors v QUALIFY rank <= 10"""
 
-_KNN = f"""SELECT q.id AS query_id, v.id AS id, round(list_distance(q.embedding, v.embedding), 6) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, v.embedding), v.id) AS rank
- FROM (SELECT * FROM vectors WHERE id < {QUERIES}) q, vectors v QUALIFY rank <= 10"""
 
-
-def _queries(spark, d):
-    return T.vectors(spark, d).where(f"id < {QUERIES}").select(F.col("id").alias("query_id"), "embedding")
+def vector_queries(spark, d):
+    return T.vectors(spark, d).where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 @query("v1_knn", _KNN)
 def knn(spark, d):
-    return V.knn(_queries(spark, d), T.vectors(spark, d), 10).withColumn("distance", F.round("distance", 6))
+    return V.knn(vector_queries(spark, d), T.vectors(spark, d), 10).withColumn("distance", F.round("distance", 6))
 
 
-@query("v2_cosine", f"SELECT q.id AS query_id, v.id AS id, round(greatest(0, list_cosine_similarity(q.embedding, v.embedding)), 6) AS cosine FROM (SELECT * FROM vectors WHERE id < {QUERIES}) q, vectors v WHERE list_cosine_similarity(q.embedding, v.embedding) > 0.2")
+@query("v2_cosine", "SELECT q.id AS query_id, v.id AS id, round(greatest(0, list_cosine_similarity(q.embedding, v.embedding)), 6) AS cosine FROM (SELECT * FROM vectors WHERE id % 50 = 0) q, vectors v WHERE list_cosine_similarity(q.embedding, v.embedding) > 0.2")
 def cosine(spark, d):
-    pairs = _queries(spark, d).withColumnRenamed("embedding", "qe").crossJoin(T.vectors(spark, d))
-    return pairs.select("query_id", "id", VF.cosine(F.col("qe"), F.col("embedding")).alias("cosine")).where("cosine > 0.2").withColumn("cosine", F.round("cosine", 6))
+    return V.similar(vector_queries(spark, d), T.vectors(spark, d), 0.2).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("v5_new_vectors", """WITH near AS (SELECT i.id, b.id AS other, list_distance(i.embedding, b.embedding) AS d, i.label = b.label AS same FROM (SELECT * FROM near_vectors WHERE id >= 1000000) i, vectors b QUALIFY row_number() OVER (PARTITION BY i.id ORDER BY list_distance(i.embedding, b.embedding), b.id) <= 3),
+ dup AS (SELECT id, arg_min(other, (d, other)) AS duplicate_of FROM near WHERE d < 0.06 AND same GROUP BY id) SELECT n.id, duplicate_of FROM near_vectors n LEFT JOIN dup USING (id) WHERE n.id >= 1000000""")
+def new_vectors(spark, d):
+    """The gate on insertion: incoming near copies that repeat a stored row."""
+    kind = lambda df: df.select("id", F.col("label").alias("category"), "embedding")
+    return V.new_vectors(kind(T.near_vectors(spark, d).where("id >= 1000000")), kind(T.vectors(spark, d)), 0.06)
 
 
 @query("v6_truncate", "SELECT id, round(s[1] / sqrt(list_dot_product(s, s)), 6) AS first, round(s[16] / sqrt(list_dot_product(s, s)), 6) AS last FROM (SELECT id, embedding[1:16] AS s FROM vectors)")
@@ -38,9 +45,9 @@ def truncate(spark, d):
     return short.select("id", F.round(F.element_at("s", 1), 6).alias("first"), F.round(F.element_at("s", 16), 6).alias("last"))
 
 
-@query("j10_knn_self", "SELECT a, b FROM (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_distance(x.embedding, y.embedding) AS dist FROM vectors x, vectors y QUALIFY row_number() OVER (PARTITION BY x.id ORDER BY list_distance(x.embedding, y.embedding), y.id) <= 11) WHERE a <> b AND 1 - dist * dist / 2 > 0.35 GROUP BY a, b")
+@query("j10_knn_self", "SELECT x.id AS a, y.id AS b, round(1 - list_distance(x.embedding, y.embedding) ** 2 / 2, 6) AS cosine FROM near_vectors x JOIN near_vectors y ON x.id < y.id WHERE 1 - list_distance(x.embedding, y.embedding) ** 2 / 2 > 0.95")
 def knn_self(spark, d):
-    return V.near_pairs(T.vectors(spark, d), 10, 0.35).select("a", "b")
+    return V.near_pairs(T.near_vectors(spark, d), 0.95).withColumn("cosine", F.round("cosine", 6))
 
 
 @query("j14_nearest_label", f"SELECT id, CASE WHEN c >= 0.1 THEN label END AS label FROM (SELECT v.id, r.label, list_cosine_similarity(v.embedding, r.embedding) AS c FROM vectors v, (SELECT label, embedding FROM vectors QUALIFY row_number() OVER (PARTITION BY label ORDER BY id) = 1) r QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY list_cosine_similarity(v.embedding, r.embedding) DESC, r.label) = 1)")
@@ -50,7 +57,7 @@ def nearest_label(spark, d):
     return V.nearest_label(v, reference, 0.1).select("id", "label")
 
 
-_TERMS = r"terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8]) AS term FROM benchmark WHERE item_id < 20)"
+_TERMS = r"terms AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)"
 _BM25 = _TERMS + r""", tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
  size AS (SELECT doc_id AS id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS size FROM documents), stat AS (SELECT count(*) AS n, avg(size) AS avgdl FROM size),
  tf AS (SELECT id, term, count(*)::DOUBLE AS f FROM tok WHERE term IN (SELECT term FROM terms) GROUP BY ALL), nt AS (SELECT term, count(*) AS nt FROM tf GROUP BY term),
@@ -58,8 +65,14 @@ _BM25 = _TERMS + r""", tok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lo
 
 
 def _terms(spark, d):
-    items = T.raw(spark, d, "benchmark").where("item_id < 20")
-    return items.select(F.col("item_id").alias("query_id"), F.explode(F.slice(FT.tokens(F.col("text")), 1, 8)).alias("term")).distinct()
+    """All words of all benchmark items."""
+    return T.raw(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(FT.tokens(F.col("text"))).alias("term")).distinct()
+
+
+def _item_vectors(spark, d):
+    """The vector of the same id stands for an item's embedding."""
+    items = T.raw(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return items.join(T.vectors(spark, d).select(F.col("id").alias("query_id"), "embedding"), "query_id")
 
 
 @query("tx5_bm25", f"WITH {_BM25} SELECT query_id, id, round(score, 6) AS score FROM scored")
@@ -88,17 +101,18 @@ def entity_tiers(spark, d):
 
 
 def _signals(spark, d):
-    near = V.knn(_queries(spark, d), T.vectors(spark, d), 50).select("query_id", "id", "distance")
+    near = V.knn(_item_vectors(spark, d), T.vectors(spark, d), 50).select("query_id", "id", "distance")
+    near = written(near, "near")
     text = FT.bm25(T.raw(spark, d, "documents"), _terms(spark, d), {"text": 1.0}, "doc_id")
     words = R.ranked(text.withColumn("score", F.round("score", 6)), "bm25", [F.desc("score"), F.asc("id")], 50)
     vector = R.ranked(near.withColumn("distance", F.round("distance", 6)), "vector", [F.asc("distance"), F.asc("id")], 50)
-    pool = vector.unionByName(words)
+    pool = written(vector.unionByName(words), "pool")
     made = T.memories(spark, d).select("id", "created_at")
     recent = R.ranked(pool.select("query_id", "id").distinct().join(made, "id"), "recency", [F.desc("created_at"), F.asc("id")])
     return pool.unionByName(recent), near
 
 
-_FUSED = _BM25 + f""", near AS (SELECT q.id AS query_id, v.id AS id, list_distance(q.embedding, v.embedding) AS distance FROM (SELECT * FROM vectors WHERE id < {QUERIES}) q, vectors v
+_FUSED = _BM25 + """, near AS (SELECT q.id AS query_id, v.id AS id, list_distance(q.embedding, v.embedding) AS distance FROM (SELECT * FROM vectors WHERE id IN (SELECT item_id FROM benchmark)) q, vectors v
    QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, v.embedding), v.id) <= 50),
  words AS (SELECT query_id, id, 60 AS k, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS r FROM scored QUALIFY r <= 50),
  vec AS (SELECT query_id, id, 60 AS k, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), id) AS r FROM near),
@@ -113,18 +127,6 @@ def fusion(spark, d):
     return R.fuse(signals).withColumn("rrf", F.round("rrf", 6))
 
 
-@query("r18_retrieve", f"""WITH {_FUSED}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, id) AS rank FROM fused JOIN memories USING (id) WHERE superseded_by IS NULL QUALIFY rank <= 5)
- SELECT query_id, t.id, rank, round(1 - n.distance * n.distance / 2, 4) AS relevance FROM top t LEFT JOIN near n USING (query_id, id)""")
-def retrieve(spark, d):
-    from pyspark.sql import Window
-
-    signals, near = _signals(spark, d)
-    live = T.memories(spark, d).where("superseded_by is null").select("id")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf", 9)), F.asc("id"))
-    top = R.fuse(signals).join(live, "id").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
-    return top.join(near, ["query_id", "id"], "left").select("query_id", "id", "rank", F.round(VF.relevance(F.col("distance")), 4).alias("relevance"))
-
-
 @query("so3_signal_overlap", f"WITH {_FUSED} SELECT w.query_id, count(*) AS shared FROM words w JOIN vec v USING (query_id, id) GROUP BY w.query_id")
 def signal_overlap(spark, d):
     signals, _ = _signals(spark, d)

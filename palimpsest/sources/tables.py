@@ -121,6 +121,34 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, and near copies of every third and every ninth: the first number of each is a little larger."""
+    own = vectors(spark, sf_dir)
+    shifted = lambda by: F.transform("embedding", lambda x, k: F.when(k == 0, x + F.lit(by)).otherwise(x))
+    out = own
+    for every, by in ((3, 0.05), (9, 0.1)):
+        out = out.unionByName(own.where(F.col("id") % every == 0).select((F.col("id") + every * 1_000_000).alias("id"), shifted(by).alias("embedding"), "label"))
+    return out
+
+
+def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long words of the benchmark items as entities."""
+    words = raw(spark, sf_dir, "benchmark").select(F.explode(_long_words()).alias("name")).distinct()
+    return words.select(F.concat(F.lit("topic:"), "name").alias("id"), "name", F.lit("topic").alias("entity_type"))
+
+
+def topic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each long word of an item to the next one."""
+    w = raw(spark, sf_dir, "benchmark").select(_long_words().alias("w"))
+    pair = w.select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p")).where("p.b is not null and p.a <> p.b")
+    topic = lambda c: F.concat(F.lit("topic:"), c)
+    return pair.select(topic("p.a").alias("subject_id"), F.lit("next_to").alias("predicate"), topic("p.b").alias("object_id"), F.lit(None).cast("timestamp").alias("valid_to")).distinct()
+
+
+def _long_words():
+    return F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda x: F.length(x) >= 7)
+
+
 #: The same tables for DuckDB, as a WITH prefix of oracle queries.
 SQL_TABLES = {
     "memories": f"""SELECT d.doc_id AS id, text AS content,
@@ -151,6 +179,10 @@ SQL_TABLES = {
       CASE WHEN count(*) % 2 = 0 THEN 'scheduled' ELSE 'manual' END AS source, count(*) AS n_steps FROM steps GROUP BY run_id""",
     "wisdom": """SELECT event_id AS id, ts, event_type AS action_type, CASE WHEN event_id % 4 = 0 THEN NULL ELSE (event_id % 5 + 1)::INTEGER END AS score,
       CASE WHEN event_type = 'error' THEN 'failed' WHEN event_id % 3 = 0 THEN 'success' ELSE 'pending' END AS outcome, user_id FROM events""",
+    "near_vectors": "SELECT id, embedding, label FROM vectors UNION ALL SELECT id + 3000000, list_prepend(embedding[1] + 0.05::DOUBLE, embedding[2:]), label FROM vectors WHERE id % 3 = 0 UNION ALL SELECT id + 9000000, list_prepend(embedding[1] + 0.1::DOUBLE, embedding[2:]), label FROM vectors WHERE id % 9 = 0",
+    "long_words": r"SELECT item_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) >= 7) AS w FROM benchmark",
+    "topics": "SELECT DISTINCT 'topic:' || name AS id, name, 'topic' AS entity_type FROM (SELECT unnest(w) AS name FROM long_words)",
+    "topic_edges": "SELECT DISTINCT 'topic:' || p[1] AS subject_id, 'next_to' AS predicate, 'topic:' || p[2] AS object_id, NULL::TIMESTAMP AS valid_to FROM (SELECT unnest(list_zip(w, w[2:])) AS p FROM long_words) WHERE p[2] IS NOT NULL AND p[1] <> p[2]",
     "vectors": "SELECT vec_id AS id, embedding::DOUBLE[] AS embedding, label FROM embeddings",
 }
 
