@@ -6,32 +6,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import scalars as S
+from palimpsest.storage import forget, written
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+
+def components(edges: DataFrame) -> DataFrame:
     """(id, label): the least id of each row's component in the undirected graph of (a, b).
 
-    Labels fall to the neighbours' least label and then jump to their label's label; the
-    number of rounds grows with the logarithm of a component's diameter.  Each round is cut
-    from its lineage by a reliable checkpoint.
+    Labels fall to the neighbours' least label and then jump to their label's label, until none changes; the
+    number of rounds grows with the logarithm of a component's diameter.  Each round is written to
+    the shared folder, and those before it are deleted.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="palimpsest-"))
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = both.checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")).checkpoint()
-    for _ in range(rounds):
+    both = written(both, "edges")
+    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         fallen = labels.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = fallen.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        new = fallen.join(jump, "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old").checkpoint()
-        changed = not new.where("label <> old").isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
-            break
-    return labels
+        new = written(fallen.join(jump, "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "labels")
+        done = new.where("label <> old").isEmpty()
+        forget(labels)
+        labels = new
+        if done:
+            return labels.select("id", "label")
 
 
 def survivors(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -93,37 +91,102 @@ def label_outcomes(logs: DataFrame, accesses: DataFrame) -> DataFrame:
     return latest.select("log_id", F.when(gap <= 1800, 1.0).when(gap <= 7200, 0.5).otherwise(0.0).alias("outcome"))
 
 
-def consolidate(rows: DataFrame, min_cosine: float, least: int = 3) -> DataFrame:
-    """(subject, center, id): greedy star clusters within each subject, newest center first."""
+def merge_duplicates(memories: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, keeper, access_count): near duplicates, pairs (a, b), with the row that stays for each and the greatest access count of its group.
+
+    Superseded rows and identities take no part.
+    """
+    open_rows = memories.where("superseded_by is null and category <> 'identity'")
+    allowed = pairs.join(open_rows.select(F.col("id").alias("a")), "a").join(open_rows.select(F.col("id").alias("b")), "b")
+    labels = components(allowed)
+    most = open_rows.join(labels, "id").groupBy("label").agg(F.max("access_count").alias("access_count"))
+    return survivors(open_rows, labels).join(labels, "id").join(most, "label").select("id", "keeper", "access_count")
+
+
+def supersede_duplicates(memories: DataFrame, merged: DataFrame) -> DataFrame:
+    """The memories after a merge: duplicates point to their keeper, keepers take the greatest access count."""
+    mark = merged.select("id", "keeper", F.col("access_count").alias("_most"))
+    joined = memories.join(mark, "id", "left")
+    keeps = F.col("id") == F.col("keeper")
+    out = joined.withColumn("superseded_by", F.when(F.col("keeper").isNotNull() & ~keeps, F.col("keeper")).otherwise(F.col("superseded_by")))
+    return out.withColumn("access_count", F.when(keeps, F.col("_most")).otherwise(F.col("access_count"))).select(*memories.columns)
+
+
+def entity_groups(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """(dup_id, keeper_id): entities of one type and normalised name; the one of most edges stays, then shortest name, then least id."""
+    from palimpsest.operators import graph
+
+    named = entities.withColumn("_name", S.normalized_name(F.col("name"))).join(graph.degree(edges), "id", "left")
+    order = F.struct(-F.coalesce("degree", F.lit(0)), F.length("name"), "id")
+    keepers = named.groupBy("entity_type", "_name").agg(F.min_by("id", order).alias("keeper_id"), F.count("*").alias("n")).where("n > 1")
+    return named.join(keepers, ["entity_type", "_name"]).where("id <> keeper_id").select(F.col("id").alias("dup_id"), "keeper_id")
+
+
+def consolidate(rows: DataFrame, min_cosine: float, least: int = 3, most: int = 5000) -> DataFrame:
+    """(subject, center, id): greedy star clusters within each subject, least id first, of rows closer than the bound.
+
+    Only rows with a near row can be in a cluster, so subjects are first cut to the connected groups of near
+    pairs, which keeps the greedy choice: rows of different groups never meet.  A group goes to one task;
+    ValueError for one of more than ``most`` rows, which calls for a higher bound.
+    """
+    from palimpsest.operators.vector import near_pairs
+
+    known = rows.where("subject is not null").select(F.lower("subject").alias("subject"), F.col("id").cast("long").alias("id"), "embedding")
+    of = known.select("id", "subject")
+    pairs = written(near_pairs(known.select("id", "embedding"), min_cosine), "near_pairs")
+    inside = pairs.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x = y").select("a", "b", "x")
+    inside = written(inside.withColumnRenamed("x", "subject"), "subject_pairs")
+    labels = components(inside).withColumnRenamed("label", "part")
+    grouped = inside.join(labels.withColumnRenamed("id", "a"), "a")
 
     def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["embedding"].tolist(), dtype=float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        ids, free, out = pdf["id"].tolist(), np.ones(len(pdf), bool), []
-        for i in range(len(ids)):
-            if free[i]:
-                near = np.flatnonzero((x @ x[i] > min_cosine) & free)
-                if len(near) >= least:
-                    out += [(pdf["subject"].iloc[0], ids[i], ids[j]) for j in near]
-                    free[near] = False
+        near: dict[int, set[int]] = {}
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            near.setdefault(a, {a}).add(b)
+            near.setdefault(b, {b}).add(a)
+        if len(near) > most:
+            raise ValueError(f"a group of {len(near)} near rows: raise min_cosine")
+        free, out = set(near), []
+        for center in sorted(near):
+            own = sorted(near[center] & free)
+            if center in free and len(own) >= least:
+                out += [(pdf["subject"].iloc[0], center, x) for x in own]
+                free -= set(own)
         return pd.DataFrame(out, columns=["subject", "center", "id"])
 
-    return rows.select("subject", F.col("id").cast("long").alias("id"), "embedding").groupBy("subject").applyInPandas(stars, "subject string, center long, id long")
+    return grouped.select("subject", "part", "a", "b").groupBy("part").applyInPandas(stars, "subject string, center long, id long")
+
+
+def summaries(clusters: DataFrame, rows: DataFrame, most: int = 5) -> DataFrame:
+    """(center, summary): the first texts of each cluster by id, without those that another of them contains, joined."""
+    texts = clusters.join(rows.select("id", F.trim("content").alias("t")).where("t <> ''"), "id").groupBy("center").agg(F.array_sort(F.collect_list(F.struct("id", "t"))).alias("s"))
 
+    def contained(x: Column) -> Column:
+        def within(y: Column) -> Column:
+            longer = (F.length(y["t"]) > F.length(x["t"])) | (F.length(y["t"]) == F.length(x["t"])) & (y["id"] < x["id"])
+            return longer & F.contains(F.lower(y["t"]), F.lower(x["t"]))
 
-def hygiene(memories: DataFrame, edges: DataFrame, pairs: DataFrame, now: Column, days: int, confidence: float, protected: tuple[str, ...]) -> dict[str, DataFrame]:
-    """One maintenance run over snapshots: merge near duplicates ((a, b) pairs), prune, deduplicate edges.
+        return F.exists("s", within)
 
-    Returns what each step would change; nothing is written, so a dry run is the default.
+    kept = F.slice(F.filter("s", lambda x: ~contained(x)), 1, most)
+    return texts.select("center", F.array_join(F.transform(kept, lambda x: x["t"]), " | ").alias("summary"))
+
+
+def hygiene(memories: DataFrame, edges: DataFrame, entities: DataFrame, vectors: DataFrame, now: Column, days: int, confidence: float, protected: tuple[str, ...], same: float = 0.95, like: float = 0.85) -> dict[str, DataFrame]:
+    """One maintenance run over snapshots: merge near duplicates, prune, deduplicate edges and entities, consolidate.
+
+    Returns what each step would change; nothing is written, so a dry run is the default.  Each step works on
+    what the one before it leaves.
     """
     from palimpsest.operators import graph
-
-    open_rows = memories.where("superseded_by is null and category <> 'identity'")
-    allowed = pairs.join(open_rows.select(F.col("id").alias("a")), "a").join(open_rows.select(F.col("id").alias("b")), "b")
-    merged = survivors(open_rows, components(allowed)).where("id <> keeper")
-    rest = memories.join(merged.select("id"), "id", "left_anti")
-    pruned = prune(rest.where("superseded_by is null"), now, days, confidence, protected)
-    return {"merged": merged, "pruned": pruned, "edges": graph.keep_best(edges)}
+    from palimpsest.operators.vector import near_pairs
+
+    merged = written(merge_duplicates(memories, near_pairs(vectors, same)), "merged")
+    rest = supersede_duplicates(memories, merged)
+    pruned = written(prune(rest.where("superseded_by is null"), now, days, confidence, protected), "pruned")
+    rest = rest.join(pruned.select("id"), "id", "left_anti")
+    kept = graph.keep_best(edges)
+    doubles = entity_groups(entities, kept)
+    open_rows = rest.where("superseded_by is null").where(~F.col("category").isin(*protected)).select("id", "subject")
+    stars = consolidate(open_rows.join(vectors.select("id", "embedding"), "id"), like)
+    return {"merged": merged.where("id <> keeper"), "pruned": pruned, "edges": kept, "entities": doubles, "consolidated": stars}

@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from palimpsest.plans import aggregates, graphs, lifecycles, more, ranking, retrievals, scans, searches, text  # noqa: F401
+from palimpsest.plans import aggregates, graphs, lifecycles, more, ranking, retrievals, scans, searches, text, writing  # noqa: F401

@@ -76,18 +76,3 @@ def as_of_join(spark, d):
  SELECT id, regexp_replace(replace(regexp_replace(replace(lower(trim(name)), '-', '_'), '\s*\([^)]*\)\s*$', ''), ' ', '_'), '_(service|server|app|api|project|system|tool|library)$', '') AS c FROM entities)""")
 def normalized_names(spark, d):
     return T.entities(spark, d).select("id", S.normalized_name(F.col("name")).alias("canonical"))
-
-
-@query("g10_entity_groups", "SELECT entity_type, lower(left(name, 8)) AS stem, min(id) AS keeper, count(*) AS n FROM entities GROUP BY ALL HAVING count(*) > 1")
-def entity_groups(spark, d):
-    stem = F.lower(F.substring("name", 1, 8)).alias("stem")
-    return T.entities(spark, d).groupBy("entity_type", stem).agg(F.min("id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-
-
-@query("sk10_merge_entities", """WITH moved AS (SELECT CASE WHEN subject_id = 'nation:2' THEN 'nation:1' ELSE subject_id END AS subject_id, predicate,
- CASE WHEN object_id = 'nation:2' THEN 'nation:1' ELSE object_id END AS object_id, valid_from, valid_to, confidence FROM relationships WHERE predicate <> 'supplies')
- SELECT subject_id, predicate, object_id, confidence FROM moved WHERE subject_id <> object_id
- QUALIFY row_number() OVER (PARTITION BY subject_id, predicate, object_id ORDER BY confidence DESC, valid_from, valid_to NULLS LAST) = 1""")
-def merge_entities(spark, d):
-    mapping = T.entities(spark, d).where("id = 'nation:2'").select(F.col("id").alias("dup_id"), F.lit("nation:1").alias("keeper_id"))
-    return G.merge_entities(T.relationships(spark, d).where("predicate <> 'supplies'"), mapping).select("subject_id", "predicate", "object_id", "confidence")

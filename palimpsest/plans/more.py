@@ -71,30 +71,6 @@ def predicate_allow_list(spark, d):
     return T.relationships(spark, d).groupBy("predicate").agg(F.count("*").alias("n")).withColumn("allowed", F.col("predicate").isin("located_in", "part_of", "supplies"))
 
 
-@query("sk9_scd2_history", "SELECT user_id, event_type AS value, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events")
-def scd2_history(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return T.raw(spark, d, "events").select("user_id", F.col("event_type").alias("value"), F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
-
-
-@query("sk8_expire", "SELECT subject_id, object_id, coalesce(valid_to, TIMESTAMP '2024-02-01') AS valid_to FROM relationships WHERE predicate = 'located_in'")
-def expire(spark, d):
-    return T.relationships(spark, d).where("predicate = 'located_in'").select("subject_id", "object_id", F.coalesce("valid_to", now()).alias("valid_to"))
-
-
-@query("sk4_merge_metadata", "SELECT event_id, event_type || ':' || event_id AS merged FROM events WHERE event_id % 100 = 0")
-def merge_metadata(spark, d):
-    old = F.create_map(F.lit("kind"), F.lit("old"), F.lit("n"), F.col("event_id").cast("string"))
-    new = F.create_map(F.lit("kind"), F.col("event_type"))
-    merged = L.merge_metadata(old, new)
-    return T.raw(spark, d, "events").where("event_id % 100 = 0").select("event_id", F.concat_ws(":", merged["kind"], merged["n"]).alias("merged"))
-
-
-@query("sk15_log_retrieval", "SELECT item_id, left(sha256(text), 16) AS query_hash FROM benchmark")
-def log_retrieval(spark, d):
-    return T.raw(spark, d, "benchmark").select("item_id", F.substring(F.sha2("text", 256), 1, 16).alias("query_hash"))
-
-
 @query("sk17_keep_newest_snapshots", "SELECT run_id, started_at FROM runs QUALIFY row_number() OVER (PARTITION BY split_part(run_id, ':', 1) ORDER BY started_at DESC) <= 3")
 def keep_newest_snapshots(spark, d):
     w = Window.partitionBy(F.split("run_id", ":")[0]).orderBy(F.desc("started_at"))

@@ -37,12 +37,6 @@ def rerank_blend(spark, d):
     return R.rerank_blend(rows, "pair_score").select("query_id", "id", F.round("blended", 6).alias("blended"))
 
 
-@query("ag15_surfacing_counts", "SELECT id, count(*) AS n FROM (SELECT event_id, unnest([user_id, user_id % 7]) AS id FROM events) GROUP BY id")
-def surfacing_counts(spark, d):
-    logs = T.raw(spark, d, "events").select("event_id", F.array("user_id", F.col("user_id") % 7).alias("returned"))
-    return logs.select(F.explode("returned").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-
-
 @query("ag14_tau_window", "SELECT round(avg(tau), 6) AS mean_tau, round(stddev_pop(tau), 6) AS spread FROM (SELECT (event_id % 10) / 20.0::DOUBLE AS tau FROM events ORDER BY ts DESC, event_id DESC LIMIT 50)")
 def tau_window(spark, d):
     last = T.raw(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select(((F.col("event_id") % 10) / 20.0).alias("tau"))
@@ -52,17 +46,3 @@ def tau_window(spark, d):
 @query("sk14_run_steps", "SELECT run_id, string_agg(left(tool_name, 3), ',' ORDER BY ts, event_id) AS steps FROM steps GROUP BY run_id")
 def run_steps(spark, d):
     return T.runs(spark, d).select("run_id", F.array_join(F.transform("steps", lambda s: F.substring(s["tool_name"], 1, 3)), ",").alias("steps"))
-
-
-@query("g14_hygiene", "SELECT 'pruned' AS step, count(*) AS n FROM memories WHERE superseded_by IS NULL AND confidence < 0.6 AND created_at < TIMESTAMP '2024-01-18' AND category NOT IN ('identity', 'family') UNION ALL SELECT 'edges', count(*) FROM (SELECT DISTINCT subject_id, predicate, object_id FROM relationships) UNION ALL SELECT 'merged', 0")
-def hygiene(spark, d):
-    from palimpsest.operators import lifecycle as L
-    from palimpsest.plans.base import now
-
-    none = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))  # no pairs: merging is covered by g8
-    steps = L.hygiene(T.memories(spark, d), T.relationships(spark, d), none, now(), 14, 0.6, T.PROTECTED)
-    out = None
-    for name, rows in steps.items():
-        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
