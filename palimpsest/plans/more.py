@@ -38,16 +38,6 @@ def session_bonus(spark, d):
     return T.raw(spark, d, "conversations").select("conv_id", "turn", F.when(seen, 0.05).otherwise(0.0).alias("bonus"))
 
 
-@query("t2_smart_wisdom", """WITH tiers AS (SELECT id, CASE WHEN action_type = 'purchase' THEN 0 WHEN action_type IN ('click', 'view') THEN 1 ELSE 2 END AS tier, score, ts FROM wisdom WHERE outcome <> 'pending')
- SELECT id, tier, row_number() OVER (ORDER BY tier, CASE WHEN score IS NULL THEN 2 WHEN score <= 2 THEN 0 ELSE 1 END, score DESC NULLS LAST, ts DESC, id) AS place FROM tiers ORDER BY place LIMIT 30""")
-def smart_wisdom(spark, d):
-    tier = F.when(F.col("action_type") == "purchase", 0).when(F.col("action_type").isin("click", "view"), 1).otherwise(2)
-    rank = F.when(F.col("score").isNull(), 2).when(F.col("score") <= 2, 0).otherwise(1)
-    order = ["tier", rank, F.desc_nulls_last("score"), F.desc("ts"), "id"]
-    first = T.wisdom(spark, d).where("outcome <> 'pending'").withColumn("tier", tier).orderBy(*order).limit(30)
-    return first.select("id", "tier", F.row_number().over(Window.orderBy(*order)).alias("place"))
-
-
 @query("t7_tiered_context", f"""WITH {_FUSED}, parts AS (SELECT query_id, id, 0 AS tier, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM (SELECT DISTINCT query_id FROM vec), memories WHERE category = 'identity' AND superseded_by IS NULL QUALIFY r <= 3
   UNION ALL SELECT query_id, id, 1, r FROM words WHERE r <= 3 UNION ALL SELECT query_id, id, 2, r FROM vec WHERE r <= 10),
  firsts AS (SELECT query_id, id, min(tier) AS tier, arg_min(r, (tier, r)) AS r FROM parts GROUP BY query_id, id)
@@ -60,17 +50,6 @@ def tiered_context(spark, d):
     return R.tiered([queries.crossJoin(F.broadcast(core)).select("query_id", "id", "tier_rank"), ranks("bm25", 3), ranks("vector", 10)], 8).select("query_id", "id", "tier", "place")
 
 
-@query("fp15_accept_triples", "SELECT subject_id, object_id FROM relationships WHERE predicate = 'supplies' AND confidence >= 0.95::DOUBLE UNION ALL SELECT subject_id, object_id FROM relationships WHERE predicate <> 'supplies' AND confidence >= 0.5::DOUBLE")
-def accept_triples(spark, d):
-    needed = F.when(F.col("predicate") == "supplies", 0.95).otherwise(0.5)
-    return T.relationships(spark, d).where(F.col("confidence") >= needed).select("subject_id", "object_id")
-
-
-@query("fp14_predicate_allow_list", "SELECT predicate, count(*) AS n, predicate IN ('located_in', 'part_of', 'supplies') AS allowed FROM relationships GROUP BY predicate")
-def predicate_allow_list(spark, d):
-    return T.relationships(spark, d).groupBy("predicate").agg(F.count("*").alias("n")).withColumn("allowed", F.col("predicate").isin("located_in", "part_of", "supplies"))
-
-
 @query("sk17_keep_newest_snapshots", "SELECT run_id, started_at FROM runs QUALIFY row_number() OVER (PARTITION BY split_part(run_id, ':', 1) ORDER BY started_at DESC) <= 3")
 def keep_newest_snapshots(spark, d):
     w = Window.partitionBy(F.split("run_id", ":")[0]).orderBy(F.desc("started_at"))
@@ -82,13 +61,6 @@ def orphans_by_type(spark, d):
     return G.orphans(T.entities(spark, d), T.relationships(spark, d)).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-@query("g20_current_activity", "SELECT event_id, CASE WHEN dayofweek(ts) IN (0, 6) THEN CASE WHEN hour(ts) < 9 THEN 'resting' ELSE 'leisure' END WHEN hour(ts) BETWEEN 9 AND 17 THEN 'working' WHEN hour(ts) < 7 OR hour(ts) >= 22 THEN 'resting' ELSE 'home' END AS activity FROM events")
-def current_activity(spark, d):
-    hour, weekend = F.hour("ts"), F.weekday("ts") >= 5
-    activity = F.when(weekend, F.when(hour < 9, "resting").otherwise("leisure")).when(hour.between(9, 17), "working").when((hour < 7) | (hour >= 22), "resting").otherwise("home")
-    return T.raw(spark, d, "events").select("event_id", activity.alias("activity"))
-
-
 @query("g19_entity_state", "SELECT subject_id, round(avg(confidence * CASE WHEN valid_from > TIMESTAMP '1999-01-01' THEN 1.0 ELSE power(0.5, epoch(TIMESTAMP '1999-01-01' - valid_from) / 86400 / 365) END), 6) AS state, min(date_diff('day', valid_from::DATE, DATE '1999-01-01'))::INTEGER AS staleness FROM relationships WHERE predicate = 'supplies' GROUP BY subject_id")
 def entity_state(spark, d):
     at = F.expr("TIMESTAMP '1999-01-01'")
@@ -129,13 +101,6 @@ def chunk_markdown(spark, d):
     return C.chunk_markdown(T.raw(spark, d, "documents"), "doc_id", "text")
 
 
-@query("s_escalation", "SELECT m.event_id, min(w.event_id) AS rule FROM (SELECT * FROM events WHERE event_type = 'purchase') m JOIN (SELECT * FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 20) w ON w.user_id = m.user_id GROUP BY m.event_id")
-def escalation(spark, d):
-    e = T.raw(spark, d, "events")
-    misses = e.where("event_type = 'error'").orderBy(F.desc("ts"), "event_id").limit(20).select("user_id", F.col("event_id").alias("rule"))
-    return e.where("event_type = 'purchase'").join(F.broadcast(misses), "user_id").groupBy("event_id").agg(F.min("rule").alias("rule"))
-
-
 @query("w7_date_concordance", "SELECT a.conv_id, round(avg(CASE WHEN length(a.text) <= length(b.text) THEN 1.0 ELSE 0.0 END), 6) AS concordance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY a.conv_id")
 def date_concordance(spark, d):
     c = T.raw(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
