@@ -46,8 +46,7 @@ def run_stats(spark, d):
 
 @query("ag7_tool_success", "SELECT tool_name, count(*) AS total, count(*) FILTER (success) AS ok, round(count(*) FILTER (success) / count(*), 4) AS rate FROM steps GROUP BY tool_name ORDER BY total DESC, tool_name LIMIT 20")
 def tool_success(spark, d):
-    each = T.runs(spark, d).select(F.explode("steps").alias("s")).select("s.*")
-    g = each.groupBy("tool_name").agg(F.count("*").alias("total"), F.count_if("success").alias("ok"))
+    g = T.steps(spark, d).groupBy("tool_name").agg(F.count("*").alias("total"), F.count_if("success").alias("ok"))
     return g.withColumn("rate", F.round(F.col("ok") / F.col("total"), 4)).orderBy(F.desc("total"), "tool_name").limit(20)
 
 
@@ -79,13 +78,6 @@ def percentiles(spark, d):
     return T.raw(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
 
 
-@query("ag18_composite", "SELECT sum(w * s) / sum(w) AS composite FROM (SELECT CASE event_type WHEN 'purchase' THEN 0.4 WHEN 'click' THEN 0.3 ELSE 0.1 END::DOUBLE AS w, count(DISTINCT user_id)::DOUBLE AS s FROM events GROUP BY event_type)")
-def composite(spark, d):
-    g = T.raw(spark, d, "events").groupBy("event_type").agg(F.count_distinct("user_id").cast("double").alias("s"))
-    weighted = g.withColumn("w", F.when(F.col("event_type") == "purchase", 0.4).when(F.col("event_type") == "click", 0.3).otherwise(0.1))
-    return weighted.agg((F.sum(F.col("w") * F.col("s")) / F.sum("w")).alias("composite"))
-
-
 @query("w9_keep_best_edge", "SELECT subject_id, predicate, object_id, valid_from, confidence FROM relationships QUALIFY row_number() OVER (PARTITION BY subject_id, predicate, object_id ORDER BY confidence DESC, valid_from, valid_to NULLS LAST) = 1")
 def keep_best_edge(spark, d):
     from palimpsest.operators import graph
@@ -93,13 +85,6 @@ def keep_best_edge(spark, d):
     return graph.keep_best(T.relationships(spark, d)).select("subject_id", "predicate", "object_id", "valid_from", "confidence")
 
 
-@query("w10_sessions", "SELECT conv_id, turn, row_number() OVER w - 1 AS depth, 1.0::DOUBLE / (1 + row_number() OVER w - 1) AS freshness, lag(role) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def sessions(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    depth = (F.row_number().over(w) - 1).cast("long")
-    return T.raw(spark, d, "conversations").select("conv_id", "turn", depth.alias("depth"), (1.0 / (1 + depth)).alias("freshness"), F.lag("role").over(w).alias("before"))
-
-
 @query("w11_close_intervals", "SELECT o_custkey, o_orderkey, o_orderdate AS valid_from, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_to FROM orders")
 def close_intervals(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
@@ -115,16 +100,16 @@ def minmax(spark, d):
 
 def _results(spark, d, k=10):
     v = T.vectors(spark, d)
-    queries = v.where("id < 20").select(F.col("id").alias("query_id"), "embedding")  # the first twenty vectors are the query set
+    queries = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")  # a stated query set against all rows
     return knn(queries, v, k, exclude_self=True), v
 
 
 def _judgments(v):
-    q = v.where("id < 20").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
-    return v.join(F.broadcast(q), F.col("label") == F.col("ql")).where("id <> query_id").select("query_id", "id", F.lit(1.0).alias("rel"))
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
+    return v.join(q, F.col("label") == F.col("ql")).where("id <> query_id").select("query_id", "id", F.lit(1.0).alias("rel"))
 
 
-_RESULTS_SQL = """WITH q AS (SELECT * FROM vectors WHERE id < 20),
+_RESULTS_SQL = """WITH q AS (SELECT * FROM vectors WHERE id % 50 = 0),
  results AS (SELECT q.id AS query_id, v.id AS id, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, v.embedding), v.id) AS rank FROM q, vectors v WHERE q.id <> v.id QUALIFY rank <= 10),
  judged AS (SELECT q.id AS query_id, v.id AS id FROM q JOIN vectors v ON q.label = v.label WHERE q.id <> v.id) """
 

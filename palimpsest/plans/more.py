@@ -31,13 +31,6 @@ def freshness(spark, d):
     return both.select("query_id", "id", F.round(1.0 - R.minmax("distance"), 6).alias("freshness"))
 
 
-@query("r12_session_bonus", "SELECT conv_id, turn, CASE WHEN count(*) FILTER (role = r0) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 0 THEN 0.05 ELSE 0 END::DOUBLE AS bonus FROM (SELECT *, 'assistant' AS r0 FROM conversations)")
-def session_bonus(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.array_contains(F.collect_set("role").over(w), "assistant")
-    return T.raw(spark, d, "conversations").select("conv_id", "turn", F.when(seen, 0.05).otherwise(0.0).alias("bonus"))
-
-
 @query("t7_tiered_context", f"""WITH {_FUSED}, parts AS (SELECT query_id, id, 0 AS tier, row_number() OVER (PARTITION BY query_id ORDER BY id) AS r FROM (SELECT DISTINCT query_id FROM vec), memories WHERE category = 'identity' AND superseded_by IS NULL QUALIFY r <= 3
   UNION ALL SELECT query_id, id, 1, r FROM words WHERE r <= 3 UNION ALL SELECT query_id, id, 2, r FROM vec WHERE r <= 10),
  firsts AS (SELECT query_id, id, min(tier) AS tier, arg_min(r, (tier, r)) AS r FROM parts GROUP BY query_id, id)
@@ -75,15 +68,6 @@ def self_normalised(spark, d):
     return K.self_normalised(rows, "category").select("id", F.round("weight", 6).alias("weight"))
 
 
-@query("l1_features", f"""SELECT id, round(coalesce(nullif(importance, 0), 0.5), 6) AS importance, round(CASE WHEN category IN ('identity', 'family') THEN 1.0 ELSE power(0.5, greatest(0, epoch({NOW_SQL} - created_at) / 86400) / 90) END, 6) AS decay,
-  round(least(1.0, length(content) / 3000.0), 6)::DOUBLE AS length, round(1.0 / (1 + id % 10), 6)::DOUBLE AS reciprocal_rank FROM memories""")
-def ranker_features(spark, d):
-    rows = T.memories(spark, d).withColumns({"distance": F.lit(None).cast("double"), "bm25": F.lit(0.0), "graph": F.lit(0.0), "rank": F.col("id") % 10, "coherence": F.lit(0.0), "depth": F.lit(0)})
-    x = K.features(rows, now(), T.PROTECTED)
-    pick = lambda name: F.round(F.col("features")[K.FEATURES.index(name)], 6).alias(name)
-    return x.select("id", pick("importance"), pick("decay"), pick("length"), pick("reciprocal_rank"))
-
-
 @query("l9_graduation", "SELECT count(*) AS n, round(avg(tau), 6) AS mean_tau, round(stddev_pop(tau), 6) AS spread, CASE WHEN count(*) < 50 THEN 'too_few' WHEN avg(tau) < -0.3 THEN 'disagrees' WHEN stddev_pop(tau) > 0.3 THEN 'unstable' ELSE 'ready' END AS verdict FROM (SELECT (event_id % 10) / 20.0::DOUBLE AS tau FROM events)")
 def graduation(spark, d):
     shadow = T.raw(spark, d, "events").select(((F.col("event_id") % 10) / 20.0).alias("tau"))
@@ -101,13 +85,6 @@ def chunk_markdown(spark, d):
     return C.chunk_markdown(T.raw(spark, d, "documents"), "doc_id", "text")
 
 
-@query("w7_date_concordance", "SELECT a.conv_id, round(avg(CASE WHEN length(a.text) <= length(b.text) THEN 1.0 ELSE 0.0 END), 6) AS concordance FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY a.conv_id")
-def date_concordance(spark, d):
-    c = T.raw(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    b = c.select("conv_id", F.col("turn").alias("t2"), F.col("n").alias("n2"))
-    return c.join(b, "conv_id").where("turn < t2").groupBy("conv_id").agg(F.round(F.avg(F.when(F.col("n") <= F.col("n2"), 1.0).otherwise(0.0)), 6).alias("concordance"))
-
-
 @query("so4_uplift", f"WITH {_FUSED} SELECT query_id, count(*) AS only_words FROM words w WHERE NOT EXISTS (SELECT 1 FROM vec v WHERE v.query_id = w.query_id AND v.id = w.id) GROUP BY query_id")
 def uplift(spark, d):
     signals, _ = _signals(spark, d)

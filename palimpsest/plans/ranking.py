@@ -10,27 +10,6 @@ from palimpsest.plans.searches import _FUSED, _signals
 from palimpsest.sources import tables as T
 
 
-@query("l3_shadow_compare", f"WITH {_FUSED}, pair AS (SELECT w.query_id, w.id, w.r AS x, v.r AS y FROM words w JOIN vec v USING (query_id, id)) SELECT a.query_id, count(DISTINCT a.id) AS shared, sum(CASE WHEN (a.x - b.x) * (a.y - b.y) > 0 THEN 1 ELSE 0 END)::BIGINT AS concordant FROM pair a JOIN pair b ON a.query_id = b.query_id AND a.id <> b.id GROUP BY a.query_id")
-def shadow_compare(spark, d):
-    signals, _ = _signals(spark, d)
-    side = lambda name, c: signals.where(F.col("signal") == name).select("query_id", "id", F.col("rank").alias(c))
-    pair = side("bm25", "x").join(side("vector", "y"), ["query_id", "id"])
-    other = pair.select("query_id", F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    both = pair.join(other, "query_id").where("id <> id2")
-    return both.groupBy("query_id").agg(F.count_distinct("id").alias("shared"), F.count_if((F.col("x") - F.col("x2")) * (F.col("y") - F.col("y2")) > 0).alias("concordant"))
-
-
-@query("l2_forward", "SELECT id, round(1 / (1 + exp(-(greatest(0, 0.5 * importance - 0.25 * (access_count / 7.0::DOUBLE) + 0.1) * 1.5 - greatest(0, 0.2 * (access_count / 7.0::DOUBLE) - 0.3 * importance) - 0.2))), 6) AS score FROM memories")
-def forward(spark, d):
-    import numpy as np
-
-    from palimpsest.operators.ranker import forward as network
-
-    x = F.array(F.col("importance"), F.col("access_count") / F.lit(7.0))
-    score = network(x, np.array([[0.5, -0.25], [-0.3, 0.2]]), np.array([0.1, 0.0]), np.array([1.5, -1.0]), -0.2)
-    return T.memories(spark, d).select("id", F.round(score, 6).alias("score"))
-
-
 @query("r14_rerank_blend", "WITH s AS (SELECT category AS query_id, id, importance AS importance_score, (id % 11) / 5.0::DOUBLE - 1 AS pair_score FROM memories) SELECT query_id, id, round(0.75 * CASE WHEN max(importance_score) OVER q > min(importance_score) OVER q THEN (importance_score - min(importance_score) OVER q) / (max(importance_score) OVER q - min(importance_score) OVER q) ELSE 1 END + 0.25 / (1 + exp(-pair_score)), 6) AS blended FROM s WINDOW q AS (PARTITION BY query_id)")
 def rerank_blend(spark, d):
     rows = T.memories(spark, d).select(F.col("category").alias("query_id"), "id", F.col("importance").alias("importance_score"), ((F.col("id") % 11) / 5.0 - 1).alias("pair_score"))

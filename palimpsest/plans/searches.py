@@ -134,14 +134,6 @@ def signal_overlap(spark, d):
     return both.groupBy("query_id").agg(F.count("*").alias("shared"))
 
 
-@query("w6_kendall", f"WITH {_FUSED}, both_ranks AS (SELECT w.query_id, w.id, w.r AS x, r.r AS y FROM words w JOIN rec r USING (query_id, id)) SELECT a.query_id, round(sum(sign((a.x - b.x) * (a.y - b.y))) / count(*), 6) AS tau FROM both_ranks a JOIN both_ranks b ON a.query_id = b.query_id AND a.id < b.id GROUP BY a.query_id")
-def kendall(spark, d):
-    signals, _ = _signals(spark, d)
-    x = signals.where("signal = 'bm25'").select("query_id", "id", F.col("rank").alias("x"))
-    y = signals.where("signal = 'recency'").select("query_id", "id", F.col("rank").alias("y"))
-    return R.kendall_tau(x.join(y, ["query_id", "id"])).withColumn("tau", F.round("tau", 6))
-
-
 @query("t8_diversity")
 def diversity(spark, d):
     signals, _ = _signals(spark, d)
