@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.storage import written
+
 
 def active(edges: DataFrame) -> DataFrame:
     return edges.where("valid_to is null")
@@ -56,14 +58,14 @@ def walk(edges: DataFrame, start: DataFrame, predicates: list[str], hops: int) -
     """(id, hop): breadth-first from ``start`` (id) over those predicates in both directions.
 
     A bounded number of rounds; each is a join with the frontier and an anti join with what
-    was seen, so work follows the frontier.
+    was seen, so work follows the frontier.  Frontiers are written, so that no round repeats those before it.
     """
-    steps = both_ways(edges.where(F.col("predicate").isin(*predicates))).select("id", "other").distinct()
+    steps = written(both_ways(edges.where(F.col("predicate").isin(*predicates))).select("id", "other").distinct(), "steps")
     seen = start.select("id", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):
         ahead = frontier.join(steps, "id").select(F.col("other").alias("id")).distinct()
-        frontier = ahead.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop"))
+        frontier = written(ahead.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")), "frontier")
         seen = seen.unionByName(frontier)
     return seen
 

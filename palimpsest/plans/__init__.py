@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers them."""
 
-from palimpsest.plans import aggregates, evaluation, graphs, lifecycles, more, ranking, retrievals, scans, searches, text, world, writing  # noqa: F401
+from palimpsest.plans import aggregates, evaluation, graphs, lifecycles, more, operations, ranking, retrievals, scans, searches, text, world, writing  # noqa: F401

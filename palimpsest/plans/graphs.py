@@ -12,9 +12,9 @@ from palimpsest.sources import tables as T
 _AT = "TIMESTAMP '1996-01-01 00:00:00'"
 
 
-@query("j3_labelled_edges", "SELECT e.subject_id, s.name AS subject_name, e.predicate, o.name AS object_name FROM relationships e JOIN entities s ON s.id = e.subject_id LEFT JOIN entities o ON o.id = e.object_id WHERE e.predicate = 'located_in'")
+@query("j3_labelled_edges", "SELECT e.subject_id, s.name AS subject_name, e.predicate, o.name AS object_name FROM relationships e JOIN entities s ON s.id = e.subject_id LEFT JOIN entities o ON o.id = e.object_id")
 def labelled_edges(spark, d):
-    edges = T.relationships(spark, d).where("predicate = 'located_in'")
+    edges = T.relationships(spark, d)
     return G.labelled(edges, T.entities(spark, d)).select("subject_id", "subject_name", "predicate", "object_name")
 
 
@@ -23,7 +23,7 @@ def other_endpoint(spark, d):
     return G.both_ways(G.active(T.relationships(spark, d))).where("id = 'nation:3'").select("other").distinct()
 
 
-@query("j6_orphans", "SELECT id, name FROM entities e WHERE NOT EXISTS (SELECT 1 FROM relationships r WHERE r.subject_id = e.id) AND NOT EXISTS (SELECT 1 FROM relationships r WHERE r.object_id = e.id)")
+@query("j6_orphans", "SELECT e.id, name FROM entities e ANTI JOIN (SELECT subject_id AS id FROM relationships UNION SELECT object_id FROM relationships) r ON r.id = e.id")
 def orphans(spark, d):
     return G.orphans(T.entities(spark, d), T.relationships(spark, d)).select("id", "name")
 

@@ -116,11 +116,11 @@ def pending_feedback(spark, d):
     return T.wisdom(spark, d).where("score is null and outcome <> 'pending'").orderBy(F.desc("ts"), "id").limit(100).select("id", "ts")
 
 
-@query("so5_both_directions", "SELECT subject_id AS id, object_id AS other, predicate FROM relationships WHERE predicate = 'located_in' UNION ALL SELECT object_id, subject_id, predicate FROM relationships WHERE predicate = 'located_in' AND subject_id <> object_id")
+@query("so5_both_directions", "SELECT subject_id AS id, object_id AS other, predicate FROM relationships UNION ALL SELECT object_id, subject_id, predicate FROM relationships WHERE subject_id <> object_id")
 def both_directions(spark, d):
     from palimpsest.operators.graph import both_ways
 
-    return both_ways(T.relationships(spark, d).where("predicate = 'located_in'"))
+    return both_ways(T.relationships(spark, d))
 
 
 @query("so6_distinct_pairs", "SELECT DISTINCT category, subject FROM memories")

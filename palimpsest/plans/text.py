@@ -113,8 +113,3 @@ def strip_injections(spark, d):
 @query("c1_chunk_text")
 def chunk_text(spark, d):
     return C.chunk_text(T.raw(spark, d, "documents"), "doc_id", "text", separator="\n")
-
-
-@query("c3_chunk_rows", "SELECT o_custkey AS id, ((n - 1) // 20)::INTEGER AS chunk, string_agg('order: ' || o_orderkey, chr(10) || '---' || chr(10) ORDER BY n) AS content FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1, 2")
-def chunk_rows(spark, d):
-    return C.chunk_rows(T.raw(spark, d, "orders"), "o_custkey", "o_orderkey", F.concat(F.lit("order: "), F.col("o_orderkey")))
