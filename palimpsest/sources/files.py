@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +38,34 @@ def write_snapshot(df: DataFrame, folder: str, version: int) -> str:
     path = f"{folder}/v={version:08d}"
     df.write.parquet(path)
     return path
+
+
+def keep_newest(spark: SparkSession, folder: str, most: int = 3) -> list[str]:
+    """Deletes all but the newest snapshots of :func:`write_snapshot`; returns what went."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v="))
+    gone = found[: max(0, len(found) - most)]
+    for name in gone:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name), True)
+    return gone
+
+
+def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """The snapshot of the greatest version."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().startswith("v=")]
+    return spark.read.parquet(f"{folder}/{max(found)}")
+
+
+def check_manifest(spark: SparkSession, folder: str, model: str, dims: int) -> None:
+    """Writes which embeddings a store holds, or raises ValueError where it holds others."""
+    name = f"{folder}/manifest"
+    try:
+        held = spark.read.json(name).first()
+    except AnalysisException:  # a new store
+        spark.createDataFrame([(model, dims)], "model string, dims int").coalesce(1).write.json(name)
+        return
+    if (held.model, held.dims) != (model, dims):
+        raise ValueError(f"the store holds {held.dims} numbers by {held.model}, not {dims} by {model}")
