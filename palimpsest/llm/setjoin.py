@@ -239,8 +239,10 @@ def _pack(names: list, sizes: list, signatures: list, buckets: int, kind: int) -
             yield b, kind, names[own].tobytes(), sizes[own].tobytes(), n.astype(np.int32).tobytes(), low[x:y].tobytes()
 
 
-#: Signatures held before a flush; larger flushes repeat fewer set names.
-FLUSH = 3_000_000
+#: Signatures held before a flush, about 60 bytes each while they are packed.
+FLUSH = 1_000_000
+#: Signatures that are looked up, and pairs that are held, at once.
+ASKED, MET = 250_000, 500_000
 
 
 def _emit(n: int, threshold: float, routes: Routes, cells: np.ndarray, rows: int):
@@ -301,7 +303,9 @@ def _unpack(blobs: list[tuple]) -> tuple[np.ndarray, ...]:
     flat = np.concatenate([np.frombuffer(b[3], _U32) for b in blobs])
     first = np.zeros(len(names), bool)
     first[np.unique(names, return_index=True)[1]] = True  # the same set from another partition
-    owner = np.repeat(np.arange(len(names)), counts)
+    owner = np.repeat(np.arange(len(names), dtype=np.int32), counts)
+    if first.all():
+        return names, sizes, flat, owner
     keep = first[owner]
     return names, sizes, flat[keep], owner[keep]
 
@@ -313,21 +317,26 @@ def _probe(threshold: float):
         if not index or not probe:
             return
         sn, ss, signature, owner = _unpack(index)
+        index.clear()
         order = np.argsort(signature, kind="stable")
         signature, owner = signature[order], owner[order]
+        del order
         rn, rs, wanted, asker = _unpack(probe)
-        lo, hi = np.searchsorted(signature, wanted, "left"), np.searchsorted(signature, wanted, "right")
-        ahead = np.cumsum(hi - lo)
-        begin = 0
-        while begin < len(wanted):  # a slice of probes at a time bounds memory
-            end = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + 2_000_000, "right")))
-            n = (hi - lo)[begin:end]
-            r = np.repeat(asker[begin:end], n)
-            s = owner[np.repeat(lo[begin:end] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-            ok = (sn[s] != rn[r]) & ((ss[s] < rs[r]) | (ss[s] == rs[r]) & (sn[s] < rn[r])) & (ss[s] >= bands.t * rs[r] - _EPS)
-            code, hits = np.unique(s[ok].astype(np.int64) * len(rn) + r[ok], return_counts=True)
-            yield sn[code // len(rn)], rn[code % len(rn)], hits
-            begin = end
+        probe.clear()
+        for first in range(0, len(wanted), ASKED):  # a slice of probes, and of their pairs, at a time bounds memory
+            part, ask = wanted[first : first + ASKED], asker[first : first + ASKED]
+            lo, hi = np.searchsorted(signature, part, "left"), np.searchsorted(signature, part, "right")
+            ahead = np.cumsum(hi - lo)
+            begin = 0
+            while begin < len(part):
+                end = max(begin + 1, int(np.searchsorted(ahead, (ahead[begin - 1] if begin else 0) + MET, "right")))
+                n = (hi - lo)[begin:end]
+                r = np.repeat(ask[begin:end], n)
+                s = owner[np.repeat(lo[begin:end] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+                ok = (sn[s] != rn[r]) & ((ss[s] < rs[r]) | (ss[s] == rs[r]) & (sn[s] < rn[r])) & (ss[s] >= bands.t * rs[r] - _EPS)
+                code, hits = np.unique(s[ok].astype(np.int64) * len(rn) + r[ok], return_counts=True)
+                yield sn[code // len(rn)], rn[code % len(rn)], hits
+                begin = end
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, tuple[list, list]] = {}
@@ -335,7 +344,8 @@ def _probe(threshold: float):
             rows = b.to_pydict()
             for k in range(b.num_rows):
                 blobs.setdefault(rows["bucket"][k], ([], []))[rows["kind"][k]].append((rows["names"][k], rows["sizes"][k], rows["counts"][k], rows["signatures"][k]))
-        for index, probes in blobs.values():
+        while blobs:  # each bucket is let go once it is done
+            index, probes = blobs.popitem()[1]
             for s, r, hits in pairs_of(index, probes):
                 yield pa.record_batch([pa.array(s), pa.array(r), pa.array(hits.astype(np.int32))], ["a", "b", "hits"])
 
@@ -411,7 +421,7 @@ _FOUND = "a long, b long, links long, jaccard double"
 
 def _similarities(flat: np.ndarray, edge: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Jaccard similarity of the sets left[k] and right[k]; set i is flat[edge[i] : edge[i + 1]], ``left`` is sorted."""
-    code = np.unique(flat, return_inverse=True)[1]
+    code = np.unique(flat, return_inverse=True)[1].astype(np.int32)
     mark = np.zeros(int(code.max(initial=-1)) + 1, bool)
     size = np.diff(edge)
     both = np.zeros(len(left), np.int64)
@@ -430,19 +440,19 @@ def _verify(threshold: float, pairs_too: bool):
     """Of one block: what each set is linked with, a spanning forest of the links, and all links if asked for."""
 
     def verify(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        names, first = np.unique(sets["set_name"].to_numpy(), return_index=True)
-        left, right = (np.searchsorted(names, pairs[c].to_numpy()) for c in ("a", "b"))
+        names = sets["set_name"].to_numpy()
+        known, first = np.unique(names, return_index=True)
+        left, right = (first[np.searchsorted(known, pairs[c].to_numpy())] for c in ("a", "b"))
         order = np.argsort(left, kind="stable")
         left, right = left[order], right[order]
         out: list[tuple] = []
         if len(left):
-            blobs = sets["tokens"].to_pylist()
-            held = [np.frombuffer(blobs[k], _U64) for k in first]
-            edge = np.concatenate(([0], np.cumsum([len(h) for h in held])))
-            jaccard = _similarities(np.concatenate(held), edge, left, right)
+            blob = sets["tokens"].combine_chunks()  # read in place: all sets' tokens one after another
+            at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64) // 8
+            jaccard = _similarities(np.frombuffer(blob.buffers()[2], _U64, int(at[-1])), at, left, right)
             ok = jaccard >= threshold - _EPS
             left, right, jaccard = left[ok], right[ok], jaccard[ok]
-            copies = sets["copies"].to_numpy()[first]
+            copies = sets["copies"].to_numpy()
             links, best = np.zeros(len(names), np.int64), np.zeros(len(names))
             for p, q in ((left, right), (right, left)):
                 np.add.at(links, p, copies[q])
