@@ -47,7 +47,7 @@ STAGES = [
     ("source mixing", source_mixing),
 ]
 
-#: The language and line stages have no SQL; each stage and the whole are tested against brute force.
+#: The language and line stages have no SQL; the tests compare each stage and the whole with the operators, which have tests of their own.
 ORACLE_SQL = None
 
 
