@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.text import mix64, ngram_hashes, slices, word_hashes
+from palimpsest.llm.text import frugal, mix64, ngram_hashes, slices, word_hashes
 
 #: Edits (words inserted, deleted or replaced) allowed, as a share of the item's words.
 MAX_EDITS = 0.2
@@ -227,4 +227,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
                 out += [(b.column(0)[first + row].as_py(), item, edits) for row, item, edits in made[0].matches(words, at)]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int32())], ["doc_id", "item_id", "edits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "doc_id long, item_id long, edits int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(find), "doc_id long, item_id long, edits int")

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.llm.text import frugal
+
 DIMENSIONS = 1024
 #: Labelled documents of each language that train its prototype, chosen by hash of the id.
 TRAIN_PER_LANGUAGE = 200
@@ -51,13 +53,13 @@ def letter_vector(point: int) -> np.ndarray:
 
 
 def trigram_vectors() -> np.ndarray:
-    """The bound vector of every trigram of common letters, as a table of (SYMBOLS**3, DIMENSIONS)."""
+    """The bound vector of every trigram of common letters, as a table of (SYMBOLS**3, DIMENSIONS / 8): a bit set for 1, clear for -1."""
     letters = np.stack([letter_vector(ord(c)) for c in _COMMON])
     a, b = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
     pairs = (a[:, None, :] * b[None, :, :]).reshape(-1, DIMENSIONS)
-    out = np.empty((SYMBOLS**3, DIMENSIONS), np.int8)
+    out = np.empty((SYMBOLS**3, DIMENSIONS // 8), np.uint8)
     for c in range(SYMBOLS):
-        out[c::SYMBOLS] = pairs * letters[c]
+        out[c::SYMBOLS] = np.packbits(pairs * letters[c] > 0, axis=1)
     return out
 
 
@@ -102,7 +104,10 @@ def bundle(text: str) -> tuple[np.ndarray, int]:
     if len(code):
         count = np.bincount(code, minlength=1)
         used = np.flatnonzero(count)
-        total += count[used].astype(np.float32) @ _table[0][used].astype(np.float32)
+        for at in range(0, len(used), 4096):
+            part = used[at : at + 4096]
+            n = count[part].astype(np.float32)
+            total += 2 * (n @ np.unpackbits(_table[0][part], axis=1).astype(np.float32)) - n.sum()
     other = np.flatnonzero(middle & ~common)
     if len(other):
         total += _rare(np.stack([symbol[other], symbol[other + 1], symbol[other + 2]], 1))
@@ -167,4 +172,4 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], min_cosine: flo
 
     base = docs.select(*kept)
     schema = T.StructType(list(base.schema.fields)).add("hd_lang", "string").add("hd_cosine", "double").add("hd_accepted", "boolean")
-    return base.mapInArrow(apply, schema)
+    return base.mapInArrow(frugal(apply), schema)

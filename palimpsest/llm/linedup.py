@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import parts, small, unused, written
+from palimpsest.llm.text import frugal
 
 #: Least characters of a line that makes documents a pair, and of a block that is deleted.
 MIN_LINE, MIN_BLOCK = 20, 20
@@ -209,15 +210,15 @@ def _carry_on(sequences: DataFrame, cut: DataFrame, min_line: int, min_block: in
     state = written(sequences.join(cut.withColumnRenamed("later", "_row"), "_row", "left").select(F.col("_row").alias("later"), "order", "hashes", "places", "sizes", "_cut"), "uncut")
     distinct = sequences.groupBy(F.xxhash64("hashes").alias("sequence")).agg(F.min("order").alias("first"), F.any_value("hashes").alias("old"))
     distinct = written(distinct, "distinct_sequences")
-    held = distinct.select("sequence", "old").mapInArrow(_postings, "key long, sequence long").join(distinct.select("sequence", "first"), "sequence")
+    held = distinct.select("sequence", "old").mapInArrow(frugal(_postings), "key long, sequence long").join(distinct.select("sequence", "first"), "sequence")
     held = written(_ranked(held), "postings")
     done, width = 0, 4
     while True:
-        wanted = state.select("later", "hashes", "places", "sizes", "_cut").mapInArrow(_wanted(min_block), "later long, key long").join(state.select("later", "order"), "later")
+        wanted = state.select("later", "hashes", "places", "sizes", "_cut").mapInArrow(frugal(_wanted(min_block)), "later long, key long").join(state.select("later", "order"), "later")
         near = held.where((F.col("rank") > done) & (F.col("rank") <= done + width))
         pairs = wanted.join(near, "key").where(F.col("first") < F.col("order")).select("later", "sequence").distinct()
         aligned = pairs.join(distinct.select("sequence", "old"), "sequence").join(state, "later").select("later", "old", F.col("hashes").alias("new"), "places", "sizes")
-        more = aligned.mapInArrow(_carried(min_line, min_block), "later long, places array<int>").groupBy("later").agg(F.flatten(F.collect_list("places")).alias("_more"))
+        more = aligned.mapInArrow(frugal(_carried(min_line, min_block)), "later long, places array<int>").groupBy("later").agg(F.flatten(F.collect_list("places")).alias("_more"))
         cuts = F.array_union(F.coalesce("_cut", F.expr("array()")), "_more").alias("_cut")
         state = written(state.join(more, "later").select("later", "order", "hashes", "places", "sizes", cuts), "uncut")
         if state.isEmpty():
@@ -277,7 +278,7 @@ def deduplicate_lines(docs: DataFrame, rare: int = RARE, min_line: int = MIN_LIN
     old = old.select("earlier", "old", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"))
     new = sequences.select(F.col("_row").alias("later"), F.col("hashes").alias("new"), "places", "sizes")
     aligned = pairs.join(old, ["earlier", "salt"]).join(new, "later").select("later", "old", "new", "places", "sizes")
-    cut = aligned.mapInArrow(_align(min_block), "later long, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_cut"))
+    cut = aligned.mapInArrow(frugal(_align(min_block)), "later long, places array<int>").groupBy("later").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_cut"))
     if every_holder:
         cut = _carry_on(sequences, written(cut, "first_cuts"), min_line, min_block)
     cut = written(cut.withColumnRenamed("later", "_row"), "cuts")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import parts, small, written
-from palimpsest.llm.text import mix64, ngram_hashes, slices, word_hashes
+from palimpsest.llm.text import frugal, mix64, ngram_hashes, slices, word_hashes
 
 #: Words in a token.  One-word tokens: a single edited word costs one token, not n.
 N = 1
@@ -208,7 +208,7 @@ def token_counts(docs: DataFrame, n: int, threshold: float) -> tuple[np.ndarray,
         used, sizes = np.flatnonzero(cells), np.flatnonzero(weight)
         yield pa.record_batch([pa.array(np.concatenate((used, [-1], -2 - sizes)), pa.int32()), pa.array(np.concatenate((cells[used], [rows], weight[sizes])), pa.int64())], ["cell", "n"])
 
-    found = docs.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS + MOST_BANDS + 1 rows at most
+    found = docs.mapInArrow(frugal(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # CELLS + MOST_BANDS + 1 rows at most
     cells, weight, rows = np.zeros(CELLS, np.int64), np.zeros(MOST_BANDS, np.int64), 0
     for r in found:
         if r.cell == -1:
@@ -395,9 +395,9 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
     joined in one task; more by alternating large-star and small-star steps, each written
     to the shared folder, until nothing changes.
     """
-    thin = written(edges.select("a", "b").mapInArrow(_spanning, "a long, b long").where("a <> b"), "forest")
+    thin = written(edges.select("a", "b").mapInArrow(frugal(_spanning), "a long, b long").where("a <> b"), "forest")
     if thin.limit(one_task + 1).count() <= one_task:
-        return thin.coalesce(1).mapInArrow(_spanning, "component long, member long")
+        return thin.coalesce(1).mapInArrow(frugal(_spanning), "component long, member long")
     current = thin
     while True:
         both = current.select("a", "b").union(current.select(F.col("b"), F.col("a")))
@@ -517,10 +517,10 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, pair
     cells, rows, weight = token_counts(texts, n, threshold)
     # fewer, larger buckets report a pair fewer times; a bucket of half a partition count still fits a worker
     routes = Routes(weight, max(4, parts(spark) // 2))
-    emitted = written(texts.mapInArrow(_emit(n, threshold, routes, cells, rows), _SCHEMA), "signatures")
+    emitted = written(texts.mapInArrow(frugal(_emit(n, threshold, routes, cells, rows)), _SCHEMA), "signatures")
     blobs = emitted.where("bucket is not null").select(*_NAMES[:6]).repartition(parts(spark), "bucket")
     # partitioned by a alone: its reports lie together, which halves their compressed size
-    hits = blobs.mapInArrow(_probe(threshold), "a long, b long, hits int").repartition("a").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    hits = blobs.mapInArrow(frugal(_probe(threshold)), "a long, b long, hits int").repartition("a").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
     candidates = written(hits.where(F.col("hits") >= HITS).select("a", "b"), "candidates")
     # distinct by both columns first: a set that a third of the documents share is counted in many tasks
     members = written(emitted.where("set_name is not null").select("doc_id", "set_name", "n_tokens").distinct(), "members")
@@ -531,7 +531,7 @@ def similar_sets(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, pair
     blocks = F.greatest(F.ceil(F.col("t") / BLOCK_TOKENS), F.ceil(F.col("s") / BLOCK_SETS)).cast("int")
     wanted = written(groups.join(size.select("component", blocks.alias("blocks")), "component").select(F.col("first").alias("doc_id"), *_PLACED), "wanted")
     chosen = texts.join(small(wanted), "doc_id").select("doc_id", "text", *_PLACED)
-    held = chosen.mapInArrow(_tokens_of(n), "set_name long, component long, copies long, blocks int, tokens binary")
+    held = chosen.mapInArrow(frugal(_tokens_of(n)), "set_name long, component long, copies long, blocks int, tokens binary")
     shared = 2 * parts(spark)
     place = lambda name: F.pmod(F.xxhash64(name), F.col("blocks"))
     meeting = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: _block("component", place("set_name"), other, "blocks", shared))

@@ -6,14 +6,15 @@ the lower-cased text.  Hashes are 64 bits wide and the same on every machine.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are hashed at once: bounds a worker's memory (about 40 bytes each).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 _MULT = 0x9E3779B97F4A7C15 | 1
 _M64 = (1 << 64) - 1
 _INV = np.uint64(pow(_MULT, -1, 1 << 64))
@@ -27,6 +28,39 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
 _BYTE[~_IS_WORD] = 0
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not glibc
+    _trim = None
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def release() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def frugal(work: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``work``, whose freed memory goes back to the system before each batch that it takes and at its end.
+
+    Workers live on between tasks and, idle or busy with another operator, would hold the most that they ever took.
+    """
+
+    def taken(batches: Batches) -> Batches:
+        for b in batches:
+            release()
+            yield b
+
+    def run(batches: Batches) -> Batches:
+        yield from work(taken(batches))
+        release()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit words."""
     x = x.astype(np.uint64, copy=True)
