@@ -237,7 +237,7 @@ def retrieve(queries: DataFrame, memories: DataFrame, vectors: DataFrame, entiti
         near = knn(queries, live.select("id").join(vectors, "id"), depth).select("query_id", "id", F.round("distance", 6).alias("distance"))
     if "bm25" in options.signals:
         asked = written(expanded_terms(terms, entities, edges), "expanded_terms")
-        found = bm25(memories, asked, {"content": 10.0, "category": 1.0, "subject": 5.0}, active="superseded_by is null")
+        found = bm25(memories, asked, {"content": 10.0, "category": 1.0, "subject": 5.0}, active="superseded_by is null", most=depth)
         text = best(found.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("id")], depth).select("query_id", "id", "score")
     near, text = written(near, "near"), written(text, "text_hits")
     enough = sufficient(near, text, options)

@@ -129,7 +129,7 @@ def vector_only(spark, d):
 @query("w3_max_normalised", f"WITH {_SIGNALS} SELECT query_id, id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS bm25 FROM words")
 def max_normalised(spark, d):
     asked = R.expanded_terms(_entity_terms(spark, d, S.STOP), T.topics(spark, d), T.topic_edges(spark, d))
-    found = FT.bm25(T.memories(spark, d), written(asked, "asked_terms"), {"content": 10.0, "category": 1.0, "subject": 5.0}, active="superseded_by is null")
+    found = FT.bm25(T.memories(spark, d), written(asked, "asked_terms"), {"content": 10.0, "category": 1.0, "subject": 5.0}, active="superseded_by is null", most=50)
     top = written(R.best(found.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("id")], 50), "best_text")
     most = top.groupBy("query_id").agg(F.max("score").alias("most"))
     return top.join(most, "query_id").select("query_id", "id", F.round(F.col("score") / F.col("most"), 6).alias("bm25"))

@@ -103,7 +103,7 @@ def entity_tiers(spark, d):
 def _signals(spark, d):
     near = V.knn(_item_vectors(spark, d), T.vectors(spark, d), 50).select("query_id", "id", "distance")
     near = written(near, "near")
-    text = FT.bm25(T.raw(spark, d, "documents"), _terms(spark, d), {"text": 1.0}, "doc_id")
+    text = FT.bm25(T.raw(spark, d, "documents"), _terms(spark, d), {"text": 1.0}, "doc_id", most=50)
     words = R.ranked(text.withColumn("score", F.round("score", 6)), "bm25", [F.desc("score"), F.asc("id")], 50)
     vector = R.ranked(near.withColumn("distance", F.round("distance", 6)), "vector", [F.asc("distance"), F.asc("id")], 50)
     pool = written(vector.unionByName(words), "pool")

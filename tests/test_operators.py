@@ -130,6 +130,47 @@ def test_summaries_are_texts_of_members(spark, monkeypatch):
     assert [tuple(r) for r in lifecycles.summaries(spark, "").collect()] == [(0, "one")]
 
 
+def test_fulltext_cost_is_that_of_the_text(spark):
+    """A document of many words that are all asked for: each is looked up once, not compared with all others."""
+    import time
+
+    words = [f"w{k}" for k in range(40_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w1 x"), (3, None)], "id long, text string")
+    terms = spark.createDataFrame([(k % 7, w) for k, w in enumerate(words)], "query_id long, term string")
+    fulltext.match_all(docs.where("id = 2"), terms.where("term = 'w1'"), {"text": 1.0}).collect()  # warm
+    began = time.time()
+    assert sorted(map(tuple, fulltext.match_all(docs, terms, {"text": 1.0}).collect())) == [(k, 1) for k in range(7)]
+    assert time.time() - began < 15
+
+
+def test_first_of_fulltext(spark, monkeypatch):
+    """Scores by their definition; with a bound the rows beyond it go, those that tie with the last stay, in slices of any size."""
+    import math
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(1, 12))) for _ in range(120)] + ["a a b"] * 9 + [None]
+    docs = spark.createDataFrame([(k, t, k % 5 > 0) for k, t in enumerate(texts)], "id long, text string, ok boolean").repartition(3, "id")
+    asked = [(1, "a"), (1, "b"), (2, "c"), (3, "zz"), (4, "h"), (4, "a")]
+    terms = spark.createDataFrame(asked, "query_id long, term string")
+    words = [(t or "").split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    nt = {t: sum(t in w for w in words) for _, t in asked}
+    idf = {t: max(1e-6, math.log((len(words) - n + 0.5) / (n + 0.5))) for t, n in nt.items()}
+    wanted = {}
+    for q, t in asked:
+        for k, w in enumerate(words):
+            if t in w and k % 5:
+                f = w.count(t)
+                wanted[q, k] = wanted.get((q, k), 0) + idf[t] * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    score = lambda **o: {(r.query_id, r.id): round(r.score, 9) for r in fulltext.bm25(docs, terms, {"text": 1.0}, active="ok", **o).collect()}
+    for most in (2_000_000, 30):
+        monkeypatch.setattr(fulltext, "SLICE_SCORES", most)
+        assert score() == {k: round(v, 9) for k, v in wanted.items()}
+        found = score(most=4)
+        order = lambda rows, q: sorted((-round(v, 6), k) for (own, k), v in rows.items() if own == q)[:4]
+        assert all(order(found, q) == order(wanted, q) for q in (1, 2, 3, 4)) and len(found) < len(wanted) and set(found) <= set(wanted)
+
+
 def test_knn_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 8)).round(1)
