@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import scalars as S
-from palimpsest.operators.fulltext import has_phrase, tokens
+from palimpsest.operators.fulltext import has_phrase, held, lengths, places, tokens
 from palimpsest.storage import small, written
 
 #: Damping of each signal in the fusion.
@@ -159,6 +162,51 @@ def graph_names(terms: DataFrame, entities: DataFrame, edges: DataFrame, hub_deg
     return every.groupBy("query_id", F.lower("name").alias("name")).agg(F.min("kind").alias("kind"))
 
 
+def _naming(names: list[str], phrases: list[list[str]]):
+    words = pa.array(sorted({w for p in phrases for w in p}), pa.string())
+    codes = np.full((len(phrases), max(map(len, phrases), default=0)), -1)
+    for k, p in enumerate(phrases):
+        codes[k, : len(p)] = places(pa.array(p, pa.string()), words)
+    size = np.array([len(p) for p in phrases], np.int64)
+    order = np.argsort(codes[:, 0], kind="stable") if len(phrases) else np.zeros(0, np.int64)
+    start = np.searchsorted(codes[order, 0] if len(phrases) else order, np.arange(len(words) + 1))
+    named = pa.array(names, pa.string())
+
+    def naming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            listed = b.column("words")
+            own = lengths(listed)
+            said = places(listed.flatten(), words)
+            row, end = np.repeat(np.arange(b.num_rows), own), np.repeat(np.cumsum(own), own)
+            at = np.flatnonzero(said >= 0)
+            n = start[said[at] + 1] - start[said[at]]
+            name = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start[said[at]], n)]
+            at = np.repeat(at, n)
+            fits = at + size[name] <= end[at]
+            at, name = at[fits], name[fits]
+            for k in range(1, codes.shape[1]):
+                fits = (size[name] <= k) | (said[np.minimum(at + k, len(said) - 1)] == codes[name, k])
+                at, name = at[fits], name[fits]
+            rows, name = np.divmod(np.unique(row[at] * max(1, len(names)) + name), max(1, len(names)))
+            yield pa.record_batch([*(b.column(c).take(pa.array(rows)) for c in ("id", "created_at")), named.take(pa.array(name))], ["id", "created_at", "name"])
+
+    return naming
+
+
+def naming(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, created_at, name): the names (name, phrase, head), a written table, whose phrase a row's words hold one after another.
+
+    A name's first word finds the rows and the whole phrase decides.  Names of checked size are held by every
+    worker and each word of a text is looked up once; more of them are joined.
+    """
+    if held(wanted):
+        names = wanted.toArrow()  # of checked size
+        schema = f"id {rows.schema['id'].dataType.simpleString()}, created_at {rows.schema['created_at'].dataType.simpleString()}, name string"
+        return rows.mapInArrow(_naming(names["name"].to_pylist(), [p.split(" ") for p in names["phrase"].to_pylist()]), schema)
+    found = rows.select("id", "created_at", "words", F.explode(F.array_distinct("words")).alias("head")).join(wanted, "head")
+    return found.where(has_phrase(F.col("words"), F.col("phrase"))).select("id", "created_at", "name")
+
+
 def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memories: DataFrame, most: int = 50, probe: int = 5) -> DataFrame:
     """(query_id, id, graph, place): active memories that hold the names which a query reaches in the graph, by place.
 
@@ -169,13 +217,11 @@ def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memori
     a name fill up to ``most``, with 0.8, the most important and newest first.
     """
     names = written(graph_names(terms, entities, edges), "graph_names")
-    rows = memories.where("superseded_by is null").select("id", "created_at", "importance", F.lower(F.coalesce("subject", F.lit(""))).alias("about"), F.lower(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("subject", F.lit("")))).alias("text"), tokens(F.concat_ws(" ", "content", "category", "subject")).alias("words"))
+    rows = memories.where("superseded_by is null").select("id", "created_at", "importance", F.lower(F.coalesce("subject", F.lit(""))).alias("about"), tokens(F.concat_ws(" ", "content", "category", "subject")).alias("words"))
     wanted = names.select(F.col("name"), tokens(F.col("name")).alias("w")).where(F.size("w") > 0).distinct().select("name", F.array_join("w", " ").alias("phrase"), F.col("w")[0].alias("head"))
-    wanted = small(written(wanted, "wanted_names"))
-    # a name's first word finds the rows and the whole phrase decides: an equi-join
-    held = rows.select("id", "created_at", "words", F.explode(F.array_distinct("words")).alias("head")).join(wanted, "head").where(has_phrase(F.col("words"), F.col("phrase"))).select("id", "created_at", "name")
-    held = written(held.distinct(), "held_names")
-    asked = written(held.join(names, "name"), "asked_names")
+    found = naming(rows.select("id", "created_at", "words"), written(wanted, "wanted_names"))
+    found = written(found.distinct(), "held_names")
+    asked = written(found.join(small(names), "name"), "asked_names")
     expands = names.groupBy("query_id").agg(F.max(F.col("kind") == "expanded").alias("expands"))
     context = asked.where("kind = 'direct'").select("query_id", "id").distinct().withColumn("context", F.lit(1))
     probes = asked.join(expands, "query_id").where(F.when(F.col("expands"), F.col("kind") == "expanded").otherwise(F.col("kind") == "direct"))
@@ -185,8 +231,10 @@ def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memori
     probes = probes.withColumn("n", F.row_number().over(by_name.orderBy(F.desc("created_at"), F.asc("id")))).where(F.col("n") <= probe)
     firsts = probes.groupBy("query_id", "id").agg(F.min(F.struct("name", "n")).alias("at"))
     first = best(firsts, [F.asc("at"), F.asc("id")], most).select("query_id", "id", F.col("rank").alias("place"))
-    texts = rows.select("id", "text").join(small(written(first.select("id").distinct(), "found_ids")), "id")
-    found = first.join(texts, "id").join(names, "query_id")
+    first = written(first, "first_found")
+    # texts are lowered once their rows are chosen
+    texts = memories.join(small(first.select("id").distinct()), "id").select("id", F.lower(F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("subject", F.lit("")))).alias("text"))
+    found = first.join(texts, "id").join(small(names), "query_id")
     density = F.count_if(F.col("text").contains(F.col("name")))
     found = found.groupBy("query_id", "id", "place").agg(density.alias("k")).select("query_id", "id", F.when(F.col("k") >= 3, 1.0).when(F.col("k") == 2, 0.8).when(F.col("k") == 1, 0.6).otherwise(0.4).alias("graph"), "place")
     found = written(found, "graph_found")
@@ -195,7 +243,7 @@ def graph_signal(terms: DataFrame, entities: DataFrame, edges: DataFrame, memori
     meant = written(subjects.join(small(names), F.col("about").contains(F.col("name"))).select("query_id", "about").distinct(), "meant_subjects")
     room = meant.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count("*").alias("taken")), "query_id", "left").select("query_id", F.coalesce("taken", F.lit(0)).alias("taken"))
     more = rows.where("about <> ''").select("id", "about", "importance", "created_at").join(small(meant), "about")
-    more = more.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("importance"), F.desc("created_at"), F.asc("id")))).join(room, "query_id").where(F.col("n") <= most - F.col("taken"))
+    more = more.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("importance"), F.desc("created_at"), F.asc("id")))).where(F.col("n") <= most).join(room, "query_id").where(F.col("n") <= most - F.col("taken"))
     more = more.join(found, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit(0.8).alias("graph"), (F.lit(most) + F.col("n")).alias("place"))
     return found.unionByName(more)
 
@@ -218,11 +266,21 @@ class Options:
 def retrieve(queries: DataFrame, memories: DataFrame, vectors: DataFrame, entities: DataFrame, edges: DataFrame, now: Column, options: Options = Options()) -> DataFrame:
     """(query_id, rank, id, relevance, score, rrf): the hybrid search for a batch of queries (query_id, text, embedding).
 
+    The first ``limit`` of the :func:`candidates`, those with a distance first, then by score.
+    """
+    rows = candidates(queries, memories, vectors, entities, edges, now, options)
+    taken = best(rows, [F.desc("primary"), F.desc("score"), F.desc(F.round("rrf", 9)), F.asc("id")], options.limit)
+    return taken.select("query_id", "rank", "id", "relevance", "score", "rrf")
+
+
+def candidates(queries: DataFrame, memories: DataFrame, vectors: DataFrame, entities: DataFrame, edges: DataFrame, now: Column, options: Options = Options()) -> DataFrame:
+    """(query_id, id, rrf, relevance, primary, score): all rows that the signals find for a query, filtered and scored.
+
     Nearest vectors and full text give max(10 limit, 50) active memories each, the graph as many.  A query
     whose first results are all near and agree with full text needs no graph.  All of these by date are
     one more signal; for a query with temporal intent so are the rows that vectors and full text share.
-    Signals are fused by reciprocal ranks, or a sole signal's order is kept; then rows are filtered and
-    scored, those with a distance first.  ``relevance`` is null for rows without a distance.
+    Signals are fused by reciprocal ranks, which keep a sole signal's order.  ``primary`` are rows with a
+    distance; ``relevance`` is null for the others.
     """
     from palimpsest.functions import vectors as V
     from palimpsest.operators.fulltext import bm25
@@ -270,8 +328,7 @@ def retrieve(queries: DataFrame, memories: DataFrame, vectors: DataFrame, entiti
     rows = rows.select("query_id", "id", "rrf", F.round(V.relevance(F.col("distance")), 4).alias("relevance"), primary.alias("primary"), F.round(score, 9).alias("score"))
     if options.min_relevance is not None:
         rows = rows.where(F.coalesce("relevance", F.lit(1.0)) >= options.min_relevance)
-    taken = best(rows, [F.desc("primary"), F.desc("score"), F.desc(F.round("rrf", 9)), F.asc("id")], options.limit)
-    return taken.select("query_id", "rank", "id", "relevance", "score", "rrf")
+    return rows
 
 
 def sufficient(near: DataFrame, text: DataFrame, options: Options) -> DataFrame:

@@ -171,6 +171,34 @@ def test_first_of_fulltext(spark, monkeypatch):
         assert all(order(found, q) == order(wanted, q) for q in (1, 2, 3, 4)) and len(found) < len(wanted) and set(found) <= set(wanted)
 
 
+def test_candidates_of_a_sole_signal(spark):
+    """The nearest rows stay among the candidates even where others score higher: none is cut before the fused order is read."""
+    rows = [(k, f"text {k}", "project", None, 0 if k < 3 else 10) for k in range(40)]
+    memories = spark.createDataFrame(rows, "id long, content string, category string, superseded_by long, access_count int").selectExpr("*", "content as subject", "'chat' as origin", "0.5D as importance", "1 as surfacing_count", "CASE WHEN id < 3 THEN timestamp '2001-01-01' ELSE timestamp '2024-01-01' END as created_at")
+    vectors = spark.createDataFrame([(k, [float(np.cos(k / 100)), float(np.sin(k / 100))]) for k in range(40)], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, "what now", [1.0, 0.0])], "query_id long, text string, embedding array<double>")
+    entities = spark.createDataFrame([], "id string, name string")
+    edges = spark.createDataFrame([], "subject_id string, predicate string, object_id string, valid_to timestamp")
+    found = retrieval.candidates(queries, memories, vectors, entities, edges, F.lit("2024-02-01").cast("timestamp"), retrieval.Options(signals=("vector",), limit=3))
+    assert [r.id for r in retrieval.best(found, [F.desc("rrf"), F.asc("id")], 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert found.count() == 40
+
+
+def test_naming_with_and_without_a_shuffle(spark, monkeypatch):
+    """Names of one word and more, one that begins another, at a text's end; the same rows held by workers and joined."""
+    names = [("bob stone", "bob stone", "bob"), ("Bob-Stone", "bob stone", "bob"), ("bob", "bob", "bob"), ("stone age", "stone age", "stone"), ("a b c", "a b c", "a")]
+    wanted = spark.createDataFrame(names, "name string, phrase string, head string")
+    rows = [(1, ["x", "bob", "stone"]), (2, ["bob"]), (3, ["stone", "bob", "a", "b"]), (4, []), (5, None), (6, ["c", "a", "a", "b", "c", "stone", "age"])]
+    table = spark.createDataFrame(rows, "id long, words array<string>").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")).coalesce(1)
+    from palimpsest import storage
+
+    found = []
+    for limit in (10**9, 0):
+        monkeypatch.setattr(fulltext, "BROADCAST_BYTES", limit)
+        found.append(sorted((r.id, r.name) for r in retrieval.naming(table, storage.written(wanted, "names")).distinct().collect()))
+    assert found[0] == found[1] == [(1, "Bob-Stone"), (1, "bob"), (1, "bob stone"), (2, "bob"), (3, "bob"), (6, "a b c"), (6, "stone age")]
+
+
 def test_knn_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 8)).round(1)
