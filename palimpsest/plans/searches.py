@@ -10,7 +10,7 @@ from palimpsest.operators import retrieval as R
 from palimpsest.operators import vector as V
 from palimpsest.plans.base import NOW_SQL, now, query
 from palimpsest.sources import tables as T
-from palimpsest.storage import written
+from palimpsest.storage import small, written
 
 # searches of vectors take as queries every row whose id is divisible by 50, against all rows
 _KNN = """SELECT q.id AS query_id, v.id AS id, round(list_distance(q.embedding, v.embedding), 6) AS distance, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, v.embedding), v.id) AS rank
@@ -137,7 +137,8 @@ def signal_overlap(spark, d):
 @query("t8_diversity")
 def diversity(spark, d):
     signals, _ = _signals(spark, d)
-    rows = signals.where("signal = 'bm25'").join(T.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), "id")
+    first = small(written(signals.where("signal = 'bm25'"), "first_texts"))  # texts stay where they are
+    rows = T.raw(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).join(first, "id")
     return R.diverse(rows, 0.8, 10)
 
 
