@@ -99,8 +99,8 @@ _RETRIEVED = _SIGNALS + f""", rows AS (SELECT f.query_id, f.id, rrf, distance, r
 _TOP = "row_number() OVER (PARTITION BY query_id ORDER BY distance IS NOT NULL DESC, score DESC, round(rrf, 9) DESC, id) AS rank"
 
 
-def _retrieve(spark, d, **options):
-    return R.retrieve(_item_vectors(spark, d), T.memories(spark, d), T.vectors(spark, d), T.topics(spark, d), T.topic_edges(spark, d), now(), R.Options(**options))
+def _retrieve(spark, d, search=R.retrieve, **options):
+    return search(_item_vectors(spark, d), T.memories(spark, d), T.vectors(spark, d), T.topics(spark, d), T.topic_edges(spark, d), now(), R.Options(**options))
 
 
 @query("r18_retrieve", f"WITH {_RETRIEVED} SELECT query_id, rank, id, round(1 - distance * distance / 2, 4) AS relevance, round(score, 6) AS score FROM (SELECT *, {_TOP} FROM rows QUALIFY rank <= 5)")
@@ -121,8 +121,8 @@ def min_relevance(spark, d):
 
 @query("x3_vector_only", "SELECT q.id AS query_id, v.id AS id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_distance(q.embedding, v.embedding), 6), v.id) AS place FROM (SELECT * FROM vectors WHERE id IN (SELECT item_id FROM benchmark)) q, (SELECT v.* FROM vectors v JOIN memories m ON m.id = v.id WHERE superseded_by IS NULL) v QUALIFY place <= 5")
 def vector_only(spark, d):
-    """Ablation: a sole signal keeps its own order in the fusion."""
-    found = _retrieve(spark, d, signals=("vector",), limit=50)
+    """Ablation: a sole signal keeps its own order in the fusion, whatever the rows' scores."""
+    found = _retrieve(spark, d, R.candidates, signals=("vector",), limit=50)
     return R.best(found, [F.desc("rrf"), F.asc("id")], 5).select("query_id", "id", F.col("rank").alias("place"))
 
 
