@@ -5,6 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.storage import small
+
+
+def judged_alike(rows: DataFrame, queries: DataFrame, asked: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """(query_id, id, rel): of the judgments that call every other row of a query's label relevant those that a metric needs.
+
+    ``rows`` is (id, label), ``queries`` (query_id, label).  Taken are those of the results ``asked`` and, for the
+    ideal order, the ``most`` of least id for each query; the others, which grow with queries times rows, are never listed.
+    """
+    parts = []
+    if asked is not None:
+        own = asked.select("query_id", "id").distinct().join(queries.withColumnRenamed("label", "wanted"), "query_id").join(rows.select("id", "label"), "id")
+        parts.append(own.where("label = wanted and id <> query_id").select("query_id", "id"))
+    if most:
+        ids = F.slice(F.array_sort(F.collect_list("id")), 1, most + 1)  # a query's own row may be among them
+        place = F.row_number().over(Window.partitionBy("label").orderBy("id"))
+        first = rows.select("label", "id").withColumn("n", place).where(F.col("n") <= most + 1).groupBy("label").agg(ids.alias("ids"))
+        listed = queries.join(small(first), "label").select("query_id", F.explode(F.slice(F.filter("ids", lambda x: x != F.col("query_id")), 1, most)).alias("id"))
+        parts.append(listed)
+    found = parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
+    return found.withColumn("rel", F.lit(1.0))
+
 
 def ndcg(results: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
     """(query_id, ndcg): gain 2^rel - 1, discount log2(rank + 1); 0 where nothing is relevant."""
@@ -98,11 +120,15 @@ def proactive_score(full: DataFrame, vector: DataFrame, grades: DataFrame) -> Da
     return joined.select("query_id", F.when(F.col("full").isNull(), -1.0).otherwise(F.least(score, F.lit(1.0))).alias("score"))
 
 
-def recall(results: DataFrame, judgments: DataFrame, k: int) -> DataFrame:
-    """(query_id, recall): relevant rows among the first k, as a share of all relevant rows."""
+def recall(results: DataFrame, judgments: DataFrame, k: int, totals: DataFrame | None = None) -> DataFrame:
+    """(query_id, recall): relevant rows among the first k, as a share of all relevant rows.
+
+    With ``totals``, (query_id, all), judgments need hold those of the results only.
+    """
     good = judgments.where("rel > 0").select("query_id", "id")
     hits = results.where(F.col("rank") <= k).join(good, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
-    return good.groupBy("query_id").agg(F.count("*").alias("all")).join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("all")).alias("recall"))
+    totals = good.groupBy("query_id").agg(F.count("*").alias("all")) if totals is None else totals
+    return totals.join(hits, "query_id", "left").select("query_id", (F.coalesce("hits", F.lit(0)) / F.col("all")).alias("recall"))
 
 
 def tail_queries(judgments: DataFrame, surfacing: DataFrame, bound: int = 30) -> DataFrame:

@@ -9,6 +9,7 @@ from palimpsest.operators import metrics as M
 from palimpsest.operators.vector import knn
 from palimpsest.plans.base import query
 from palimpsest.sources import tables as T
+from palimpsest.storage import written
 
 
 @query("ag1_counts", "SELECT category, count(*) AS n FROM memories WHERE superseded_by IS NULL GROUP BY category")
@@ -101,12 +102,13 @@ def minmax(spark, d):
 def _results(spark, d, k=10):
     v = T.vectors(spark, d)
     queries = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")  # a stated query set against all rows
-    return knn(queries, v, k, exclude_self=True), v
+    return written(knn(queries, v, k, exclude_self=True), "results"), v
 
 
-def _judgments(v):
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("ql"))
-    return v.join(q, F.col("label") == F.col("ql")).where("id <> query_id").select("query_id", "id", F.lit(1.0).alias("rel"))
+def _judgments(v, results, most=0):
+    """The judgments of these results, and the first ``most`` of each query."""
+    labels = v.select("id", "label")
+    return M.judged_alike(labels, labels.where("id % 50 = 0").withColumnRenamed("id", "query_id"), results, most)
 
 
 _RESULTS_SQL = """WITH q AS (SELECT * FROM vectors WHERE id % 50 = 0),
@@ -118,16 +120,16 @@ _RESULTS_SQL = """WITH q AS (SELECT * FROM vectors WHERE id % 50 = 0),
  SELECT b.query_id, round(coalesce(sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1) END) / min(idcg), 0), 6) AS ndcg FROM best b LEFT JOIN (SELECT r.* FROM results r JOIN judged USING (query_id, id)) x ON x.query_id = b.query_id GROUP BY b.query_id""")
 def ndcg(spark, d):
     results, v = _results(spark, d)
-    return M.ndcg(results, _judgments(v), 5).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+    return M.ndcg(results, _judgments(v, results, 5), 5).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query("m2_mrr", _RESULTS_SQL + "SELECT query_id, round(coalesce(1 / min(rank) FILTER (j.id IS NOT NULL), 0), 6) AS mrr FROM results LEFT JOIN judged j USING (query_id, id) GROUP BY query_id")
 def mrr(spark, d):
     results, v = _results(spark, d)
-    return M.mrr(results, _judgments(v)).select("query_id", F.round("mrr", 6).alias("mrr"))
+    return M.mrr(results, _judgments(v, results)).select("query_id", F.round("mrr", 6).alias("mrr"))
 
 
 @query("m3_precision", _RESULTS_SQL + "SELECT query_id, round(count(j.id) / 5.0, 6)::DOUBLE AS precision FROM results LEFT JOIN judged j USING (query_id, id) WHERE rank <= 5 GROUP BY query_id")
 def precision(spark, d):
     results, v = _results(spark, d)
-    return M.precision(results, _judgments(v), 5).select("query_id", F.round("precision", 6).alias("precision"))
+    return M.precision(results, _judgments(v, results), 5).select("query_id", F.round("precision", 6).alias("precision"))

@@ -199,6 +199,24 @@ def test_naming_with_and_without_a_shuffle(spark, monkeypatch):
     assert found[0] == found[1] == [(1, "Bob-Stone"), (1, "bob"), (1, "bob stone"), (2, "bob"), (3, "bob"), (6, "a b c"), (6, "stone age")]
 
 
+def test_judgments_by_label(spark):
+    """Metrics over the judgments that they need are those over all, for queries alone with their label and among its first rows too."""
+    from palimpsest.operators import metrics
+
+    label = {k: k % 3 for k in range(40)} | {40: 7, 41: 8, 42: 8}
+    rows = spark.createDataFrame(list(label.items()), "id long, label int")
+    queries = spark.createDataFrame([(q, label[q]) for q in (0, 1, 39, 40, 41)], "query_id long, label int")
+    asked = spark.createDataFrame([(q, (q * 7 + 3 * n) % 43, n) for q in (0, 1, 39, 40, 41) for n in range(1, 11)], "query_id long, id long, rank int")
+    full = rows.join(queries, "label").where("id <> query_id").select("query_id", "id", F.lit(1.0).alias("rel"))
+    values = lambda df: {r[0]: round(r[1], 9) for r in df.collect()}
+    for k in (1, 5):
+        assert values(metrics.ndcg(asked, metrics.judged_alike(rows, queries, asked, k), k)) == values(metrics.ndcg(asked, full, k))
+    own = metrics.judged_alike(rows, queries, asked)
+    totals = full.groupBy("query_id").agg(F.count("*").alias("all"))
+    assert values(metrics.recall(asked, own, 10, totals)) == values(metrics.recall(asked, full, 10))
+    assert own.count() < full.count() and metrics.judged_alike(rows, queries, most=2).count() == 3 * 2 + 1
+
+
 def test_knn_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(90, 8)).round(1)
