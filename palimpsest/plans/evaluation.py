@@ -13,6 +13,7 @@ from palimpsest.operators.vector import knn
 from palimpsest.plans.base import NOW_SQL, now, query
 from palimpsest.plans.searches import vector_queries
 from palimpsest.sources import tables as T
+from palimpsest.storage import written
 
 # results: the ten nearest of every 50th vector; a second list leaves out every third of them
 _RESULTS = """results AS (SELECT q.id AS query_id, v.id AS id, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.embedding, v.embedding), v.id) AS rank FROM (SELECT * FROM vectors WHERE id % 50 = 0) q, vectors v WHERE q.id <> v.id QUALIFY rank <= 10),
@@ -24,10 +25,15 @@ def results(spark, d):
     return knn(vector_queries(spark, d), T.vectors(spark, d), 10, exclude_self=True)
 
 
-def judgments(spark, d):
-    v = T.vectors(spark, d)
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "label")
-    return v.join(q, "label").where("id <> query_id").select("query_id", "id", F.lit(1.0).alias("rel"))
+def _labels(spark, d):
+    """The rows and the queries by label."""
+    v = T.vectors(spark, d).select("id", "label")
+    return v, v.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+
+
+def judgments(spark, d, asked, most=0):
+    """The judgments of these results, and the first ``most`` of each query."""
+    return M.judged_alike(*_labels(spark, d), asked, most)
 
 
 def _other(rows):
@@ -51,8 +57,8 @@ def temporal(spark, d):
 
 @query("m5_session_coherence", f"WITH {_RESULTS}, share AS (SELECT 'with' AS kind, query_id, count(j.id) / count(*) AS s FROM results r LEFT JOIN judged j USING (query_id, id) WHERE rank <= 5 GROUP BY query_id UNION ALL SELECT 'alone', query_id, count(j.id) / count(*) FROM other r LEFT JOIN judged j USING (query_id, id) WHERE rank <= 5 GROUP BY query_id) SELECT a.query_id, CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM share a JOIN share b ON a.query_id = b.query_id AND a.kind = 'with' AND b.kind = 'alone'")
 def session_coherence(spark, d):
-    rows = results(spark, d)
-    return M.session_score(rows, _other(rows), judgments(spark, d))
+    rows = written(results(spark, d), "results")
+    return M.session_score(rows, _other(rows), judgments(spark, d, rows))
 
 
 @query("m6_graph_uplift", f"""WITH {_RESULTS}, new AS (SELECT query_id, count(*) AS n FROM results r WHERE NOT EXISTS (SELECT 1 FROM other o WHERE o.query_id = r.query_id AND o.id = r.id) GROUP BY query_id),
@@ -86,22 +92,28 @@ def decay(spark, d):
 @query("m9_proactive", f"""WITH {_RESULTS}, grades AS (SELECT query_id, id, (id + query_id) % 4 AS grade FROM judged), f AS (SELECT query_id, count(*) FILTER (grade >= 2) / count(*) AS s FROM results JOIN grades USING (query_id, id) GROUP BY query_id), b AS (SELECT query_id, count(*) FILTER (grade >= 2) / count(*) AS s FROM other JOIN grades USING (query_id, id) GROUP BY query_id)
  SELECT q.query_id, round(CASE WHEN f.s IS NULL THEN -1 ELSE least(0.6 * f.s + 0.4 * greatest(0, f.s - coalesce(b.s, 0)), 1) END, 6) AS score FROM (SELECT DISTINCT query_id FROM results) q LEFT JOIN f USING (query_id) LEFT JOIN b USING (query_id)""")
 def proactive(spark, d):
-    rows = results(spark, d)
-    grades = judgments(spark, d).select("query_id", "id", ((F.col("id") + F.col("query_id")) % 4).alias("grade"))
+    rows = written(results(spark, d), "results")
+    grades = judgments(spark, d, rows).select("query_id", "id", ((F.col("id") + F.col("query_id")) % 4).alias("grade"))
     return M.proactive_score(rows, _other(rows), grades).select("query_id", F.round("score", 6).alias("score"))
 
 
 @query("m10_recall", f"WITH {_RESULTS} SELECT query_id, round(count(r.id) / count(*), 6) AS recall FROM judged LEFT JOIN results r USING (query_id, id) GROUP BY query_id")
 def recall(spark, d):
-    return M.recall(results(spark, d), judgments(spark, d), 10).select("query_id", F.round("recall", 6).alias("recall"))
+    v, q = _labels(spark, d)
+    totals = q.join(v.groupBy("label").agg((F.count("*") - 1).alias("all")), "label").where("all > 0").select("query_id", "all")
+    rows = written(results(spark, d), "results")
+    return M.recall(rows, judgments(spark, d, rows), 10, totals).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 @query("m10_tail_ndcg", f"""WITH {_RESULTS}, tail AS (SELECT DISTINCT query_id FROM judged j JOIN memories m ON m.id = j.id WHERE surfacing_count < 1), best AS (SELECT query_id, sum(1 / log2(n + 1)) AS idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM judged) WHERE n <= 5 GROUP BY query_id)
  SELECT b.query_id, round(coalesce(sum(1 / log2(rank + 1)) / min(idcg), 0), 6) AS ndcg FROM best b JOIN tail USING (query_id) LEFT JOIN (SELECT r.* FROM results r JOIN judged USING (query_id, id) WHERE rank <= 5) x ON x.query_id = b.query_id GROUP BY b.query_id""")
 def tail_ndcg(spark, d):
-    good = judgments(spark, d)
-    tail = M.tail_queries(good, T.memories(spark, d).select("id", "surfacing_count"), 1)
-    return M.ndcg(results(spark, d), good, 5).join(tail, "query_id").select("query_id", F.round("ndcg", 6).alias("ndcg"))
+    v, q = _labels(spark, d)
+    surfacing = T.memories(spark, d).select("id", "surfacing_count")
+    rare = v.join(surfacing.where("surfacing_count < 1").select("id"), "id", "left_semi")
+    tail = M.tail_queries(M.judged_alike(rare, q, most=1), surfacing, 1)
+    rows = written(results(spark, d), "results")
+    return M.ndcg(rows, judgments(spark, d, rows, 5), 5).join(tail, "query_id").select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query("m10_random_ndcg", f"""WITH {_RESULTS}, shuffled AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY md5(query_id || ':' || id)) AS rank FROM results), best AS (SELECT query_id, sum(1 / log2(n + 1)) AS idcg FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM judged) WHERE n <= 5 GROUP BY query_id)
@@ -109,13 +121,14 @@ def tail_ndcg(spark, d):
 def random_ndcg(spark, d):
     """The baseline: the same results in an order that only hashes choose."""
     w = Window.partitionBy("query_id").orderBy(F.md5(F.concat_ws(":", "query_id", "id")))
-    shuffled = results(spark, d).withColumn("rank", F.row_number().over(w))
-    return M.ndcg(shuffled, judgments(spark, d), 5).select("query_id", F.round("ndcg", 6).alias("ndcg"))
+    shuffled = written(results(spark, d).withColumn("rank", F.row_number().over(w)), "results")
+    return M.ndcg(shuffled, judgments(spark, d, shuffled, 5), 5).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query("ag16_means", f"WITH {_RESULTS} SELECT kind AS adapter, round(avg(p), 4) AS precision FROM (SELECT 'full' AS kind, query_id, count(j.id) / 5.0 AS p FROM results LEFT JOIN judged j USING (query_id, id) WHERE rank <= 5 GROUP BY query_id UNION ALL SELECT 'other', query_id, count(j.id) / 5.0 FROM other LEFT JOIN judged j USING (query_id, id) WHERE rank <= 5 GROUP BY query_id) GROUP BY kind")
 def means(spark, d):
-    rows, good = results(spark, d), judgments(spark, d)
+    rows = written(results(spark, d), "results")
+    good = judgments(spark, d, rows)
     each = M.precision(rows, good, 5).withColumn("adapter", F.lit("full")).unionByName(M.precision(_other(rows), good, 5).withColumn("adapter", F.lit("other")))
     return each.groupBy("adapter").agg(F.round(F.avg("precision"), 4).alias("precision"))
 
@@ -131,16 +144,17 @@ def composite(spark, d):
 @query("x4_training_signals", f"WITH {_RESULTS} SELECT query_id, string_agg(id, ',' ORDER BY rank) AS candidates FROM results JOIN judged USING (query_id, id) GROUP BY query_id")
 def training_signals(spark, d):
     """Candidates that were judged, in their order: what a ranker can be trained on."""
-    kept = results(spark, d).join(judgments(spark, d), ["query_id", "id"], "left_semi")
+    rows = written(results(spark, d), "results")
+    kept = rows.join(judgments(spark, d, rows), ["query_id", "id"], "left_semi")
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]), ",").alias("candidates"))
 
 
 @query("x5_pool_to_judge", f"WITH {_RESULTS} SELECT query_id, id FROM (SELECT query_id, id FROM results UNION SELECT query_id, id FROM other) p WHERE NOT EXISTS (SELECT 1 FROM judged j WHERE j.query_id = p.query_id AND j.id = p.id)")
 def pool_to_judge(spark, d):
     """The union of several searches' results without those that are judged already."""
-    rows = results(spark, d)
+    rows = written(results(spark, d), "results")
     pool = rows.select("query_id", "id").union(_other(rows).select("query_id", "id")).distinct()
-    return pool.join(judgments(spark, d), ["query_id", "id"], "left_anti")
+    return pool.join(judgments(spark, d, pool), ["query_id", "id"], "left_anti")
 
 
 @query("x8_paired_wins", "WITH trial AS (SELECT user_id AS seed, event_type AS method, round(avg(value), 6) AS score FROM events GROUP BY ALL) SELECT a.method AS method_a, b.method AS method_b, count(*) FILTER (a.score > b.score) AS wins, count(*) FILTER (a.score < b.score) AS losses, count(*) FILTER (a.score = b.score) AS ties, round(avg(a.score - b.score), 4) AS mean_gap FROM trial a JOIN trial b ON a.seed = b.seed AND a.method < b.method GROUP BY ALL")
@@ -242,7 +256,8 @@ def learn_job(spark, d):
     net = K.fit(K.samples(*_logs(spark, d)), steps=50)
     x = K.scored(featured(spark, d), net)
     ranked = x.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).select("query_id", "id", "rank")
-    ndcg = M.ndcg(ranked, judgments(spark, d), 5).agg(F.avg("ndcg").alias("ndcg")).first().ndcg or 0.0
+    ranked = written(ranked, "ranked")
+    ndcg = M.ndcg(ranked, judgments(spark, d, ranked, 5), 5).agg(F.avg("ndcg").alias("ndcg")).first().ndcg or 0.0
     taus = R.kendall_tau(x.select("query_id", "id", (-F.col("score")).alias("x"), F.col("rank").alias("y")))
     return K.graduation(taus.select("tau"), F.lit(ndcg)).withColumn("ndcg", F.lit(float(ndcg)))
 
